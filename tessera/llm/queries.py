@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.leakage import leaked_documents, remove_leaks
 from tessera.llm.packing import CAPACITY, pack_documents
+from tessera.llm.variants import gazetteer, link_variants, variant_pairs
 from tessera.session import table
 
 
@@ -28,5 +29,34 @@ def p7_cleaned(spark: SparkSession, sf: str) -> DataFrame:
     return remove_leaks(table(spark, sf, "documents"), table(spark, sf, "heldout_items"))
 
 
-QUERIES = {"p6_containers": p6_containers, "p6_fill": p6_fill, "p7_found": p7_found, "p7_cleaned": p7_cleaned}
+def _places(spark: SparkSession, sf: str) -> frozenset[str]:
+    return gazetteer(table(spark, sf, "holder_entities").select("registered_place"), table(spark, sf, "listed_company_entities").select("registered_place"))
+
+
+def _variants(spark: SparkSession, sf: str) -> DataFrame:
+    return link_variants(
+        table(spark, sf, "holder_records"),
+        id_col="holder_entity_id",
+        name_cols=["holder_name", "holder_aname"],
+        person="holder_category = 'PERSON'",
+        scope="target_company_id",
+        list_cols=["holder_end_date", "announcement_date"],
+        ratio="holding_ratio",
+        places=_places(spark, sf),
+        aliases=table(spark, sf, "entity_aliases").select("entity_id", "alias"),
+    )
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return variant_pairs(_variants(spark, sf))
+
+
+def p5_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per id and scope with its class and the number of ids in it."""
+    c = _variants(spark, sf).select("scope", "person", "id", "component").distinct()
+    size = c.groupBy("component").agg(F.count(F.lit(1)).alias("n_ids"))
+    return c.join(size, "component").select("scope", "person", F.col("id").alias("holder_entity_id"), F.col("component").alias("entity_class"), "n_ids")
+
+
+QUERIES = {"p5_found": p5_found, "p5_entities": p5_entities, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_found": p7_found, "p7_cleaned": p7_cleaned}
 SQL: dict[str, str] = {}
