@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.leakage import leaked_documents, remove_leaks
+from tessera.llm.matching import _entities, match_entities
 from tessera.llm.packing import CAPACITY, pack_documents
 from tessera.llm.variants import gazetteer, link_variants, variant_pairs
 from tessera.session import table
@@ -33,6 +34,23 @@ def _places(spark: SparkSession, sf: str) -> frozenset[str]:
     return gazetteer(table(spark, sf, "holder_entities").select("registered_place"), table(spark, sf, "listed_company_entities").select("registered_place"))
 
 
+def _matches(spark: SparkSession, sf: str) -> DataFrame:
+    aliases = table(spark, sf, "entity_aliases").select("entity_id", "alias").distinct()
+    attributes = {"place": "registered_place", "since": "established_on", "person": "legal_representative"}
+    companies = _entities(table(spark, sf, "listed_company_entities"), "company_id", ["canonical_name"], aliases, **attributes)
+    holders = _entities(table(spark, sf, "holder_entities").where("entity_type = 'COMPANY'"), "holder_entity_id", ["name"], aliases, **attributes)
+    return match_entities(companies, holders, _places(spark, sf))
+
+
+def p1_confidences(spark: SparkSession, sf: str) -> DataFrame:
+    """Every candidate pair with its marginal."""
+    return _matches(spark, sf).select("company_id", "holder_entity_id", F.round("confidence", 4).alias("confidence"))
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _matches(spark, sf).where("confidence >= 0.5").select("company_id", "holder_entity_id")
+
+
 def _variants(spark: SparkSession, sf: str) -> DataFrame:
     return link_variants(
         table(spark, sf, "holder_records"),
@@ -58,5 +76,5 @@ def p5_entities(spark: SparkSession, sf: str) -> DataFrame:
     return c.join(size, "component").select("scope", "person", F.col("id").alias("holder_entity_id"), F.col("component").alias("entity_class"), "n_ids")
 
 
-QUERIES = {"p5_found": p5_found, "p5_entities": p5_entities, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_found": p7_found, "p7_cleaned": p7_cleaned}
+QUERIES = {"p1_found": p1_found, "p1_confidences": p1_confidences, "p5_found": p5_found, "p5_entities": p5_entities, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_found": p7_found, "p7_cleaned": p7_cleaned}
 SQL: dict[str, str] = {}

@@ -120,7 +120,7 @@ def _agrees(a: str, b: str) -> bool:
 
 
 def judge_persons(x: dict, y: dict) -> str:
-    """'sure', 'weak' (needs evidence), 'one' (needs to be the only one) or ''."""
+    """'sure', 'weak' (needs evidence), 'one' (needs to be the only one), 'one weak' (either will do) or ''."""
     if x["kind"] == "initials" or y["kind"] == "initials":
         return "one" if x["kind"] != y["kind"] else ""
     if x["han"] and y["han"]:
@@ -170,9 +170,10 @@ def judge_organisations(x: dict, y: dict) -> str:
     placed = bool(x["place"]) and x["place"] == y["place"]
     if x["sound"] == y["sound"]:
         return "sure" if placed or x["kind"] in ("fund", "plan", "sub", "sales") else "weak"
-    if placed and (sorted(a) == sorted(b) or len(a) != len(b)):
+    if placed and sorted(a) == sorted(b):
         return "sure"
-    return "weak"
+    # a brand with a character left out may come from several
+    return "one weak" if placed and len(a) != len(b) else "weak"
 
 
 def _judge(pairs: DataFrame) -> DataFrame:
@@ -232,8 +233,8 @@ def link_variants(
     right = blocked.select("scope", "person", "block", F.col("x").alias("r"), odd.alias("odd_r"))
     pairs = left.join(right, ["scope", "person", "block"]).where("l.key < r.key").where("NOT startswith(block, 'w|') OR odd_l OR odd_r").where("NOT startswith(block, 'b|') OR l.kind = 'short' OR r.kind = 'short'").select("scope", "person", "l", "r")
     judged = materialize(_judge(pairs).distinct())
-    one = _only_ones(judged.where("verdict = 'one'"))
-    agreed = judged.where("verdict <> 'one'").select("scope", "ka", "kb", (F.col("verdict") == "weak").alias("weak")).unionByName(one).unionByName(side.select("scope", "ka", "kb", F.lit(False).alias("weak")))
+    one = _only_ones(judged.where("startswith(verdict, 'one')"))
+    agreed = judged.where("verdict <> 'one'").select("scope", "ka", "kb", F.col("verdict").endswith("weak").alias("weak")).unionByName(one).unionByName(side.select("scope", "ka", "kb", F.lit(False).alias("weak")))
     edges = agreed.select("scope", F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb"), "weak").groupBy("scope", "ka", "kb").agg(F.min("weak").alias("weak"))
     edges = materialize(_checked(edges, base, key_of))
     node = lambda s, k: F.concat_ws("\x1f", F.lit(k), *s)
