@@ -208,7 +208,7 @@ def link_variants(
     (id, name) stated elsewhere.
     """
     main = name_cols[0]
-    base = records.select(F.expr(f"CASE WHEN {person} THEN {scope} ELSE '' END").alias("scope"), F.expr(person).alias("person"), F.col(id_col).alias("id"), F.col(main).alias("name"), F.array_distinct(F.array_compact(F.array(*name_cols[1:]))).alias("others") if name_cols[1:] else F.array().cast("array<string>").alias("others"), F.xxhash64(scope, *list_cols).alias("list"), F.xxhash64(scope, ratio).alias("stake"))
+    base = records.select(F.expr(f"CASE WHEN {person} THEN {scope} ELSE '' END").alias("scope"), F.expr(person).alias("person"), F.col(id_col).alias("id"), F.col(main).alias("name"), F.array_distinct(F.array_compact(F.array(*name_cols[1:]))).alias("others") if name_cols[1:] else F.array().cast("array<string>").alias("others"), F.xxhash64(scope, *list_cols).alias("list"), F.when(F.col(ratio).isNotNull(), F.xxhash64(scope, ratio)).alias("stake"))
     base = base.where("scope IS NOT NULL AND person IS NOT NULL AND id IS NOT NULL")
     # names first: as many as there are spellings, not rows
     typed = materialize(base.where("name IS NOT NULL").groupBy("scope", "person", "id", "name").agg(F.array_distinct(F.flatten(F.collect_set("others"))).alias("others")))
@@ -225,23 +225,30 @@ def link_variants(
     # one parse of each key: its names differ in what the fold drops
     parts = parsed.groupBy("person", "key").agg(F.min(F.struct("kind", "brand", "sound", "han", "industry", "place", "detail", "manager", "plain", "blocks")).alias("p"))
     known = nodes.join(parts, ["person", "key"]).select("scope", "person", "key", "p.*")
-    item = F.struct("key", "kind", "brand", "sound", "han", "industry", "place", "detail", "manager", "plain")
-    blocked = known.select("scope", "person", F.explode("blocks").alias("block"), item.alias("x"))
+    known = materialize(known.withColumn("k", F.xxhash64("scope", "key")))
+    # blocks meet as hashes; what the names say is joined to the pairs that come out
+    short = F.col("kind") == "short"
     # whole-name blocks are for names with an error in a keyword; such a name has to be one of the two
-    odd = F.col("x.kind").isin("short") & ((F.length("x.brand") > 4) | (F.length("x.plain") > F.length("x.brand") + 6))
-    left = blocked.select("scope", "person", "block", F.col("x").alias("l"), odd.alias("odd_l"))
-    right = blocked.select("scope", "person", "block", F.col("x").alias("r"), odd.alias("odd_r"))
-    pairs = left.join(right, ["scope", "person", "block"]).where("l.key < r.key").where("NOT startswith(block, 'w|') OR odd_l OR odd_r").where("NOT startswith(block, 'b|') OR l.kind = 'short' OR r.kind = 'short'").select("scope", "person", "l", "r")
+    odd = short & ((F.length("brand") > 4) | (F.length("plain") > F.length("brand") + 6))
+    lean = known.select("k", F.explode("blocks").alias("block"), "scope", short.alias("short"), odd.alias("odd")).select("k", F.xxhash64("scope", "block").alias("h"), F.when(F.substring("block", 1, 1) == "w", F.col("odd")).when(F.substring("block", 1, 1) == "b", F.col("short")).otherwise(F.lit(True)).alias("may"))
+    met = lean.alias("x").join(lean.alias("y"), "h").where("x.k < y.k AND (x.may OR y.may)").select(F.col("x.k").alias("kl"), F.col("y.k").alias("kr")).distinct()
+    item = F.struct("key", "kind", "brand", "sound", "han", "industry", "place", "detail", "manager", "plain")
+    pairs = met.join(known.select(F.col("k").alias("kl"), "scope", "person", item.alias("l")), "kl").join(known.select(F.col("k").alias("kr"), item.alias("r")), "kr").select("scope", "person", "l", "r")
     judged = materialize(_judge(pairs).distinct())
     one = _only_ones(judged.where("startswith(verdict, 'one')"))
     agreed = judged.where("verdict <> 'one'").select("scope", "ka", "kb", F.col("verdict").endswith("weak").alias("weak")).unionByName(one).unionByName(side.select("scope", "ka", "kb", F.lit(False).alias("weak")))
     edges = agreed.select("scope", F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb"), "weak").groupBy("scope", "ka", "kb").agg(F.min("weak").alias("weak"))
-    edges = materialize(_checked(edges, base, key_of))
-    node = lambda s, k: F.concat_ws("\x1f", F.lit(k), *s)
-    graph = edges.select(node(["scope", "ka"], "k").alias("a"), node(["scope", "kb"], "k").alias("b")).unionByName(ids.select(node(["scope", "id"], "i").alias("a"), node(["scope", "key"], "k").alias("b")))
-    graph = graph.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
-    found = connected_components(graph)
-    return ids.select("scope", "person", "id").distinct().withColumn("node", F.xxhash64(node(["scope", "id"], "i"))).join(found, "node").select("scope", "person", "id", "component")
+    edges = materialize(_checked(edges, base, typed.join(key_of, ["person", "name"]).select("scope", "person", "name", "key").distinct()))
+    node = lambda kind, *cols: F.xxhash64(F.lit(kind), *cols)
+    stars = ids.select("scope", "person", "id", node("i", "scope", "id").alias("a"), node("k", "scope", "key").alias("b"))
+    links = edges.select(node("k", "scope", "ka").alias("a"), node("k", "scope", "kb").alias("b"))
+    # a name of one id that has no edge to another name adds nothing to the graph
+    linked = links.select(F.col("a").alias("b")).unionByName(links.select("b")).distinct()
+    shared = stars.groupBy("b").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo < hi").select("b")
+    useful = stars.select("a", "b").join(linked.unionByName(shared).distinct(), "b", "left_semi")
+    found = connected_components(links.unionByName(useful.select("a", "b")))
+    alone = stars.select("scope", "person", "id", "a").distinct()
+    return alone.join(found.withColumnRenamed("node", "a"), "a", "left").select("scope", "person", "id", F.coalesce("component", "a").alias("component"))
 
 
 def _only_ones(pairs: DataFrame) -> DataFrame:
@@ -261,21 +268,25 @@ def _only_ones(pairs: DataFrame) -> DataFrame:
 
 
 def _checked(edges: DataFrame, base: DataFrame, key_of: DataFrame) -> DataFrame:
-    """Edges without those whose names stand in one list, and of the weak ones those with a stake in common."""
-    rows = base.select("scope", "person", "name", "list", "stake").distinct().join(key_of, ["person", "name"]).select("scope", "key", "list", "stake")
-    wanted = edges.select("scope", F.col("ka").alias("key")).unionByName(edges.select("scope", F.col("kb").alias("key"))).distinct()
-    rows = materialize(rows.join(wanted, ["scope", "key"], "left_semi"))
-    n = rows.groupBy("scope", "key").agg(F.count(F.lit(1)).alias("n"))
-    sized = edges.join(n.select("scope", F.col("key").alias("ka"), F.col("n").alias("na")), ["scope", "ka"], "left").join(n.select("scope", F.col("key").alias("kb"), F.col("n").alias("nb")), ["scope", "kb"], "left")
+    """Edges without those whose names stand in one list, and of the weak ones those with a stake in common.
+
+    key_of: (scope, person, name, key). Names and keys are compared as hashes of scope and text; only rows whose name is in
+    an edge are shuffled further.
+    """
+    e = edges.select("scope", "ka", "kb", "weak", F.xxhash64("scope", "ka").alias("a"), F.xxhash64("scope", "kb").alias("b"))
+    wanted = e.select("a").unionByName(e.select(F.col("b").alias("a"))).distinct()
+    names = key_of.select(F.xxhash64("scope", "name").alias("n"), F.xxhash64("scope", "key").alias("a")).join(wanted, "a", "left_semi").distinct()
+    rows = materialize(base.select(F.xxhash64("scope", "name").alias("n"), "list", "stake").join(names, "n").select("a", "list", "stake"))
+    n = rows.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    sized = e.select("a", "b", "weak").join(n.withColumnRenamed("n", "na"), "a", "left").join(n.select(F.col("a").alias("b"), F.col("n").alias("nb")), "b", "left")
     a_rarer = F.coalesce("na", F.lit(0)) <= F.coalesce("nb", F.lit(0))
-    sized = sized.select("scope", "ka", "kb", "weak", F.when(a_rarer, F.col("ka")).otherwise(F.col("kb")).alias("key"), F.when(a_rarer, F.col("kb")).otherwise(F.col("ka")).alias("other"))
-    met = sized.join(rows, ["scope", "key"])
-    lists = rows.select("scope", F.col("key").alias("other"), "list").distinct()
-    stakes = rows.where("stake IS NOT NULL").select("scope", F.col("key").alias("other"), "stake").distinct()
-    clash = met.join(lists, ["scope", "other", "list"], "left_semi").select("scope", "ka", "kb").distinct()
-    backed = met.where("weak").join(stakes, ["scope", "other", "stake"], "left_semi").select("scope", "ka", "kb").distinct()
-    free = edges.join(clash, ["scope", "ka", "kb"], "left_anti")
-    return free.where("NOT weak").select("scope", "ka", "kb").unionByName(free.where("weak").join(backed, ["scope", "ka", "kb"], "left_semi").select("scope", "ka", "kb"))
+    sized = sized.select("weak", "a", "b", F.when(a_rarer, F.col("a")).otherwise(F.col("b")).alias("key"), F.when(a_rarer, F.col("b")).otherwise(F.col("a")).alias("other"))
+    met = sized.join(rows.withColumnRenamed("a", "key"), "key")
+    lists, stakes = rows.select(F.col("a").alias("other"), "list"), rows.where("stake IS NOT NULL").select(F.col("a").alias("other"), "stake")
+    clash = met.join(lists, ["other", "list"], "left_semi").select("a", "b").distinct()
+    backed = met.where("weak").join(stakes, ["other", "stake"], "left_semi").select("a", "b").distinct()
+    free = e.join(clash, ["a", "b"], "left_anti")
+    return free.where("NOT weak").select("scope", "ka", "kb").unionByName(free.where("weak").join(backed, ["a", "b"], "left_semi").select("scope", "ka", "kb"))
 
 
 def variant_pairs(components: DataFrame) -> DataFrame:
