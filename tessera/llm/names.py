@@ -271,6 +271,7 @@ def _english(s: str, places: frozenset[str]) -> Organisation:
     return Organisation(kind, words[0] if words else "", False, industry, place, "", "", "ltd" in tail, low.strip())
 
 
+@lru_cache(maxsize=200_000)
 def parse_organisation(name: str | None, places: frozenset[str]) -> Organisation | None:
     """``places``: names of towns and provinces without their rank."""
     if not name or not name.strip():

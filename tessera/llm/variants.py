@@ -79,9 +79,8 @@ def organisation_blocks(o) -> list[str]:
     if o.kind == "fund" and o.manager and o.manager != o.brand:
         m = syllables(o.manager)
         out.add(f"d|{fixed}|" + " ".join(sorted(m)))
-    if len(o.plain) > 6:
-        out.add("w|" + reading(o.plain[:2]) + "|" + str(len(o.plain) // 4))
-        out.add("w|" + reading(o.plain[:2]) + "|" + str((len(o.plain) + 1) // 4))
+    if len(o.plain) > 6 and len(o.brand) > 1:
+        out.add("w|" + reading(o.brand[:2]))
     return sorted(out)
 
 
