@@ -275,7 +275,7 @@ def evaluate(tagger: Tagger, texts: list[str], labeller: Labeller) -> dict[str,
     return {k: tuple(v) for k, v in out.items()}
 
 
-def train(texts: list[str], labeller: Labeller, out: str, *, epochs: int = 6, batch: int = 128, rate: float = 4e-3, seconds: float = 900, seed: int = 0) -> None:
+def train(texts: list[str], labeller: Labeller, out: str, *, epochs: int = 14, batch: int = 128, rate: float = 4e-3, seconds: float = 900, seed: int = 0) -> None:
     from collections import Counter
 
     rng = np.random.default_rng(seed)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.llm.leakage import leaked_documents, remove_leaks
 from tessera.llm.matching import _entities, match_entities
 from tessera.llm.packing import CAPACITY, pack_documents
+from tessera.llm.pii import find_pii, pii_counts, redact
 from tessera.llm.variants import gazetteer, link_variants, variant_pairs
 from tessera.session import table
 
@@ -76,5 +77,17 @@ def p5_entities(spark: SparkSession, sf: str) -> DataFrame:
     return c.join(size, "component").select("scope", "person", F.col("id").alias("holder_entity_id"), F.col("component").alias("entity_class"), "n_ids")
 
 
-QUERIES = {"p1_found": p1_found, "p1_confidences": p1_confidences, "p5_found": p5_found, "p5_entities": p5_entities, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_found": p7_found, "p7_cleaned": p7_cleaned}
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return find_pii(table(spark, sf, "documents")).select("doc_id", "pii_type", "char_start")
+
+
+def p8_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return redact(table(spark, sf, "documents"))
+
+
+def p8_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return pii_counts(find_pii(table(spark, sf, "documents")))
+
+
+QUERIES = {"p8_found": p8_found, "p8_redacted": p8_redacted, "p8_counts": p8_counts, "p1_found": p1_found, "p1_confidences": p1_confidences, "p5_found": p5_found, "p5_entities": p5_entities, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_found": p7_found, "p7_cleaned": p7_cleaned}
 SQL: dict[str, str] = {}
