@@ -72,8 +72,8 @@ def sections(text: str | None) -> dict[str, str]:
     """Label -> text up to the next label; the first non-empty one of a label counts."""
     out: dict[str, str] = {}
     found = list(_SECTION.finditer(text or ""))
-    for m, nxt in zip(found, [*[f.start() for f in found[1:]], len(text or "")], strict=True):
-        body = text[m.end() : nxt].strip()
+    for k, m in enumerate(found):
+        body = text[m.end() : found[k + 1].start() if k + 1 < len(found) else len(text)].strip()
         if body:
             out.setdefault(m[1], body)
     return out

@@ -1,0 +1,149 @@
+"""Companies and names: universe, alias index, links by name, audit of holders without a link, names in texts."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from tessera.functions.columns import canonical_company_id, classify_company_code, dice, grams, legal_core_name, normalize_alias, normalize_name, title_prefix_alias
+from tessera.functions.udfs import sequence_ratio
+from tessera.session import materialize
+
+#: Grams that legal forms and common words share tell nothing.
+COMMON_GRAMS = ("股份", "份有", "有限", "限公", "公司", "集团", "团股", "限责", "责任", "任公")
+VEHICLES = ("基金", "计划", "合伙", "信托", "资产管理", "结算", "年金", "保险")
+
+
+def company_universe(*sources: tuple[DataFrame, str, str, str | None, str | None]) -> DataFrame:
+    """One row per code over sources (rows, name of source, code column, name column, date column): class, sources, names,
+    first and last date."""
+    out = None
+    for rows, label, code, name, day in sources:
+        one = rows.select(F.upper(F.trim(F.col(code))).alias("company_id"), F.lit(label).alias("source"), (F.col(name) if name else F.lit(None).cast("string")).alias("name"), (F.col(day).cast("date") if day else F.lit(None).cast("date")).alias("day")).where("company_id <> ''")
+        one = one.groupBy("company_id", "source", "name").agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("company_id").agg(F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources"), F.count_distinct("name").alias("n_names"), F.min("lo").alias("first_date"), F.max("hi").alias("last_date")).select("company_id", classify_company_code(F.col("company_id")).alias("code_class"), "sources", "n_names", "first_date", "last_date")
+
+
+def alias_index(companies: DataFrame, aliases: DataFrame, titles: DataFrame) -> DataFrame:
+    """(alias, company_id, source): normalized aliases of companies (company_id, canonical_name), stated aliases (entity_id,
+    alias, source) and prefixes of titles (company_id, title); the first source by order counts."""
+    a = companies.select(normalize_alias(F.col("canonical_name")).alias("alias"), "company_id", F.lit("0 company_profile").alias("source"))
+    codes = companies.select(F.col("company_id").alias("alias"), "company_id", F.lit("1 code").alias("source"))
+    b = aliases.join(companies.select(F.col("company_id").alias("entity_id")), "entity_id", "left_semi").select(normalize_alias(F.col("alias")).alias("alias"), F.col("entity_id").alias("company_id"), F.concat(F.lit("2 "), F.col("source")).alias("source"))
+    c = titles.select(normalize_alias(title_prefix_alias(F.col("title"))).alias("alias"), "company_id", F.lit("3 title").alias("source")).where("alias IS NOT NULL AND company_id IS NOT NULL")
+    every = a.unionByName(codes).unionByName(b).unionByName(c).where("alias <> ''")
+    return every.groupBy("alias", "company_id").agg(F.substring(F.min("source"), 3, 100).alias("source"))
+
+
+def link_holders(holder_names: DataFrame, company_names: DataFrame) -> DataFrame:
+    """(holder_entity_id, company_id, match_method, confidence, linked): links by the only company of a legal name, else of a
+    name, else of a legal core that also has one holder only; candidates where a name leads to several.
+
+    holder_names: holder_entity_id, name. company_names: company_id, name, is_legal. Three equi-joins in order of
+    priority, each over the holders the one before left.
+    """
+    h = holder_names.select("holder_entity_id", normalize_name(F.col("name")).alias("norm"), legal_core_name(F.col("name")).alias("core")).where("norm <> ''").distinct()
+    c = company_names.select("company_id", "is_legal", normalize_name(F.col("name")).alias("norm"), legal_core_name(F.col("name")).alias("core")).where("norm <> ''").distinct()
+
+    def step(rest: DataFrame, names: DataFrame, key: str, method: str, sure: float, unsure: float) -> DataFrame:
+        hits = rest.select("holder_entity_id", key).join(names.select("company_id", key).distinct(), key).select("holder_entity_id", "company_id").distinct()
+        n = F.count(F.lit(1)).over(Window.partitionBy("holder_entity_id"))
+        return hits.withColumn("n", n).select("holder_entity_id", "company_id", F.when(F.col("n") == 1, method).otherwise(f"ambiguous_{method}").alias("match_method"), F.when(F.col("n") == 1, sure).otherwise(unsure).alias("confidence"), (F.col("n") == 1).alias("linked"))
+
+    legal = materialize(step(h, c.where("is_legal"), "norm", "exact_legal_name", 1.0, 0.7))
+    rest = h.join(legal, "holder_entity_id", "left_anti")
+    exact = materialize(step(rest, c, "norm", "exact_normalized_name", 1.0, 0.6))
+    rest = rest.join(exact, "holder_entity_id", "left_anti")
+    one_company = c.groupBy("core").agg(F.count_distinct("company_id").alias("nc"), F.min("company_id").alias("only"))
+    one_holder = h.groupBy("core").agg(F.count_distinct("holder_entity_id").alias("nh"))
+    cores = rest.select("holder_entity_id", "core").distinct().join(one_company, "core").join(one_holder, "core")
+    unique = cores.where("nc = 1 AND nh = 1").groupBy("holder_entity_id").agg(F.count_distinct("only").alias("k"), F.min("only").alias("company_id")).where("k = 1").select("holder_entity_id", "company_id", F.lit("unique_legal_core").alias("match_method"), F.lit(0.95).alias("confidence"), F.lit(True).alias("linked"))
+    rest = rest.join(unique, "holder_entity_id", "left_anti")
+    vague = rest.select("holder_entity_id", "core").join(c.select("company_id", "core").distinct(), "core").select("holder_entity_id", "company_id").distinct().select("*", F.lit("ambiguous_legal_core").alias("match_method"), F.lit(0.5).alias("confidence"), F.lit(False).alias("linked"))
+    return legal.unionByName(exact).unionByName(unique).unionByName(vague)
+
+
+def audit_unlinked(holders: DataFrame, companies: DataFrame, links: DataFrame, *, min_score: float = 0.62, top: int = 3) -> DataFrame:
+    """Holders without any link beside the companies whose names are nearest: (holder_entity_id, company_id, rank, score, band,
+    finding).
+
+    Candidates share a bigram of their core names, an inverted-index join of distinct names; each pair is scored once in an
+    Arrow batch. holders: holder_entity_id, name; companies: company_id, name.
+    """
+    free = holders.join(links.select("holder_entity_id").distinct(), "holder_entity_id", "left_anti")
+    vehicle = F.exists(F.array(*map(F.lit, VEHICLES)), lambda v: F.contains(F.col("name"), v))
+    plain = free.where(~vehicle)
+    side = lambda df, i: df.select(i, normalize_name(F.col("name")).alias("n"), legal_core_name(F.col("name")).alias("core")).where("n <> ''").distinct()
+    a, b = side(plain, "holder_entity_id"), side(companies, "company_id")
+    # a three-character window of the core is rare enough to meet on, its bigrams score
+    keyed = lambda df, core: df.select("*", F.explode(F.array_distinct(F.filter(grams(F.col(core), 3), lambda g: ~g.isin(*COMMON_GRAMS)))).alias("g"))
+    pairs = keyed(a, "core").join(keyed(b.withColumnRenamed("n", "m").withColumnRenamed("core", "mcore"), "mcore"), "g").select("holder_entity_id", "n", "core", "company_id", "m", "mcore").distinct()
+    shorter, longer = F.least(F.length("core"), F.length("mcore")), F.greatest(F.length("core"), F.length("mcore"))
+    inside = (shorter >= 4) & (F.col("mcore").contains(F.col("core")) | F.col("core").contains(F.col("mcore")))
+    blend = 0.55 * sequence_ratio("n", "m") + 0.45 * dice(F.array_distinct(grams(F.col("n"))), F.array_distinct(grams(F.col("m"))))
+    score = F.when(F.col("n") == F.col("m"), 1.0).when(inside, F.greatest(F.col("blend"), 0.88 + 0.08 * shorter / longer)).otherwise(F.col("blend"))
+    scored = pairs.withColumn("blend", blend).select("holder_entity_id", "company_id", F.round(F.least(score, F.lit(1.0)), 6).alias("score"), (F.col("n") == F.col("m")).alias("same"), ((F.col("core") == F.col("mcore")) & (F.col("core") != "")).alias("same_core"))
+    best = scored.groupBy("holder_entity_id", "company_id").agg(F.max(F.struct("score", "same", "same_core")).alias("s")).select("holder_entity_id", "company_id", "s.*").where(F.col("score") >= min_score)
+    w = Window.partitionBy("holder_entity_id").orderBy(F.col("score").desc(), "company_id")
+    ranked = best.select("*", F.row_number().over(w).alias("rank"), (F.col("score") - F.coalesce(F.lead("score").over(w), F.lit(0.0))).alias("margin")).where(F.col("rank") <= top)
+    finding = F.when(F.col("same") & (F.col("margin") >= 0.03), "likely_same_entity").when(F.col("same_core"), "legal_core_collision").when(F.col("score") >= 0.78, "likely_related_entity").otherwise("uncertain")
+    found = ranked.select("holder_entity_id", "company_id", "rank", "score", score_band(F.col("score")).alias("band"), F.when(F.col("rank") == 1, finding).alias("finding"))
+    none = lambda df, why: df.select("holder_entity_id").distinct().select("holder_entity_id", F.lit(None).cast("string").alias("company_id"), F.lit(None).cast("int").alias("rank"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("band"), F.lit(why).alias("finding"))
+    return found.unionByName(none(free.where(vehicle), "institution_or_vehicle")).unionByName(none(plain.join(found, "holder_entity_id", "left_anti"), "insufficient_candidate"))
+
+
+def score_band(score: Column) -> Column:
+    low = F.floor(F.round(score * 20, 9)) / 20
+    return F.concat(F.format_number(low, 2), F.lit("-"), F.format_number(F.least(low + 0.05, F.lit(1.0)), 2))
+
+
+def resolve_companies(terms: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(term, company_id, status): a code with or without its exchange, else an alias; resolved, ambiguous or not_found."""
+    t = terms.select("term").distinct().withColumn("key", F.coalesce(canonical_company_id(F.col("term")), normalize_alias(F.col("term"))))
+    hits = t.join(aliases.select(F.col("alias").alias("key"), "company_id"), "key").groupBy("term").agg(F.count_distinct("company_id").alias("n"), F.min("company_id").alias("company_id"))
+    return t.join(hits, "term", "left").select("term", F.when(F.col("n") == 1, F.col("company_id")).alias("company_id"), F.when(F.col("n").isNull(), "not_found").when(F.col("n") == 1, "resolved").otherwise("ambiguous").alias("status"))
+
+
+def names_in_texts(texts: DataFrame, names: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 4, block: int = 500_000) -> DataFrame:
+    """(id, alias): the longest aliases that stand in each text; one that lies inside a longer one found there is not reported.
+
+    All aliases are searched at once by an Aho-Corasick automaton. The automaton is broadcast in blocks of ``block`` aliases
+    (dealt by hash), the proven bound of what one task holds; more aliases cost further passes. names: alias.
+    """
+    kind = texts.schema[id_col].dataType.simpleString()
+    wanted = names.select("alias").where(F.length("alias") >= least).distinct()
+    n = max(1, -(-wanted.count() // block))
+    out = None
+    for b in range(n):
+        words = [r[0] for r in wanted.where(F.pmod(F.xxhash64("alias"), F.lit(n)) == b).collect()]
+        shared = texts.sparkSession.sparkContext.broadcast(words)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            auto = ahocorasick.Automaton()
+            for w in shared.value:
+                auto.add_word(w, w)
+            if not shared.value:
+                return
+            auto.make_automaton()
+            for batch in batches:
+                rows = []
+                for i, t in enumerate(batch.column(1).to_pylist()):
+                    if t:
+                        t = re.sub(r"\s", "", t).upper()
+                        rows += [(i, w, e - len(w) + 1, e + 1) for e, w in auto.iter(t)]
+                i, w, s, e = zip(*rows, strict=True) if rows else ((),) * 4
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i, pa.int64())), pa.array(w, pa.string()), pa.array(s, pa.int64()), pa.array(e, pa.int64())], [id_col, "alias", "s", "e"])
+
+        one = texts.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, alias string, s bigint, e bigint")
+        out = one if out is None else out.unionByName(one)
+    # a match inside another has an earlier or equal start with a later end before it, or the same start and a later end
+    w = Window.partitionBy(id_col).orderBy("s", F.col("e").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    free = out.withColumn("reach", F.max("e").over(w)).where("reach IS NULL OR e > reach")
+    return free.select(id_col, "alias").distinct()
