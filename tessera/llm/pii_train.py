@@ -51,7 +51,7 @@ class Labeller:
         self.email = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*\s?(?:@|[(\[]\s?at\s?[)\]])\s?[A-Za-z0-9-]+(?:\s?(?:\.|[(\[]\s?dot\s?[)\]])\s?[A-Za-z]{2,})+", re.I)
         mobile = r"(?:(?:\((?:\+|00)?86\)|(?:\+|00)?86)[\s-]?)?1[3-9]\d(?:[\s.-]?\d{4}[\s.-]?\d{4}|\d{3}\s\d{5})"
         land = r"(?:(?:\+|00)86[\s-]?)?(?:\(0\d{2,3}\)\s?|0\d{2,3}[\s-]?|(?<=86-)\d{3}-)\d{3,4}[\s-]?\d{4}(?:转\d{1,5})?"
-        self.phone = re.compile(rf"(?<![\d,.*A-Za-z])(?:{mobile}|{land}|\+86-\d{{3}}-\d{{7,8}}|\+1\s?\(\d{{3}}\)\s?\d{{3}}-\d{{4}})(?![\d,*股]|\.\d|万|元)|(?<![一二三四五六七八九〇零])[一二三四五六七八九〇零]{{11}}(?![一二三四五六七八九〇零])")
+        self.phone = re.compile(rf"(?<![\d*A-Za-z])(?<!\d[,.])(?:{mobile}|{land}|\+86-\d{{3}}-\d{{7,8}}|\+1\s?\(\d{{3}}\)\s?\d{{3}}-\d{{4}})(?![\d*股]|[,.]\d|万|元)|(?<![一二三四五六七八九〇零])[一二三四五六七八九〇零]{{11}}(?![一二三四五六七八九〇零])")
         self.ident = re.compile(r"(?<![A-Za-z\d])(?:99\d{4}[\s-]?(?:19|20)\d{6}[\s-]?\d{3}[\dXx]|99\d{13}|(?:E[A-Z]?|[GHCMP])\d{7,8})(?![A-Za-z\d])")
         self.flat = re.compile(r"(?:Flat\s[A-Z],\s?\d+/F,\s?|Room\s\d+,\s?(?:No\.?\s?)?|Unit\s\w+,\s?|No\.\s?)?\d+\s(?:[A-Z][a-zA-Z]+\s){1,3}(?:Road|Street|Avenue|Lane|ROAD|STREET|AVENUE|LANE)\b", re.I)
         self.office = re.compile(r"(?:Registered|Principal|Head)\s+(?:office|address)[^.]{0,20}$", re.I)

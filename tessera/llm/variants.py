@@ -125,7 +125,7 @@ def judge_persons(x: dict, y: dict) -> str:
     if x["han"] and y["han"]:
         a, b = x["brand"], y["brand"]
         like = max(jaro_winkler(a, b), jaro_winkler(x["sound"], y["sound"]))
-        if like < MIN_SIMILARITY:
+        if like < MIN_SIMILARITY - 1e-9:
             return ""
         if sorted(a) == sorted(b) and a[0] == b[0]:
             return "sure"
