@@ -237,8 +237,8 @@ def _take_place(s: str, places: frozenset[str]) -> tuple[str, str]:
             rest = s[n:]
             if rest[0] in "市省" and len(rest) > 1:
                 rest = rest[1:]
-            # a province may be followed by its town
-            return s[:n], rest
+            # a province says too little: any of its towns may stand in another spelling
+            return ("" if s[:n] + "省" in places else s[:n]), rest
     return "", s
 
 
@@ -273,7 +273,7 @@ def _english(s: str, places: frozenset[str]) -> Organisation:
 
 @lru_cache(maxsize=200_000)
 def parse_organisation(name: str | None, places: frozenset[str]) -> Organisation | None:
-    """``places``: names of towns and provinces without their rank."""
+    """``places``: names of towns without their rank, of provinces with and without it."""
     if not name or not name.strip():
         return None
     raw = fold(name)

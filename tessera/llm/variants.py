@@ -8,8 +8,8 @@ row, and ids with their typed names are the edges of a graph whose connected com
 Persons are compared within their scope (the target company), organisations everywhere.
 
 Exact checks after the comparison: a holder stands once in a list, so two names that stand in one announced list are
-never joined; a name that differs by a character that sounds otherwise needs a list of the same company in which its
-holder has the very ratio of the other; short and Latin names are joined only where one full name fits.
+never joined; a name that differs in the last character, where relatives differ, needs a list of the same company in
+which its holder has the very ratio of the other; short and Latin names are joined only where one full name fits.
 
 Scale: blocks hold distinct names, not rows; a name's rows are only met through the rarer name of a candidate pair, so a
 name that has a third of all rows is never expanded unless its partner is as frequent. Ids are tied to names as stars,
@@ -41,13 +41,15 @@ _SHORT_FOR = {"lp", "invmanage", "core", "asset", "invgroup", "manager"}
 
 
 def gazetteer(*columns: DataFrame) -> frozenset[str]:
-    """Names of towns and provinces in columns of registered places. As many as geography has; the most frequent
-    ``MAX_PLACES`` are kept."""
+    """Names of towns and provinces in columns of registered places; a province also stands with its rank. As many as
+    geography has; the most frequent ``MAX_PLACES`` are kept."""
     text = columns[0]
     for c in columns[1:]:
         text = text.union(c)
     p = F.col(text.columns[0])
-    found = text.where(p.isNotNull()).select(F.explode(F.array_compact(F.array(F.regexp_extract(p, r"(?:^|省)\s*([\x{4e00}-\x{9fff}]{2,4})市", 1), F.regexp_extract(p, r"^\s*([\x{4e00}-\x{9fff}]{2,4})省", 1)))).alias("place")).where("place <> ''")
+    town, province = F.regexp_extract(p, r"(?:^|省)\s*([\x{4e00}-\x{9fff}]{2,4})市", 1), F.regexp_extract(p, r"^\s*([\x{4e00}-\x{9fff}]{2,4})省", 1)
+    with_rank = F.when(province != "", F.concat(province, F.lit("省"))).otherwise("")
+    found = text.where(p.isNotNull()).select(F.explode(F.array(town, province, with_rank)).alias("place")).where("place <> ''")
     return frozenset(r[0] for r in found.groupBy("place").count().where("count > 1").orderBy(F.desc("count"), "place").limit(MAX_PLACES).collect())
 
 
@@ -131,7 +133,8 @@ def judge_persons(x: dict, y: dict) -> str:
             return "sure"
         if not one_edit(a, b) or a[0] != b[0]:
             return ""
-        return "sure" if x["sound"] == y["sound"] else "weak"
+        # relatives share the first character of the given name and differ in the last
+        return "sure" if len(a) == len(b) and a[-1] == b[-1] else "weak"
     return "one" if x["sound"] == y["sound"] else ""
 
 
@@ -140,7 +143,7 @@ def judge_organisations(x: dict, y: dict) -> str:
         s, f = (x, y) if x["kind"] == "short" else (y, x)
         if f["kind"] == "short":
             return "sure" if s["brand"] == f["brand"] and s["industry"] == f["industry"] and _agrees(s["place"], f["place"]) and s["plain"][-2:] == f["plain"][-2:] else ""
-        if len(s["brand"]) > 4 or len(s["plain"]) > len(s["brand"]) + 6:
+        if len(s["brand"]) > 4:
             return "sure" if one_edit(s["plain"], f["plain"]) else ""
         if s["sound"] != f["sound"] or f["kind"] not in _SHORT_FOR or not _agrees(s["place"], f["place"]) or not _agrees(s["industry"], f["industry"]):
             return ""
@@ -168,7 +171,7 @@ def judge_organisations(x: dict, y: dict) -> str:
         return ""
     placed = bool(x["place"]) and x["place"] == y["place"]
     if x["sound"] == y["sound"]:
-        return "sure" if placed or x["kind"] in ("fund", "plan", "sub", "sales") else "weak"
+        return "sure" if placed or x["kind"] in ("fund", "plan", "sub", "sales") else "one weak"
     if placed and sorted(a) == sorted(b):
         return "sure"
     # a brand with a character left out may come from several
@@ -228,16 +231,19 @@ def link_variants(
     # blocks meet as hashes; what the names say is joined to the pairs that come out
     short = F.col("kind") == "short"
     # whole-name blocks are for names with an error in a keyword; such a name has to be one of the two
-    odd = short & ((F.length("brand") > 4) | (F.length("plain") > F.length("brand") + 6))
+    odd = short & (F.length("brand") > 4)
     lean = known.select("k", F.explode("blocks").alias("block"), "scope", short.alias("short"), odd.alias("odd")).select("k", F.xxhash64("scope", "block").alias("h"), F.when(F.substring("block", 1, 1) == "w", F.col("odd")).when(F.substring("block", 1, 1) == "b", F.col("short")).otherwise(F.lit(True)).alias("may"))
     met = lean.alias("x").join(lean.alias("y"), "h").where("x.k < y.k AND (x.may OR y.may)").select(F.col("x.k").alias("kl"), F.col("y.k").alias("kr")).distinct()
     item = F.struct("key", "kind", "brand", "sound", "han", "industry", "place", "detail", "manager", "plain")
     pairs = met.join(known.select(F.col("k").alias("kl"), "scope", "person", item.alias("l")), "kl").join(known.select(F.col("k").alias("kr"), item.alias("r")), "kr").select("scope", "person", "l", "r")
     judged = materialize(_judge(pairs).distinct())
-    one = _only_ones(judged.where("startswith(verdict, 'one')"))
-    agreed = judged.where("verdict <> 'one'").select("scope", "ka", "kb", F.col("verdict").endswith("weak").alias("weak")).unionByName(one).unionByName(side.select("scope", "ka", "kb", F.lit(False).alias("weak")))
-    edges = agreed.select("scope", F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb"), "weak").groupBy("scope", "ka", "kb").agg(F.min("weak").alias("weak"))
-    edges = materialize(_checked(edges, base, typed.join(key_of, ["person", "name"]).select("scope", "person", "name", "key").distinct()))
+    one = _turned(judged.where("startswith(verdict, 'one')"))
+    agreed = judged.where("verdict <> 'one'").select("scope", "ka", "kb", F.col("verdict").endswith("weak").alias("weak")).unionByName(side.select("scope", "ka", "kb", F.lit(False).alias("weak")))
+    every = agreed.withColumn("sole", F.lit(False)).unionByName(one.select("scope", F.col("less").alias("ka"), F.col("full").alias("kb"), F.lit(False).alias("weak"), F.lit(True).alias("sole")))
+    edges = every.select("scope", F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb"), "weak", "sole").groupBy("scope", "ka", "kb", "sole").agg(F.min("weak").alias("weak"))
+    passed = materialize(_checked(edges, base, typed.join(key_of, ["person", "name"]).select("scope", "person", "name", "key").distinct()))
+    firm = passed.where("NOT sole").select("scope", "ka", "kb")
+    edges = firm.unionByName(_sole_names(one.join(passed.where("sole").select("scope", "ka", "kb"), ["scope", "ka", "kb"], "left_semi"), firm)).distinct()
     node = lambda kind, *cols: F.xxhash64(F.lit(kind), *cols)
     stars = ids.select("scope", "person", "id", node("i", "scope", "id").alias("a"), node("k", "scope", "key").alias("b"))
     links = edges.select(node("k", "scope", "ka").alias("a"), node("k", "scope", "kb").alias("b"))
@@ -250,20 +256,31 @@ def link_variants(
     return alone.join(found.withColumnRenamed("node", "a"), "a", "left").select("scope", "person", "id", F.coalesce("component", "a").alias("component"))
 
 
-def _only_ones(pairs: DataFrame) -> DataFrame:
-    """Of the pairs of an abbreviated and a full name those in which the abbreviation has one full name only.
-
-    Full names that differ in place alone are one here.
-    """
+def _turned(pairs: DataFrame) -> DataFrame:
+    """(scope, ka, kb, less, full, family, place): pairs of an abbreviated and a full name; the family of a full name is the
+    name without its place."""
     key_a = (F.col("kinda").isin("short", "initials")) | (~F.col("ha") & F.col("hb"))
     key_b = (F.col("kindb").isin("short", "initials")) | (~F.col("hb") & F.col("ha"))
     # without an abbreviation the one that says less (no place, no detail) is the shorter key
     a_less = key_a | (~key_b & (F.length("ka") < F.length("kb")))
-    turned = pairs.select("scope", F.when(a_less, F.col("ka")).otherwise(F.col("kb")).alias("less"), F.when(a_less, F.col("kb")).otherwise(F.col("ka")).alias("full"), "person")
+    t = pairs.select("scope", F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb"), F.when(a_less, F.col("ka")).otherwise(F.col("kb")).alias("less"), F.when(a_less, F.col("kb")).otherwise(F.col("ka")).alias("full"), "person")
     family = F.when(F.col("person"), F.col("full")).otherwise(F.regexp_replace("full", r"\|[^|]*$", ""))
-    places = F.when(F.col("person"), F.lit("")).otherwise(F.regexp_extract("full", r"\|([^|]*)$", 1))
-    counted = turned.groupBy("scope", "less").agg(F.count_distinct(family).alias("families"), F.count_distinct(F.nullif(places, F.lit(""))).alias("places"))
-    return turned.join(counted.where("families = 1 AND places <= 1"), ["scope", "less"]).select("scope", F.col("less").alias("ka"), F.col("full").alias("kb"), F.lit(False).alias("weak"))
+    place = F.when(F.col("person"), F.lit("")).otherwise(F.regexp_extract("full", r"\|([^|]*)$", 1))
+    return t.select("scope", "ka", "kb", "less", "full", family.alias("family"), F.nullif(place, F.lit("")).alias("place")).distinct()
+
+
+def _sole_names(turned: DataFrame, firm: DataFrame) -> DataFrame:
+    """(scope, ka, kb) of the pairs whose abbreviation has one full name only: one family, or several that are joined with
+    each other already, and no two places."""
+    counted = turned.groupBy("scope", "less").agg(F.count_distinct("family").alias("families"), F.count_distinct("place").alias("places"))
+    single = counted.where("families = 1 AND places <= 1").select("scope", "less")
+    several = turned.join(counted.where("families > 1 AND places <= 1").select("scope", "less", "families"), ["scope", "less"])
+    ends = firm.select("scope", F.col("ka").alias("full"), F.col("kb").alias("other")).unionByName(firm.select("scope", F.col("kb").alias("full"), F.col("ka").alias("other")))
+    other = several.select("scope", "less", F.col("full").alias("other"), F.col("family").alias("other_family"))
+    # each edge between families of one abbreviation; a tree over n families has n - 1 of them
+    tied = several.join(ends, ["scope", "full"]).join(other, ["scope", "less", "other"]).where("family < other_family").select("scope", "less", "families", "family", "other_family").distinct()
+    joined = tied.groupBy("scope", "less", "families").agg(F.count(F.lit(1)).alias("ties")).where("ties >= families - 1").select("scope", "less")
+    return turned.join(single.unionByName(joined), ["scope", "less"], "left_semi").select("scope", "ka", "kb").distinct()
 
 
 def _checked(edges: DataFrame, base: DataFrame, key_of: DataFrame) -> DataFrame:
@@ -272,7 +289,7 @@ def _checked(edges: DataFrame, base: DataFrame, key_of: DataFrame) -> DataFrame:
     key_of: (scope, person, name, key). Names and keys are compared as hashes of scope and text; only rows whose name is in
     an edge are shuffled further.
     """
-    e = edges.select("scope", "ka", "kb", "weak", F.xxhash64("scope", "ka").alias("a"), F.xxhash64("scope", "kb").alias("b"))
+    e = edges.select("scope", "ka", "kb", "weak", "sole", F.xxhash64("scope", "ka").alias("a"), F.xxhash64("scope", "kb").alias("b"))
     wanted = e.select("a").unionByName(e.select(F.col("b").alias("a"))).distinct()
     names = key_of.select(F.xxhash64("scope", "name").alias("n"), F.xxhash64("scope", "key").alias("a")).join(wanted, "a", "left_semi").distinct()
     rows = materialize(base.select(F.xxhash64("scope", "name").alias("n"), "list", "stake").join(names, "n").select("a", "list", "stake"))
@@ -285,7 +302,7 @@ def _checked(edges: DataFrame, base: DataFrame, key_of: DataFrame) -> DataFrame:
     clash = met.join(lists, ["other", "list"], "left_semi").select("a", "b").distinct()
     backed = met.where("weak").join(stakes, ["other", "stake"], "left_semi").select("a", "b").distinct()
     free = e.join(clash, ["a", "b"], "left_anti")
-    return free.where("NOT weak").select("scope", "ka", "kb").unionByName(free.where("weak").join(backed, ["a", "b"], "left_semi").select("scope", "ka", "kb"))
+    return free.where("NOT weak").select("scope", "ka", "kb", "sole").unionByName(free.where("weak").join(backed, ["a", "b"], "left_semi").select("scope", "ka", "kb", "sole"))
 
 
 def variant_pairs(components: DataFrame) -> DataFrame:
