@@ -196,3 +196,29 @@ def hash_id(prefix: str, length: int, *parts: Column) -> Column:
 
 def short_sha1(text: Column, length: int = 12) -> Column:
     return F.upper(F.substring(F.sha1(text), 1, length))
+
+
+# --- questions ----------------------------------------------------------------------------------------------------
+
+def mentioned_periods(text: Column) -> Column:
+    """Distinct report periods a text names, in order of kind: ISO dates, dates like 2023年6月30日, and years with a report
+    (年报 or 年度, 半年报, 一季报, 三季报). Digits on either side of a date make it none."""
+    t = F.coalesce(text, F.lit(""))
+    iso = F.transform(F.regexp_extract_all(t, F.lit(r"(?<!\d)(\d{4}-\d{2}-\d{2})(?!\d)"), F.lit(1)), lambda x: F.try_to_date(x, "yyyy-MM-dd"))
+    han = F.transform(F.regexp_extract_all(t, F.lit(r"(?<!\d)(\d{4}年\d{1,2}月\d{1,2}日)"), F.lit(1)), lambda x: F.try_to_date(x, "yyyy年M月d日"))
+    kinds = [(r"(?<!\d)(\d{4})年?(?:年报|年度报告|年度)", 12, 31), (r"(?<!\d)(\d{4})年?(?:半年报|半年度|中报)", 6, 30), (r"(?<!\d)(\d{4})年?(?:一季报|第一季度)", 3, 31), (r"(?<!\d)(\d{4})年?(?:三季报|前三季度)", 9, 30)]
+
+    def ends(pattern: str, month: int, day: int) -> Column:
+        return F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)), lambda y: F.make_date(y.cast("int"), F.lit(month), F.lit(day)))
+
+    years = [ends(*k) for k in kinds]
+    return F.array_distinct(F.array_compact(F.concat(iso, han, *years)))
+
+
+def mentioned_words(text: Column, words: dict[str, str]) -> Column:
+    """Labels of the words a text contains; a word inside a longer one that is there doesn't count."""
+    rest, out = F.coalesce(text, F.lit("")), []
+    for word in sorted(words, key=len, reverse=True):
+        out.append(F.when(rest.contains(word), F.lit(words[word])))
+        rest = F.replace(rest, F.lit(word), F.lit("\x00"))
+    return F.array_sort(F.array_distinct(F.array_compact(F.array(*out))))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.columns import mentioned_periods, mentioned_words
 from tessera.operators import runlog as rl
+from tessera.operators.financial import METRICS
 from tessera.session import table
 from tessera.streaming import windows as win
 
@@ -79,6 +81,14 @@ def log_state(spark: SparkSession, sf: str) -> DataFrame:
     return rl.carry_forward(c, "company_id", "at", "topic").select("claim_id", "known_topic")
 
 
+def log_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Periods and metrics that questions name."""
+    words = {m[1]: m[0] for m in METRICS}
+    q = _cases(spark, sf)
+    days = F.transform(mentioned_periods(F.col("question")), lambda d: F.date_format(d, "yyyy-MM-dd"))
+    return q.select("case_id", F.array_join(F.array_sort(days), ",").alias("periods"), F.array_join(mentioned_words(F.col("question"), words), ",").alias("metrics"))
+
+
 def st_tumbling(spark: SparkSession, sf: str) -> DataFrame:
     return win.tumbling(table(spark, sf, "events"), "1 hour", ["event_type"])
 
@@ -91,6 +101,15 @@ def st_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return win.sessions(table(spark, sf, "events"), "30 minutes", "user_id")
 
 
+def _strip_words() -> tuple[str, str]:
+    """SQL for the words of METRICS, longest first, each taken out before the next is looked for."""
+    rest, parts = "question", []
+    for code, word in sorted(((m[0], m[1]) for m in METRICS), key=lambda x: len(x[1]), reverse=True):
+        parts.append(f"CASE WHEN contains({rest}, '{word}') THEN '{code}' END")
+        rest = f"replace({rest}, '{word}', '|')"
+    return ", ".join(parts), rest
+
+
 _C = "c AS (SELECT DISTINCT ON (case_id) * FROM evaluation_cases)"
 SQL = {
     "log_case_order": rf"WITH {_C} SELECT case_id, CAST(regexp_extract(source_session_id, '(\d+)$', 1) AS INT) AS session_no, expected_turn_id FROM c",
@@ -106,6 +125,11 @@ SELECT *, CASE WHEN n_completed = n_cases THEN 'completed' WHEN n_pending + n_ru
     "log_merge": f"WITH {_C}, a AS (SELECT case_id, run_id FROM c WHERE status <> 'pending'), b AS (SELECT case_id, error_message FROM c WHERE attempt_count > 0) SELECT coalesce(a.case_id, b.case_id) AS case_id, nullif(run_id, '') AS run_id, nullif(error_message, '') AS error_message FROM a FULL JOIN b ON a.case_id = b.case_id",
     "log_nested": f"WITH {_C} SELECT c.batch_id, CAST(row_number() OVER (PARTITION BY c.batch_id ORDER BY case_id) AS INT) AS sequence, case_id, c.status FROM c JOIN evaluation_batches b ON b.batch_id = c.batch_id",
     "log_state": "WITH c AS (SELECT DISTINCT ON (claim_id) * FROM research_claims) SELECT claim_id, last_value(topic IGNORE NULLS) OVER (PARTITION BY company_id ORDER BY publish_date, claim_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS known_topic FROM c",
+    "log_requests": f"""WITH {_C}, p AS (SELECT case_id, question, list_concat(
+  list_transform(regexp_extract_all(question, '(?:^|\D)(\d{{4}}-\d{{2}}-\d{{2}})', 1), lambda x: x), list_transform(regexp_extract_all(question, '(?:^|\D)(\d{{4}}年\d{{1,2}}月\d{{1,2}}日)', 1), lambda x: strftime(strptime(x, '%Y年%m月%d日'), '%Y-%m-%d')),
+  list_transform(regexp_extract_all(question, '(?:^|\D)(\d{{4}})年?(?:年报|年度报告|年度)', 1), lambda x: x || '-12-31'), list_transform(regexp_extract_all(question, '(?:^|\D)(\d{{4}})年?(?:半年报|半年度|中报)', 1), lambda x: x || '-06-30'),
+  list_transform(regexp_extract_all(question, '(?:^|\D)(\d{{4}})年?(?:一季报|第一季度)', 1), lambda x: x || '-03-31'), list_transform(regexp_extract_all(question, '(?:^|\D)(\d{{4}})年?(?:三季报|前三季度)', 1), lambda x: x || '-09-30')) AS d FROM c)
+SELECT case_id, array_to_string(list_sort(list_distinct(d)), ',') AS periods, array_to_string(list_sort(list_distinct(list_filter([{_strip_words()[0]}], lambda x: x IS NOT NULL))), ',') AS metrics FROM p""",
     "st_tumbling": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(38,6))) AS DOUBLE) AS total FROM events GROUP BY 1, 2",
     "st_sliding": "SELECT time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR * k AS window_start, event_type, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS k) GROUP BY 1, 2",
     "st_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
