@@ -125,7 +125,7 @@ SELECT *, CASE WHEN n_completed = n_cases THEN 'completed' WHEN n_pending + n_ru
     "log_merge": f"WITH {_C}, a AS (SELECT case_id, run_id FROM c WHERE status <> 'pending'), b AS (SELECT case_id, error_message FROM c WHERE attempt_count > 0) SELECT coalesce(a.case_id, b.case_id) AS case_id, nullif(run_id, '') AS run_id, nullif(error_message, '') AS error_message FROM a FULL JOIN b ON a.case_id = b.case_id",
     "log_nested": f"WITH {_C} SELECT c.batch_id, CAST(row_number() OVER (PARTITION BY c.batch_id ORDER BY case_id) AS INT) AS sequence, case_id, c.status FROM c JOIN evaluation_batches b ON b.batch_id = c.batch_id",
     "log_state": "WITH c AS (SELECT DISTINCT ON (claim_id) * FROM research_claims) SELECT claim_id, last_value(topic IGNORE NULLS) OVER (PARTITION BY company_id ORDER BY publish_date, claim_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS known_topic FROM c",
-    "log_requests": f"""WITH {_C}, p AS (SELECT case_id, question, list_concat(
+    "log_requests": rf"""WITH {_C}, p AS (SELECT case_id, question, list_concat(
   list_transform(regexp_extract_all(question, '(?:^|\D)(\d{{4}}-\d{{2}}-\d{{2}})', 1), lambda x: x), list_transform(regexp_extract_all(question, '(?:^|\D)(\d{{4}}年\d{{1,2}}月\d{{1,2}}日)', 1), lambda x: strftime(strptime(x, '%Y年%m月%d日'), '%Y-%m-%d')),
   list_transform(regexp_extract_all(question, '(?:^|\D)(\d{{4}})年?(?:年报|年度报告|年度)', 1), lambda x: x || '-12-31'), list_transform(regexp_extract_all(question, '(?:^|\D)(\d{{4}})年?(?:半年报|半年度|中报)', 1), lambda x: x || '-06-30'),
   list_transform(regexp_extract_all(question, '(?:^|\D)(\d{{4}})年?(?:一季报|第一季度)', 1), lambda x: x || '-03-31'), list_transform(regexp_extract_all(question, '(?:^|\D)(\d{{4}})年?(?:三季报|前三季度)', 1), lambda x: x || '-09-30')) AS d FROM c)
