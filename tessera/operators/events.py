@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -158,48 +158,63 @@ def _bigrams(s: str) -> frozenset[str]:
     return frozenset(s[i : i + 2] for i in range(max(1, len(s) - 1)))
 
 
-def assign_clusters(rows: list[tuple], window_days: int) -> list[tuple[str, str]]:
-    """(event id, id of the cluster's first event) for rows (id, date, references, topic) in order: an event joins the first
-    open cluster whose end is near enough and whose last member shares a reference or a similar topic."""
-    out, open_ = [], []  # cluster: [seed, end, references and topic of the last member]
-    for eid, day, refs, topic in rows:
-        refs, mine = frozenset(refs or ()), _bigrams(topic) if topic else frozenset()
-        for c in open_:
-            if abs((day - c[1]).days) > window_days:
-                continue
-            like = topic == c[4] if mine and c[3] else False
-            union = len(mine | c[3])
-            if refs & c[2] or like or (mine and c[3] and len(mine & c[3]) / union >= MIN_TOPIC_SIMILARITY):
-                c[1], c[2], c[3], c[4] = max(c[1], day), refs, mine, topic
-                out.append((eid, c[0]))
-                break
-        else:
-            open_.append([eid, day, refs, mine, topic])
-            out.append((eid, eid))
+class Assigner:
+    """Sequential assignment of the events of one company and type, fed in order.
+
+    An event joins the first open cluster whose end is near enough and whose last member shares a reference or a similar
+    topic. Only clusters that ended within the window are kept, so the state stays small however many events come.
+    """
+
+    def __init__(self, window_days: int):
+        self.days = window_days
+        self.open: list[list] = []  # seed, end, references, bigrams and topic of the last member
+
+    def place(self, event_id: str, day, references, topic: str | None) -> str:
+        """The first event of the cluster the event belongs to."""
         # events come in order of date: a cluster that ended too long ago can't match again
-        open_ = [c for c in open_ if (day - c[1]).days <= window_days]
-    return out
+        self.open = [c for c in self.open if (day - c[1]).days <= self.days]
+        refs, mine = frozenset(references or ()), _bigrams(topic) if topic else frozenset()
+        for c in self.open:
+            both = bool(mine) and bool(c[3])
+            if refs & c[2] or (both and (topic == c[4] or len(mine & c[3]) / len(mine | c[3]) >= MIN_TOPIC_SIMILARITY)):
+                c[1:] = max(c[1], day), refs, mine, topic
+                return c[0]
+        self.open.append([event_id, day, refs, mine, topic])
+        return event_id
+
+
+def assign_clusters(rows: list[tuple], window_days: int) -> list[tuple[str, str]]:
+    """(event id, id of the cluster's first event) for rows (id, date, references, topic) in order."""
+    a = Assigner(window_days)
+    return [(r[0], a.place(*r)) for r in rows]
 
 
 def cluster_events(events: DataFrame, window_days: int = 30) -> DataFrame:
     """(event_id, cluster_id): the sequential assignment, per company and type.
 
-    The assignment is order-dependent, so a run of events is one task's work; runs are cut wherever the gap is longer than
-    the window, where no event can join an earlier cluster. A busy company is thus spread over its runs.
+    The assignment depends on the order, so events of a run go through one task one after the other; runs are cut wherever
+    the gap is longer than the window, where no event can join an earlier cluster. Rows are sorted by Spark (which
+    spills) and streamed in Arrow batches past a state of the clusters still open, so no group is ever held as a whole.
     """
     e = events.select("event_id", "company_id", "event_type", "event_date", "reference_ids", "topic_signature").where("event_date IS NOT NULL").dropDuplicates(["event_id"])
     w = Window.partitionBy("company_id", "event_type").orderBy("event_date", "event_id")
     gap = F.datediff("event_date", F.lag("event_date").over(w))
     runs = e.withColumn("run", F.sum(F.when(gap <= window_days, 0).otherwise(1)).over(w))
-
-    def assign(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["event_date", "event_id"], kind="stable")
-        got = assign_clusters(list(zip(rows["event_id"], rows["event_date"], rows["reference_ids"].map(lambda x: [] if x is None else list(x)), rows["topic_signature"], strict=True)), window_days)
-        return pd.DataFrame(got, columns=["event_id", "seed"])
-
-    found = runs.groupBy("company_id", "event_type", "run").applyInPandas(assign, "event_id string, seed string")
-    keyed = found.join(e.select("event_id", "company_id", "event_type"), "event_id")
-    return keyed.select("event_id", hash_id("CLUSTER-", 16, F.col("company_id"), F.col("event_type"), F.col("seed")).alias("cluster_id"))
+    key = ["company_id", "event_type", "run"]
+    ordered = runs.repartition(*key).sortWithinPartitions(*key, "event_date", "event_id")
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = None, None
+        for b in batches:
+            seeds = []
+            for company, kind, run, eid, day, refs, topic in zip(*(b[c] for c in (*key, "event_id", "event_date", "reference_ids", "topic_signature")), strict=True):
+                if (company, kind, run) != at:
+                    at, state = (company, kind, run), Assigner(window_days)
+                seeds.append(state.place(eid, day, [] if refs is None else list(refs), topic))
+            yield b[["event_id", "company_id", "event_type"]].assign(seed=seeds)
+
+    found = ordered.mapInPandas(assign, "event_id string, company_id string, event_type string, seed string")
+    return found.select("event_id", hash_id("CLUSTER-", 16, F.col("company_id"), F.col("event_type"), F.col("seed")).alias("cluster_id"))
 
 
 def topic_similarity(a: Column, b: Column) -> Column:

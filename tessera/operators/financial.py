@@ -98,21 +98,23 @@ def compare_companies(figures: DataFrame, metric: str, period: str) -> DataFrame
 
 
 def global_rank(rows: DataFrame, column: str, buckets: int = 256) -> DataFrame:
-    """Competition rank by a number, greatest first, over all rows: ranks within ranges plus the counts of the ranges above.
+    """Competition rank by a number, greatest first, over all rows, without one task for all of them.
 
-    Range bounds are ``buckets`` approximate quantiles, the only thing collected. Rows that tie stand in one range.
+    Rows are counted per value first (map-side), so a value that a third of all rows share is one row from there on. Values
+    are dealt to ranges between approximate quantiles, ranked within a range, and moved by the counts of the ranges above;
+    only the bounds and one count a range are collected.
     """
     bounds = sorted(set(rows.approxQuantile(column, [i / buckets for i in range(1, buckets)], 0.001)))
-    bucket = F.lit(len(bounds)) - F.size(F.filter(F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<double>"), lambda b: b <= F.col(column)))
-    dealt = rows.withColumn("__b", bucket)
-    above = {r[0]: r[1] for r in dealt.groupBy("__b").count().collect()}
+    above = F.filter(F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<double>"), lambda b: b <= F.col(column))
+    values = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("__c")).withColumn("__b", F.lit(len(bounds)) - F.size(above))
+    sizes = {r[0]: r[1] for r in values.groupBy("__b").agg(F.sum("__c")).collect()}
     total, base = 0, []
     for b in range(len(bounds) + 1):
         base.append(total)
-        total += above.get(b, 0)
-    offset = F.array(*map(F.lit, base))[F.col("__b")]
-    inner = F.rank().over(Window.partitionBy("__b").orderBy(F.col(column).desc()))
-    return dealt.withColumn("rank", (inner + offset).cast("bigint")).drop("__b")
+        total += sizes.get(b, 0)
+    w = Window.partitionBy("__b").orderBy(F.col(column).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = values.select(F.col(column), (F.coalesce(F.sum("__c").over(w), F.lit(0)) + F.array(*map(F.lit, base))[F.col("__b")] + 1).cast("bigint").alias("rank"))
+    return rows.join(ranks, column).select(*rows.columns, "rank")
 
 
 # --- risk observations --------------------------------------------------------------------------------------------
