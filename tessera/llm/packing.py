@@ -121,7 +121,9 @@ def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     shards = max(1, -(-docs.count() // shard_docs))
     kind = docs.schema[id_col].dataType.simpleString()
     sizes = token_counts(docs, id_col=id_col, text_col=text_col, tokenizer=tokenizer)
-    dealt = sizes.withColumn("shard", F.pmod(F.xxhash64(F.col(id_col)), F.lit(shards)).cast("int"))
+    # rows without an id are dealt by their place, so that they don't meet in one shard
+    place = F.when(F.col(id_col).isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64(F.col(id_col)))
+    dealt = sizes.withColumn("shard", F.pmod(place, F.lit(shards)).cast("int"))
 
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([id_col, "n_tokens"], kind="stable", na_position="first")
