@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +47,88 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, *, query_id: str = "query
     return weights.join(hits, "term").groupBy(query_id, "chunk_id").agg(F.round(F.sum(part.cast("decimal(38,15)")), 9).cast("double").alias("score"))
 
 
+_RUNS = re.compile(r"[a-z0-9_.]+|[一-鿿]+")
+
+
+def token_list(text: str) -> list[str]:
+    """The tokens of ``functions.columns.tokenize``."""
+    out: list[str] = []
+    for run in _RUNS.findall(text.lower()):
+        if run[0] < "一" or len(run) == 1:
+            out.append(run)
+        else:
+            out += [run[i : i + 2] for i in range(len(run) - 1)]
+    return out
+
+
+def bm25_top(chunks: DataFrame, queries: DataFrame, k: int, *, query_id: str = "query_id", query_text: str = "query", block: int = 4096, rows_at_once: int = 512) -> DataFrame:
+    """(query_id, chunk_id, score, rank): the best k chunks of every query, as ``bm25_scores`` ranked would give them.
+
+    Terms that all queries share make every chunk a candidate of every query; as rows these pairs would be queries times
+    chunks. Here the weights of a block of queries go out as one table (the proven bound of the broadcast), every task
+    scores its chunks against the block and keeps its own best k a query, which alone are shuffled.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    asked = queries.select(F.col(query_id).cast("bigint").alias("query_id"), F.explode(tokenize(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    mark = "\x00"  # counts the chunks and their tokens in the same pass
+    terms = asked.select("term").distinct()
+    seen = chunks.select(tokenize(F.col("text")).alias("t")).where(F.size("t") > 0).select(F.size("t").alias("len"), F.explode(F.array_append(F.array_distinct("t"), F.lit(mark))).alias("term"))
+    wanted = terms.unionByName(terms.sparkSession.createDataFrame([(mark,)], "term string"))
+    stats = materialize(seen.join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("len").alias("total")))
+    head = stats.where(F.col("term") == mark).first()
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+    if head is None:
+        return queries.sparkSession.createDataFrame([], f"query_id bigint, chunk_id {kind}, score double, rank bigint")
+    n_docs, mean = float(head.df), head.total / head.df
+    raw = F.log((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = asked.join(stats, "term").select("query_id", "term", (F.when(raw > 0, raw).otherwise(1e-6) * F.col("qtf")).alias("weight"))
+    n_blocks = max(1, -(-queries.count() // block))
+    out = None
+    for b in range(n_blocks):
+        rows = weights.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b).collect()
+        ids = sorted({r.query_id for r in rows})
+        at = {q: i for i, q in enumerate(ids)}
+        table: dict[str, list[tuple[int, float]]] = {}
+        for r in sorted(rows, key=lambda r: (r.term, r.query_id)):
+            table.setdefault(r.term, []).append((at[r.query_id], r.weight))
+        packed = {t: (np.array([i for i, _ in v]), np.array([w for _, w in v])) for t, v in table.items()}
+        shared = chunks.sparkSession.sparkContext.broadcast((np.array(ids, np.int64), packed))
+
+        def run(batches, shared=shared):
+            ids, packed = shared.value
+            if not len(ids):
+                return
+            for batch in batches:
+                names, texts = batch.column(0), batch.column(1).to_pylist()
+                for lo in range(0, len(texts), rows_at_once):
+                    part = texts[lo : lo + rows_at_once]
+                    s = np.zeros((len(part), len(ids)))
+                    for i, t in enumerate(part):
+                        tokens = token_list(t or "")
+                        norm = K1 * (1 - B + B * len(tokens) / mean)
+                        counts: dict[str, int] = {}
+                        for x in tokens:
+                            if x in packed:
+                                counts[x] = counts.get(x, 0) + 1
+                        for x in sorted(counts):
+                            where, w = packed[x]
+                            s[i, where] += w * (counts[x] * (K1 + 1) / (counts[x] + norm))
+                    s = np.round(s, 9)
+                    n = min(k, len(part))
+                    floor = np.partition(s, len(part) - n, axis=0)[len(part) - n]
+                    i, q = np.nonzero((s >= floor) & (s > 0))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[q]), names.take(pa.array(lo + i)), pa.array(s[i, q])], ["query_id", "chunk_id", "score"])
+
+        one = chunks.select("chunk_id", "text").mapInArrow(run, f"query_id bigint, chunk_id {kind}, score double")
+        out = one if out is None else out.unionByName(one)
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")
+    ranked = out.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
+    best = F.max("score").over(Window.partitionBy("query_id"))
+    return ranked.select("query_id", "chunk_id", "rank", F.when(best != 0, F.round(F.col("score") / best, 6)).otherwise(0.0).alias("score"))
+
+
 def top_k(scores: DataFrame, k: int, *, query_id: str = "query_id", id_col: str = "chunk_id") -> DataFrame:
     """The best k of each query with rank and score over the best score; ties by id."""
     w = Window.partitionBy(query_id).orderBy(F.col("score").desc(), id_col)

@@ -75,7 +75,7 @@ def _questions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def doc_bm25(spark: SparkSession, sf: str) -> DataFrame:
-    return ret.top_k(ret.bm25_scores(_chunks(spark, sf), _questions(spark, sf)), 8)
+    return ret.bm25_top(_chunks(spark, sf), _questions(spark, sf), 8)
 
 
 def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -99,7 +99,7 @@ def doc_hybrid(spark: SparkSession, sf: str) -> DataFrame:
     chunks = _chunks(spark, sf)
     q = _questions(spark, sf)
     half = q.withColumn("query", F.expr("substring(query, 1, cast(length(query) / 2 as int))"))
-    a, b = (ret.top_k(ret.bm25_scores(chunks, x), 50) for x in (q, half))
+    a, b = (ret.bm25_top(chunks, x, 50) for x in (q, half))
     hits = ret.rrf_merge(a, b).join(chunks.select("chunk_id", "doc_id"), "chunk_id")
     return ret.cap_per_document(hits, 2, 8).select("query_id", "chunk_id", "doc_id", "rank", "score")
 

@@ -139,6 +139,19 @@ def test_bm25_counts_repeated_query_tokens_and_empty_sides(spark):
     assert ret.bm25_scores(c, q("")).count() == 0 and ret.bm25_scores(c.where("false"), q("alpha")).count() == 0
 
 
+def test_bm25_top_equals_scores(spark):
+    rnd = random.Random(9)
+    text = lambda: " ".join(rnd.choice(["alpha", "beta", "收入", "收入增长", "x.y"]) for _ in range(rnd.randrange(6)))
+    c = spark.createDataFrame([(f"c{i:02d}", text()) for i in range(60)] + [("n", None)], "chunk_id string, text string").repartition(3)
+    q = spark.createDataFrame([(i, text() + " alpha") for i in range(7)] + [(99, ""), (98, None)], "query_id long, query string")
+    want = sorted((r.query_id, r["rank"], r.chunk_id, r.score) for r in ret.top_k(ret.bm25_scores(c, q), 5).collect())
+    assert want == sorted((r.query_id, r["rank"], r.chunk_id, r.score) for r in ret.bm25_top(c, q, 5).collect())
+    assert want == sorted((r.query_id, r["rank"], r.chunk_id, r.score) for r in ret.bm25_top(c, q, 5, block=2, rows_at_once=7).collect())
+    assert ret.bm25_top(c.where("false"), q, 5).count() == 0
+    pairs = c.where("text IS NOT NULL").select("text", ret.tokenize(F.col("text")).alias("tokens")).collect()
+    assert all(r.tokens == ret.token_list(r.text) for r in pairs)
+
+
 def test_rrf_bounds_and_cap(spark):
     a = spark.createDataFrame([(1, "x", 1), (1, "y", 2)], "query_id long, chunk_id string, rank long")
     b = spark.createDataFrame([(1, "x", 1), (1, "z", 2)], "query_id long, chunk_id string, rank long")
