@@ -9,7 +9,8 @@ join sees one version per instant. This aggregation also runs map-side, which bo
 and day whatever its share of the input; equal requests are collapsed in the same way and joined back afterwards.
 
 Defined results: rows with a null in entity, availability or (for facts) period never match; a request without a match
-keeps a null id; an empty side gives requests without ids; repeated requests each get the answer.
+keeps a null id; an empty side gives requests without ids; repeated requests each get the answer; a column of requests
+that has the name of ``out_col`` is replaced.
 """
 
 from __future__ import annotations
@@ -90,4 +91,4 @@ def known_at(
     )
     answers = answers.where("row_id IS NOT NULL").select(F.col("entity").alias("__entity"), F.col("period").alias("__p"), F.col("cutoff").alias("__cutoff"), F.col("row_id").alias("__row_id"))
     joined = asked.join(answers.withColumnRenamed("__entity", "__e").withColumnRenamed("__cutoff", "__c"), (F.col("__entity") == F.col("__e")) & (F.col("__cutoff") == F.col("__c")) & F.col("__period").eqNullSafe(F.col("__p")), "left")
-    return joined.select(*[asked[c] for c in requests.columns], F.col("__row_id").alias(out_col))
+    return joined.select(*[asked[c] for c in requests.columns if c != out_col], F.col("__row_id").alias(out_col))
