@@ -1,9 +1,9 @@
 """Variant spellings of names typed by people.
 
-Names are folded and parsed (``names``); distinct names of a scope become nodes, so do ids. Candidate pairs of names come
+Names are folded and parsed (``names``); distinct names of a scope become nodes. Candidate pairs of names come
 from blocks of phonetic codes of their sorted tokens, whole and with one token left out; pairs are compared by
 Jaro-Winkler and single edits, nicknames by their table of prefixes. Accepted pairs, names stated side by side in one
-row, and ids with their typed names are the edges of a graph whose connected components are the entities.
+row, and typed names of one id are the edges of a graph whose connected components are the entities.
 
 Persons are compared within their scope (the target company), organisations everywhere.
 
@@ -244,16 +244,14 @@ def link_variants(
     passed = materialize(_checked(edges, base, typed.join(key_of, ["person", "name"]).select("scope", "person", "name", "key").distinct()))
     firm = passed.where("NOT sole").select("scope", "ka", "kb")
     edges = firm.unionByName(_sole_names(one.join(passed.where("sole").select("scope", "ka", "kb"), ["scope", "ka", "kb"], "left_semi"), firm)).distinct()
-    node = lambda kind, *cols: F.xxhash64(F.lit(kind), *cols)
-    stars = ids.select("scope", "person", "id", node("i", "scope", "id").alias("a"), node("k", "scope", "key").alias("b"))
-    links = edges.select(node("k", "scope", "ka").alias("a"), node("k", "scope", "kb").alias("b"))
-    # a name of one id that has no edge to another name adds nothing to the graph
-    linked = links.select(F.col("a").alias("b")).unionByName(links.select("b")).distinct()
-    shared = stars.groupBy("b").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo < hi").select("b")
-    useful = stars.select("a", "b").join(linked.unionByName(shared).distinct(), "b", "left_semi")
-    found = connected_components(links.unionByName(useful.select("a", "b")))
-    alone = stars.select("scope", "person", "id", "a").distinct()
-    return alone.join(found.withColumnRenamed("node", "a"), "a", "left").select("scope", "person", "id", F.coalesce("component", "a").alias("component"))
+    # names alone are nodes: the names of one id hang on its least name, and an id is where that name is
+    node = lambda key: F.xxhash64("scope", key)
+    typed_as = ids.select("scope", "person", "id", node("key").alias("k"))
+    first = typed_as.groupBy("scope", "person", "id").agg(F.min("k").alias("first"), F.max("k").alias("last"))
+    several = typed_as.join(first.where("first < last").select("scope", "id", "first"), ["scope", "id"]).where("k <> first").select(F.col("k").alias("a"), F.col("first").alias("b"))
+    links = edges.select(node("ka").alias("a"), node("kb").alias("b"))
+    found = connected_components(links.unionByName(several))
+    return first.join(found.withColumnRenamed("node", "first"), "first", "left").select("scope", "person", "id", F.coalesce("component", "first").alias("component"))
 
 
 def _turned(pairs: DataFrame) -> DataFrame:
