@@ -33,9 +33,11 @@ from tessera.session import materialize
 
 MIN_SIMILARITY = 0.8
 MAX_PLACES = 20_000
+#: A block of more names is split by characters, see ``_pairs_of``.
+MAX_BLOCK = 1_000
 
-_PARSED = pa.schema([("person", pa.bool_()), ("name", pa.string()), ("key", pa.string()), ("kind", pa.string()), ("brand", pa.string()), ("sound", pa.string()), ("han", pa.bool_()), ("industry", pa.string()), ("place", pa.string()), ("detail", pa.string()), ("manager", pa.string()), ("plain", pa.string()), ("blocks", pa.list_(pa.string()))])
-_PARSED_DDL = "person boolean, name string, key string, kind string, brand string, sound string, han boolean, industry string, place string, detail string, manager string, plain string, blocks array<string>"
+_PARSED = pa.schema([("person", pa.bool_()), ("name", pa.string()), ("key", pa.string()), ("kind", pa.string()), ("brand", pa.string()), ("sound", pa.string()), ("han", pa.bool_()), ("industry", pa.string()), ("place", pa.string()), ("detail", pa.string()), ("manager", pa.string()), ("plain", pa.string()), ("blocks", pa.list_(pa.string())), ("fine", pa.list_(pa.string()))])
+_PARSED_DDL = "person boolean, name string, key string, kind string, brand string, sound string, han boolean, industry string, place string, detail string, manager string, plain string, blocks array<string>, fine array<string>"
 #: Kinds a short name may stand for.
 _SHORT_FOR = {"lp", "invmanage", "core", "asset", "invgroup", "manager"}
 
@@ -53,6 +55,13 @@ def gazetteer(*columns: DataFrame) -> frozenset[str]:
     return frozenset(r[0] for r in found.groupBy("place").count().where("count > 1").orderBy(F.desc("count"), "place").limit(MAX_PLACES).collect())
 
 
+def fine_codes(name: str, han: bool) -> list[str]:
+    """Sorted characters of a name, whole and with one left out: names within one edit have one of them in common."""
+    if not han:
+        return ["~" + name]
+    return sorted({"".join(sorted(name))} | {"".join(sorted(name[:i] + name[i + 1 :])) for i in range(len(name))})
+
+
 def _person_row(name: str):
     p = parse_person(name)
     if p is None or (not p.given and not p.initials):
@@ -104,12 +113,12 @@ def parse_names(names: DataFrame, places: frozenset[str]) -> DataFrame:
                     row = _person_row(name)
                     if row:
                         key, kind, brand, sound, han, blocks, plain = row
-                        out.append((True, name, key, kind, brand, sound, han, "", "", "", "", plain, blocks))
+                        out.append((True, name, key, kind, brand, sound, han, "", "", "", "", plain, blocks, fine_codes(brand if han else sound, han)))
                 else:
                     got = _organisation_row(name, places)
                     if got:
                         o, (key, kind, brand, sound, han, blocks, plain) = got
-                        out.append((False, name, key, kind, brand, sound, han, o.industry, o.place, o.detail, o.manager, plain, blocks))
+                        out.append((False, name, key, kind, brand, sound, han, o.industry, o.place, o.detail, o.manager, plain, blocks, fine_codes(brand if han else sound, han)))
             cols = list(zip(*out, strict=True)) if out else [[] for _ in _PARSED]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, _PARSED, strict=True)], schema=_PARSED)
 
@@ -221,29 +230,31 @@ def link_variants(
     names = typed.select("person", "name").unionByName(stated.select("person", F.col("other").alias("name"))).distinct()
     parsed = materialize(parse_names(names, places))
     key_of = parsed.select("person", "name", "key")
-    ids = typed.join(key_of, ["person", "name"]).select("scope", "person", "id", "key").distinct()
-    side = stated.join(key_of, ["person", "name"]).join(key_of.select("person", F.col("name").alias("other"), F.col("key").alias("other_key")), ["person", "other"]).where("key <> other_key").select("scope", "person", F.col("key").alias("ka"), F.col("other_key").alias("kb")).distinct()
+    # what is used several times is written out: each query's plan stays small, and so does the driver
+    named = materialize(typed.join(key_of, ["person", "name"]).select("scope", "person", "id", "name", "key"))
+    ids = materialize(named.select("scope", "person", "id", "key").distinct())
+    side = materialize(stated.join(key_of, ["person", "name"]).join(key_of.select("person", F.col("name").alias("other"), F.col("key").alias("other_key")), ["person", "other"]).where("key <> other_key").select("scope", "person", F.col("key").alias("ka"), F.col("other_key").alias("kb")).distinct())
     nodes = materialize(ids.select("scope", "person", "key").unionByName(side.select("scope", "person", F.col("kb").alias("key"))).distinct())
     # one parse of each key: its names differ in what the fold drops
-    parts = parsed.groupBy("person", "key").agg(F.min(F.struct("kind", "brand", "sound", "han", "industry", "place", "detail", "manager", "plain", "blocks")).alias("p"))
+    parts = parsed.groupBy("person", "key").agg(F.min(F.struct("kind", "brand", "sound", "han", "industry", "place", "detail", "manager", "plain", "blocks", "fine")).alias("p"))
     known = nodes.join(parts, ["person", "key"]).select("scope", "person", "key", "p.*")
     known = materialize(known.withColumn("k", F.xxhash64("scope", "key")))
     # blocks meet as hashes; what the names say is joined to the pairs that come out
     short = F.col("kind") == "short"
     # whole-name blocks are for names with an error in a keyword; such a name has to be one of the two
     odd = short & (F.length("brand") > 4)
-    lean = known.select("k", F.explode("blocks").alias("block"), "scope", short.alias("short"), odd.alias("odd")).select("k", F.xxhash64("scope", "block").alias("h"), F.when(F.substring("block", 1, 1) == "w", F.col("odd")).when(F.substring("block", 1, 1) == "b", F.col("short")).otherwise(F.lit(True)).alias("may"))
-    met = lean.alias("x").join(lean.alias("y"), "h").where("x.k < y.k AND (x.may OR y.may)").select(F.col("x.k").alias("kl"), F.col("y.k").alias("kr")).distinct()
+    met = _pairs_of(known.withColumn("odd", odd).withColumn("short", short))
     item = F.struct("key", "kind", "brand", "sound", "han", "industry", "place", "detail", "manager", "plain")
     pairs = met.join(known.select(F.col("k").alias("kl"), "scope", "person", item.alias("l")), "kl").join(known.select(F.col("k").alias("kr"), item.alias("r")), "kr").select("scope", "person", "l", "r")
     judged = materialize(_judge(pairs).distinct())
-    one = _turned(judged.where("startswith(verdict, 'one')"))
+    one = materialize(_turned(judged.where("startswith(verdict, 'one')")))
     agreed = judged.where("verdict <> 'one'").select("scope", "ka", "kb", F.col("verdict").endswith("weak").alias("weak")).unionByName(side.select("scope", "ka", "kb", F.lit(False).alias("weak")))
     every = agreed.withColumn("sole", F.lit(False)).unionByName(one.select("scope", F.col("less").alias("ka"), F.col("full").alias("kb"), F.lit(False).alias("weak"), F.lit(True).alias("sole")))
-    edges = every.select("scope", F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb"), "weak", "sole").groupBy("scope", "ka", "kb", "sole").agg(F.min("weak").alias("weak"))
-    passed = materialize(_checked(edges, base, typed.join(key_of, ["person", "name"]).select("scope", "person", "name", "key").distinct()))
+    edges = materialize(every.select("scope", F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb"), "weak", "sole").groupBy("scope", "ka", "kb", "sole").agg(F.min("weak").alias("weak")))
+    passed = materialize(_checked(edges, base, named.select("scope", "person", "name", "key").distinct()))
     firm = passed.where("NOT sole").select("scope", "ka", "kb")
-    edges = firm.unionByName(_sole_names(one.join(passed.where("sole").select("scope", "ka", "kb"), ["scope", "ka", "kb"], "left_semi"), firm)).distinct()
+    open_ = materialize(one.join(passed.where("sole").select("scope", "ka", "kb"), ["scope", "ka", "kb"], "left_semi"))
+    edges = firm.unionByName(_sole_names(open_, firm)).distinct()
     # names alone are nodes: the names of one id hang on its least name, and an id is where that name is
     node = lambda key: F.xxhash64("scope", key)
     typed_as = ids.select("scope", "person", "id", node("key").alias("k"))
@@ -254,6 +265,25 @@ def link_variants(
     return first.join(found.withColumnRenamed("node", "first"), "first", "left").select("scope", "person", "id", F.coalesce("component", "first").alias("component"))
 
 
+def _pairs_of(known: DataFrame) -> DataFrame:
+    """(kl, kr), kl < kr: names that share a block. known: k, scope, blocks, fine, short, odd.
+
+    A block of more than ``MAX_BLOCK`` names is split by ``fine_codes``, so that its names are not all paired: accepted
+    pairs of written-out names are within one edit and still meet. What is lost are pairs of such a block whose names have
+    no characters in common, Latin and abbreviated ones, which with so many full names would have more than one.
+    """
+    lean = known.select("k", F.explode("blocks").alias("block"), "scope", "short", "odd").select("k", F.xxhash64("scope", "block").alias("h"), F.when(F.substring("block", 1, 1) == "w", F.col("odd")).when(F.substring("block", 1, 1) == "b", F.col("short")).otherwise(F.lit(True)).alias("may"))
+
+    def pairs(rows: DataFrame) -> DataFrame:
+        return rows.alias("x").join(rows.alias("y"), "h").where("x.k < y.k AND (x.may OR y.may)").select(F.col("x.k").alias("kl"), F.col("y.k").alias("kr"))
+
+    big = materialize(lean.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MAX_BLOCK).select("h"))
+    if not big.limit(1).count():
+        return pairs(lean).distinct()
+    crowded = lean.join(big, "h", "left_semi").join(known.select("k", "fine"), "k").select("k", "h", "may", F.explode("fine").alias("f")).select("k", F.xxhash64("h", "f").alias("h"), "may")
+    return pairs(lean.join(big, "h", "left_anti")).unionByName(pairs(crowded)).distinct()
+
+
 def _turned(pairs: DataFrame) -> DataFrame:
     """(scope, ka, kb, less, full, family, place): pairs of an abbreviated and a full name; the family of a full name is the
     name without its place."""
@@ -294,7 +324,7 @@ def _checked(edges: DataFrame, base: DataFrame, key_of: DataFrame) -> DataFrame:
     n = rows.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     sized = e.select("a", "b", "weak").join(n.withColumnRenamed("n", "na"), "a", "left").join(n.select(F.col("a").alias("b"), F.col("n").alias("nb")), "b", "left")
     a_rarer = F.coalesce("na", F.lit(0)) <= F.coalesce("nb", F.lit(0))
-    sized = sized.select("weak", "a", "b", F.when(a_rarer, F.col("a")).otherwise(F.col("b")).alias("key"), F.when(a_rarer, F.col("b")).otherwise(F.col("a")).alias("other"))
+    sized = materialize(sized.select("weak", "a", "b", F.when(a_rarer, F.col("a")).otherwise(F.col("b")).alias("key"), F.when(a_rarer, F.col("b")).otherwise(F.col("a")).alias("other")))
     met = sized.join(rows.withColumnRenamed("a", "key"), "key")
     lists, stakes = rows.select(F.col("a").alias("other"), "list"), rows.where("stake IS NOT NULL").select(F.col("a").alias("other"), "stake")
     clash = met.join(lists, ["other", "list"], "left_semi").select("a", "b").distinct()

@@ -11,7 +11,8 @@ from hypothesis import strategies as st
 from tessera.llm.components import connected_components
 from tessera.llm.matching import date_state, pair_evidence, place_town, propagate
 from tessera.llm.names import fold, jaro_winkler, one_edit, parse_organisation, parse_person, reading
-from tessera.llm.variants import gazetteer, link_variants, variant_pairs
+from tessera.llm import variants
+from tessera.llm.variants import fine_codes, gazetteer, link_variants, variant_pairs
 
 PLACES = frozenset({"晏河", "襄陵口", "栖桐"})
 
@@ -97,6 +98,21 @@ def test_variants(spark):
     assert _pairs(spark, []) == set()
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text("甲乙丙", min_size=1, max_size=4), st.text("甲乙丙", min_size=1, max_size=4))
+def test_names_within_one_edit_share_a_fine_code(a, b):
+    assert not one_edit(a, b) or set(fine_codes(a, True)) & set(fine_codes(b, True))
+
+
+def test_crowded_blocks_give_the_same_pairs(spark, monkeypatch):
+    rnd = random.Random(6)
+    day = dt.date(2020, 1, 1)
+    rows = [("T", day + dt.timedelta(days=i), day, f"c{i:03d}", "晏河市" + "".join(rnd.choice("隽渊笙璇珩") for _ in range(3)) + "投资管理有限公司", None, "COMPANY", 0.1) for i in range(60)]
+    whole = _pairs(spark, rows)
+    monkeypatch.setattr(variants, "MAX_BLOCK", 3)
+    assert whole and _pairs(spark, rows) == whole
+
+
 def test_aliases_join_ids_but_not_against_one_list(spark):
     d = [dt.date(2020, m, 1) for m in range(1, 4)]
     rows = [("T", d[0], d[0], "a", "甲骁原贸易行", "乙棠州商社", "COMPANY", 0.1), ("T", d[1], d[1], "b", "乙棠州商社", None, "COMPANY", 0.2)]
