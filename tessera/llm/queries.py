@@ -63,6 +63,7 @@ def _variants(spark: SparkSession, sf: str) -> DataFrame:
         ratio="holding_ratio",
         places=_places(spark, sf),
         aliases=table(spark, sf, "entity_aliases").select("entity_id", "alias"),
+        coded="NOT contains(id, '_UNRESOLVED:')",
     )
 
 

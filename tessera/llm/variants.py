@@ -9,7 +9,8 @@ Persons are compared within their scope (the target company), organisations ever
 
 Exact checks after the comparison: a holder stands once in a list, so two names that stand in one announced list are
 never joined; a name that differs in the last character, where relatives differ, needs a list of the same company in
-which its holder has the very ratio of the other; short and Latin names are joined only where one full name fits.
+which its holder has the very ratio of the other; names of two ids that a register gave are never joined, and a name
+that several of them go by joins nothing; short and Latin names are joined only where one full name fits.
 
 Scale: blocks hold distinct names, not rows; a name's rows are only met through the rarer name of a candidate pair, so a
 name that has a third of all rows is never expanded unless its partner is as frequent. Ids are tied to names as stars,
@@ -212,11 +213,13 @@ def link_variants(
     ratio: str,
     places: frozenset[str],
     aliases: DataFrame | None = None,
+    coded: str | None = None,
 ) -> DataFrame:
     """(scope, id, component): the entity of each id, by scope for persons and with scope '' for organisations.
 
     ``person``: a boolean expression. ``list_cols``: what identifies an announced list beside the scope. ``aliases``:
-    (id, name) stated elsewhere.
+    (id, name) stated elsewhere. ``coded``: a boolean expression over ``id``, true where the id comes from a register; two
+    such ids are two entities, so names of one such id each are never joined.
     """
     main = name_cols[0]
     base = records.select(F.expr(f"CASE WHEN {person} THEN {scope} ELSE '' END").alias("scope"), F.expr(person).alias("person"), F.col(id_col).alias("id"), F.col(main).alias("name"), F.array_distinct(F.array_compact(F.array(*name_cols[1:]))).alias("others") if name_cols[1:] else F.array().cast("array<string>").alias("others"), F.xxhash64(scope, *list_cols).alias("list"), F.when(F.col(ratio).isNotNull(), F.xxhash64(scope, ratio)).alias("stake"))
@@ -251,6 +254,11 @@ def link_variants(
     agreed = judged.where("verdict <> 'one'").select("scope", "ka", "kb", F.col("verdict").endswith("weak").alias("weak")).unionByName(side.select("scope", "ka", "kb", F.lit(False).alias("weak")))
     every = agreed.withColumn("sole", F.lit(False)).unionByName(one.select("scope", F.col("less").alias("ka"), F.col("full").alias("kb"), F.lit(False).alias("weak"), F.lit(True).alias("sole")))
     edges = materialize(every.select("scope", F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb"), "weak", "sole").groupBy("scope", "ka", "kb", "sole").agg(F.min("weak").alias("weak")))
+    shared = None
+    if coded:
+        code = materialize(ids.where(F.expr(coded)).groupBy("scope", "key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")))
+        shared = code.where("lo < hi").select("scope", "key")
+        edges = _one_code(edges, code)
     passed = materialize(_checked(edges, base, named.select("scope", "person", "name", "key").distinct()))
     firm = passed.where("NOT sole").select("scope", "ka", "kb")
     open_ = materialize(one.join(passed.where("sole").select("scope", "ka", "kb"), ["scope", "ka", "kb"], "left_semi"))
@@ -258,6 +266,9 @@ def link_variants(
     # names alone are nodes: the names of one id hang on its least name, and an id is where that name is
     node = lambda key: F.xxhash64("scope", key)
     typed_as = ids.select("scope", "person", "id", node("key").alias("k"))
+    if shared is not None:
+        # a name that several registered ids go by joins none of them
+        typed_as = ids.join(shared.withColumn("many", F.lit(True)), ["scope", "key"], "left").select("scope", "person", "id", F.when(F.col("many"), F.xxhash64(F.lit("id"), "scope", "id")).otherwise(node("key")).alias("k"))
     first = typed_as.groupBy("scope", "person", "id").agg(F.min("k").alias("first"), F.max("k").alias("last"))
     several = typed_as.join(first.where("first < last").select("scope", "id", "first"), ["scope", "id"]).where("k <> first").select(F.col("k").alias("a"), F.col("first").alias("b"))
     links = edges.select(node("ka").alias("a"), node("kb").alias("b"))
@@ -265,6 +276,15 @@ def link_variants(
     return first.join(found.withColumnRenamed("node", "first"), "first", "left").select("scope", "person", "id", F.coalesce("component", "first").alias("component"))
 
 
+def _one_code(edges: DataFrame, code: DataFrame) -> DataFrame:
+    """Edges without those of a name that several registered ids go by, and between names of two different ones.
+    code: (scope, key, lo, hi), the least and greatest registered id of a name."""
+    side = lambda k: code.select("scope", F.col("key").alias(k), F.col("lo").alias(f"lo_{k}"), F.col("hi").alias(f"hi_{k}"))
+    both = edges.join(side("ka"), ["scope", "ka"], "left").join(side("kb"), ["scope", "kb"], "left")
+    many = F.coalesce(F.col("lo_ka") < F.col("hi_ka"), F.lit(False)) | F.coalesce(F.col("lo_kb") < F.col("hi_kb"), F.lit(False))
+    return materialize(both.where(~many & F.coalesce(F.col("lo_ka") == F.col("lo_kb"), F.lit(True))).select(*edges.columns))
+
+
 def _pairs_of(known: DataFrame) -> DataFrame:
     """(kl, kr), kl < kr: names that share a block. known: k, scope, blocks, fine, short, odd.
 

@@ -71,10 +71,10 @@ def test_english_organisation():
 R = "target string, list date, ann date, id string, name string, aname string, kind string, ratio double, scope string, key string"
 
 
-def _pairs(spark, rows, aliases=None):
+def _pairs(spark, rows, aliases=None, coded=None):
     df = spark.createDataFrame([(*r, "x", "x") for r in rows], R)
     al = spark.createDataFrame(aliases, "id string, alias string") if aliases else None
-    c = link_variants(df, id_col="id", name_cols=["name", "aname"], person="kind = 'PERSON'", scope="target", list_cols=["list", "ann"], ratio="ratio", places=PLACES, aliases=al)
+    c = link_variants(df, id_col="id", name_cols=["name", "aname"], person="kind = 'PERSON'", scope="target", list_cols=["list", "ann"], ratio="ratio", places=PLACES, aliases=al, coded=coded)
     return {(r[0], r[1]) for r in variant_pairs(c).collect()}
 
 
@@ -120,6 +120,15 @@ def test_aliases_join_ids_but_not_against_one_list(spark):
     assert _pairs(spark, [*rows, ("T", d[1], d[1], "a", "甲骁原贸易行", None, "COMPANY", 0.1)]) == set()
 
 
+def test_two_registered_ids_are_two_entities(spark):
+    d = dt.date(2020, 1, 1)
+    rows = [("T", d, d, "C:1", "晏河市隽渊笙投资管理有限公司", None, "COMPANY", 0.1), ("S", d, d, "C:2", "晏河市隽媛笙投资管理有限公司", None, "COMPANY", 0.2), ("U", d, d, "u", "晏河隽渊笙投资管理公司", None, "COMPANY", 0.2)]
+    assert _pairs(spark, rows) == {("C:1", "C:2"), ("C:1", "u"), ("C:2", "u")}
+    assert _pairs(spark, rows, coded="startswith(id, 'C:')") == {("C:1", "u")}
+    both = [*rows, ("V", d, d, "C:1", "Junyuansheng Foods Co., Ltd.", None, "COMPANY", 0.3), ("W", d, d, "C:2", "Junyuansheng Foods Co., Ltd.", None, "COMPANY", 0.4), ("X", d, d, "v", "Junyuansheng Foods Co., Ltd.", None, "COMPANY", 0.4)]
+    assert _pairs(spark, both, coded="startswith(id, 'C:')") == {("C:1", "u")}
+
+
 def test_gazetteer(spark):
     df = spark.createDataFrame([("岚南省晏河市",), (" 晏河市高岫区",), ("岚南省棠州市",), ("Yanhe",), (None,)], "p string")
     assert gazetteer(df) == {"晏河", "岚南", "岚南省"}
