@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.leakage import leaked_documents, remove_leaks
-from tessera.llm.matching import _entities, match_entities
+from tessera.llm.matching import _entities, accepted, match_entities
 from tessera.llm.packing import CAPACITY, pack_documents
 from tessera.llm.pii import find_pii, pii_counts, redact
 from tessera.llm.variants import gazetteer, link_variants, variant_pairs
@@ -49,7 +49,7 @@ def p1_confidences(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _matches(spark, sf).where("confidence >= 0.5").select("company_id", "holder_entity_id")
+    return accepted(_matches(spark, sf), "NOT contains(holder_entity_id, '_UNRESOLVED:')").select("company_id", "holder_entity_id")
 
 
 def _variants(spark: SparkSession, sf: str) -> DataFrame:

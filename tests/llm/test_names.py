@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 
 from tessera.llm.components import connected_components
-from tessera.llm.matching import date_state, pair_evidence, place_town, propagate
+from tessera.llm.matching import accepted, date_state, pair_evidence, place_town, propagate
 from tessera.llm.names import fold, jaro_winkler, one_edit, parse_organisation, parse_person, reading
 from tessera.llm import variants
 from tessera.llm.variants import fine_codes, gazetteer, link_variants, variant_pairs
@@ -156,7 +156,7 @@ def test_components_against_union_find(spark):
 
 def test_dates_and_places():
     d = dt.date
-    assert [date_state(d(2012, 3, 7), x) for x in (d(2012, 3, 7), d(2012, 1, 1), d(2012, 7, 3), d(2012, 9, 20), d(2013, 9, 7), None)] == ["same", "near", "near", "year", "other", ""]
+    assert [date_state(d(2012, 3, 7), x) for x in (d(2012, 3, 7), d(2012, 1, 1), d(2012, 7, 3), d(2012, 9, 20), d(2013, 9, 7), None)] == ["same", "near", "turned", "year", "other", ""]
     assert {place_town(x, PLACES) for x in ("岚南省晏河市", " 晏河市高岫区", "晏河", "Yanhe", "晏河市")} == {"yanhe"}
     assert place_town(None, PLACES) == ""
 
@@ -192,6 +192,12 @@ def _exact_marginals(rows):
     return [x / total for x in on]
 
 
+def test_one_registered_holder_a_company(spark):
+    m = spark.createDataFrame([("c", "R:1", 0.9), ("c", "R:2", 0.8), ("c", "u", 0.7), ("c", "v", 0.4), ("d", "u2", 0.6)], "company_id string, holder_entity_id string, confidence double")
+    assert {r.holder_entity_id for r in accepted(m, "startswith(holder_entity_id, 'R:')").collect()} == {"R:1", "u", "u2"}
+    assert accepted(m.where("false"), "true").count() == 0
+
+
 def test_propagation_is_exact_on_trees_and_close_on_loops(spark):
     tree = [("c1", "h1", "u1", 2.0), ("c1", "h2", "u2", 1.0), ("c2", "h2", "u2", 0.5)]
     loop = [*tree, ("c2", "h1", "u1", -1.0)]
