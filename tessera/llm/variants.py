@@ -25,7 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
@@ -34,7 +34,7 @@ from tessera.session import materialize
 
 MIN_SIMILARITY = 0.8
 MAX_PLACES = 20_000
-#: A block of more names is split by characters, see ``_pairs_of``.
+#: A block of more names is split without losing pairs, see ``_pairs_of``.
 MAX_BLOCK = 1_000
 
 _PARSED = pa.schema([("person", pa.bool_()), ("name", pa.string()), ("key", pa.string()), ("kind", pa.string()), ("brand", pa.string()), ("sound", pa.string()), ("han", pa.bool_()), ("industry", pa.string()), ("place", pa.string()), ("detail", pa.string()), ("manager", pa.string()), ("plain", pa.string()), ("blocks", pa.list_(pa.string())), ("fine", pa.list_(pa.string()))])
@@ -288,20 +288,39 @@ def _one_code(edges: DataFrame, code: DataFrame) -> DataFrame:
 def _pairs_of(known: DataFrame) -> DataFrame:
     """(kl, kr), kl < kr: names that share a block. known: k, scope, blocks, fine, short, odd.
 
-    A block of more than ``MAX_BLOCK`` names is split by ``fine_codes``, so that its names are not all paired: accepted
-    pairs of written-out names are within one edit and still meet. What is lost are pairs of such a block whose names have
-    no characters in common, Latin and abbreviated ones, which with so many full names would have more than one.
+    A block of more than ``MAX_BLOCK`` names is split so that every pair ``judge_persons`` and ``judge_organisations`` accept
+    still meets. Written-out names of a pair are within one edit: they meet by ``fine_codes``, those of whole-name blocks by
+    the same codes of the plain name. Latin names, initials and short names need the reading or initials of the block alone,
+    whatever the characters are: each of them meets the whole block, written-out names don't meet each other there.
     """
-    lean = known.select("k", F.explode("blocks").alias("block"), "scope", "short", "odd").select("k", F.xxhash64("scope", "block").alias("h"), F.when(F.substring("block", 1, 1) == "w", F.col("odd")).when(F.substring("block", 1, 1) == "b", F.col("short")).otherwise(F.lit(True)).alias("may"))
+    kind = F.substring("block", 1, 1)
+    lean = known.select("k", F.explode("blocks").alias("block"), "scope", "short", "odd").select("k", F.xxhash64("scope", "block").alias("h"), kind.alias("t"), F.when(kind == "w", F.col("odd")).when(kind == "b", F.col("short")).otherwise(F.lit(True)).alias("may"))
 
     def pairs(rows: DataFrame) -> DataFrame:
         return rows.alias("x").join(rows.alias("y"), "h").where("x.k < y.k AND (x.may OR y.may)").select(F.col("x.k").alias("kl"), F.col("y.k").alias("kr"))
 
+    def pairs_of_few(rows: DataFrame) -> DataFrame:
+        """The same where few rows may open a pair: only these are met with the others."""
+        met = rows.where("may").alias("x").join(rows.alias("y"), "h").where("x.k <> y.k AND (NOT y.may OR x.k < y.k)")
+        return met.select(F.least("x.k", "y.k").alias("kl"), F.greatest("x.k", "y.k").alias("kr"))
+
     big = materialize(lean.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MAX_BLOCK).select("h"))
     if not big.limit(1).count():
         return pairs(lean).distinct()
-    crowded = lean.join(big, "h", "left_semi").join(known.select("k", "fine"), "k").select("k", "h", "may", F.explode("fine").alias("f")).select("k", F.xxhash64("h", "f").alias("h"), "may")
-    return pairs(lean.join(big, "h", "left_anti")).unionByName(pairs(crowded)).distinct()
+    crowded = lean.join(big, "h", "left_semi").join(known.select("k", "fine", "han", "plain"), "k")
+    part = lambda f, may: F.struct(f.alias("f"), may.alias("may"))
+    fine = lambda codes: F.transform(codes, lambda c: part(c, F.col("may")))
+    whole = lambda may: F.array(part(F.lit("*"), may))
+    parts = F.when(F.col("t") == "w", fine(_fine_codes_of(F.col("plain")))).when(F.col("t") == "b", whole(F.col("may"))).when(F.col("t") == "d", fine(F.col("fine"))).otherwise(F.concat(fine(F.col("fine")), whole(~F.col("han"))))
+    crowded = crowded.select("k", "h", F.explode(parts).alias("p")).select("k", F.xxhash64("h", "p.f").alias("h"), "p.may")
+    return pairs(lean.join(big, "h", "left_anti")).unionByName(pairs_of_few(crowded)).distinct()
+
+
+def _fine_codes_of(name: Column) -> Column:
+    """``fine_codes`` of a name in characters, as a Column."""
+    chars = F.split(name, "")
+    code = lambda c: F.array_join(F.array_sort(c), "")
+    return F.array_distinct(F.array_append(F.transform(chars, lambda _, i: code(F.filter(chars, lambda _, j: j != i))), code(chars)))
 
 
 def _turned(pairs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 
 from tessera.llm.components import connected_components
@@ -113,6 +114,22 @@ def test_crowded_blocks_give_the_same_pairs(spark, monkeypatch):
     assert whole and _pairs(spark, rows) == whole
 
 
+@pytest.mark.parametrize("crowd", [["晏河市蕴雍澈电字科技股份有限公司", "晏河市蕴雍澈电子科技股份有限公司"], ["Yunyongche Electronics (Yanhe) Co., Ltd.", "晏河市蕴雍澈电子科技股份有限公司"], ["蕴雍澈电子", "晏河市筠勇澈电子科技股份有限公司"], ["J. H. Luo", "罗璟晖"], ["LUO JINGHUI", "罗璟晖"]])
+def test_crowded_blocks_keep_pairs_without_a_common_brand(spark, monkeypatch, crowd):
+    day = dt.date(2020, 1, 1)
+    kind = "PERSON" if "罗" in crowd[1] else "COMPANY"
+    rows = [("T", day + dt.timedelta(days=i), day, f"c{i:03d}", n, None, kind, 0.1) for i, n in enumerate(crowd)]
+    whole = _pairs(spark, rows)
+    monkeypatch.setattr(variants, "MAX_BLOCK", 1)
+    assert whole == {("c000", "c001")} and _pairs(spark, rows) == whole
+
+
+@pytest.mark.parametrize("name", ["蕴雍澈电字科技", "甲甲乙", "甲"])
+def test_fine_codes_as_a_column(spark, name):
+    got = spark.createDataFrame([(name,)], "n string").select(variants._fine_codes_of(F.col("n")).alias("c")).first().c
+    assert sorted(got) == fine_codes(name, True)
+
+
 def test_aliases_join_ids_but_not_against_one_list(spark):
     d = [dt.date(2020, m, 1) for m in range(1, 4)]
     rows = [("T", d[0], d[0], "a", "甲骁原贸易行", "乙棠州商社", "COMPANY", 0.1), ("T", d[1], d[1], "b", "乙棠州商社", None, "COMPANY", 0.2)]
