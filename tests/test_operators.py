@@ -2,10 +2,12 @@
 
 import datetime as dt
 import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions.columns import legal_core_name
 from tessera.operators import entities as ent
 from tessera.operators import events as ev
 from tessera.operators import financial as fin
@@ -197,6 +199,28 @@ def test_links_by_priority(spark):
     assert got == [("h1", "c1", "exact_legal_name", True), ("h2", "c2", "ambiguous_exact_normalized_name", False), ("h2", "c3", "ambiguous_exact_normalized_name", False), ("h3", "c4", "unique_legal_core", True)]
 
 
+def test_audit_equals_all_pairs(spark):
+    rnd = random.Random(5)
+    name = lambda: "".join(rnd.choice("甲乙丙丁") for _ in range(rnd.randrange(1, 6))) + rnd.choice(["", "股份", "科技股份有限公司", "集团有限公司"])
+    holders, companies = [(f"h{i:02d}", name()) for i in range(40)], [(f"c{i:03d}", name()) for i in range(150)]
+    core = {r.x: r.core for r in spark.createDataFrame([(n,) for _, n in holders + companies], "x string").select("x", legal_core_name(F.col("x")).alias("core")).distinct().collect()}
+
+    def score(a, b):
+        grams = [{s[i : i + 2] for i in range(max(1, len(s) - 1))} for s in (a, b)]
+        s = 0.55 * SequenceMatcher(None, a, b, autojunk=False).ratio() + 0.45 * 2 * len(grams[0] & grams[1]) / (len(grams[0]) + len(grams[1]))
+        short, long = sorted((core[a], core[b]), key=len)
+        return 1.0 if a == b else round(max(s, 0.88 + 0.08 * len(short) / len(long)) if len(short) >= 4 and short in long else s, 6)
+
+    want = set()
+    for h, a in holders:
+        near = sorted((-score(a, b), c) for c, b in companies if score(a, b) >= 0.62)[:3]
+        want |= {(h, c, i + 1, -s) for i, (s, c) in enumerate(near)} or {(h, None, None, None)}
+    frame = lambda rows, i: spark.createDataFrame(rows, f"{i} string, name string")
+    for options in ({}, {"block": 40}):
+        got = ent.audit_unlinked(frame(holders, "holder_entity_id"), frame(companies, "company_id"), frame([], "holder_entity_id"), **options)
+        assert {(r.holder_entity_id, r.company_id, r["rank"], r.score) for r in got.collect()} == want
+
+
 def test_names_in_texts_longest_wins(spark):
     t = spark.createDataFrame([(1, "甲乙丙丁公司 与甲乙丙丁"), (2, None), (3, "")], "doc_id long, text string")
     n = spark.createDataFrame([("甲乙丙丁",), ("甲乙丙丁公司",), ("短",)], "alias string")
