@@ -74,11 +74,13 @@ def audit_unlinked(holders: DataFrame, companies: DataFrame, links: DataFrame, *
     Every pair of names that reaches ``min_score`` counts; such a pair shares a bigram, and legal forms alone may be enough for
     it. The company names are broadcast in blocks of ``block``, each with an inverted index of its characters and bigrams that
     gives the exact bigram score of all pairs and a bound of the other part; the sequence is compared from the highest bound
-    down, until no bound reaches the ``top`` found. holders: holder_entity_id, name; companies: company_id, name.
+    down, until no bound reaches the ``top`` found. holders: holder_entity_id, name; companies: company_id, name; both with a
+    row for each name and alias of an id, of which the best pair counts. A holder is a vehicle if one of its names says so.
     """
     free = holders.join(links.select("holder_entity_id").distinct(), "holder_entity_id", "left_anti")
     vehicle = F.exists(F.array(*map(F.lit, VEHICLES)), lambda v: F.contains(F.col("name"), v))
-    plain = free.where(~vehicle)
+    vehicles = free.where(vehicle).select("holder_entity_id").distinct()
+    plain = free.join(vehicles, "holder_entity_id", "left_anti")
     side = lambda df, i: df.select(i, normalize_name(F.col("name")).alias("n"), legal_core_name(F.col("name")).alias("core")).where("n <> ''").distinct()
     a, b = materialize(side(plain, "holder_entity_id")), materialize(side(companies, "company_id"))
     scored = a.select("holder_entity_id", "n").join(_nearest_names(a.select("n", "core").distinct(), b, min_score, max(top, 2), block), "n")
@@ -88,7 +90,7 @@ def audit_unlinked(holders: DataFrame, companies: DataFrame, links: DataFrame, *
     finding = F.when(F.col("same") & (F.col("margin") >= 0.03), "likely_same_entity").when(F.col("same_core"), "legal_core_collision").when(F.col("score") >= 0.78, "likely_related_entity").otherwise("uncertain")
     found = ranked.select("holder_entity_id", "company_id", "rank", "score", score_band(F.col("score")).alias("band"), F.when(F.col("rank") == 1, finding).alias("finding"))
     none = lambda df, why: df.select("holder_entity_id").distinct().select("holder_entity_id", F.lit(None).cast("string").alias("company_id"), F.lit(None).cast("int").alias("rank"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("band"), F.lit(why).alias("finding"))
-    return found.unionByName(none(free.where(vehicle), "institution_or_vehicle")).unionByName(none(plain.join(found, "holder_entity_id", "left_anti"), "insufficient_candidate"))
+    return found.unionByName(none(vehicles, "institution_or_vehicle")).unionByName(none(plain.join(found, "holder_entity_id", "left_anti"), "insufficient_candidate"))
 
 
 class _NameIndex:

@@ -88,7 +88,10 @@ def ent_methods(spark: SparkSession, sf: str) -> DataFrame:
 
 def ent_audit(spark: SparkSession, sf: str) -> DataFrame:
     holders = table(spark, sf, "holder_entities").where("entity_type = 'COMPANY'").select("holder_entity_id", "name")
-    return ent.audit_unlinked(holders, table(spark, sf, "listed_company_entities").select("company_id", F.col("canonical_name").alias("name")), _links(spark, sf).where("linked"))
+    companies = table(spark, sf, "listed_company_entities").select("company_id", F.col("canonical_name").alias("name"))
+    aliases = table(spark, sf, "entity_aliases")
+    every = lambda names, i: names.unionByName(aliases.select(F.col("entity_id").alias(i), F.col("alias").alias("name")).join(names.select(i), i, "left_semi")).distinct()
+    return ent.audit_unlinked(every(holders, "holder_entity_id"), every(companies, "company_id"), _links(spark, sf).where("linked"))
 
 
 def ent_resolved(spark: SparkSession, sf: str) -> DataFrame:

@@ -15,6 +15,7 @@ from tessera.operators import ownership as own
 from tessera.operators import research as res
 from tessera.operators import retrieval as ret
 from tessera.operators import runlog as rl
+from tessera.plans import research
 
 D = dt.date
 
@@ -221,6 +222,18 @@ def test_audit_equals_all_pairs(spark):
         assert {(r.holder_entity_id, r.company_id, r["rank"], r.score) for r in got.collect()} == want
 
 
+def test_audit_takes_the_best_pair_of_aliases(spark, tmp_path):
+    rows = {
+        "holder_entities": ([("h1", "甲乙丙丁商社", "COMPANY"), ("h2", "己庚商社", "COMPANY"), ("h3", None, "COMPANY")], "holder_entity_id string, name string, entity_type string"),
+        "listed_company_entities": ([("c1", "600000.SH"), ("c2", "戊己股份有限公司")], "company_id string, canonical_name string"),
+        "entity_aliases": ([("c1", "甲乙丙丁戊己股份有限公司", "FORMER_SECURITY_NAME"), ("h1", "甲乙丙丁戊己股份公司", "TYPED_NAME"), ("h2", "己庚一号证券投资基金", "DISCLOSED_NAME")], "entity_id string, alias string, alias_type string"),
+    }
+    for name, (data, ddl) in rows.items():
+        spark.createDataFrame(data, ddl).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {r.holder_entity_id: (r.company_id, r.finding) for r in research.ent_audit(spark, str(tmp_path)).where("coalesce(rank, 1) = 1").collect()}
+    assert got == {"h1": ("c1", "legal_core_collision"), "h2": (None, "institution_or_vehicle"), "h3": (None, "insufficient_candidate")}
+
+
 def test_names_in_texts_longest_wins(spark):
     t = spark.createDataFrame([(1, "甲乙丙丁公司 与甲乙丙丁"), (2, None), (3, "")], "doc_id long, text string")
     n = spark.createDataFrame([("甲乙丙丁",), ("甲乙丙丁公司",), ("短",)], "alias string")
