@@ -105,9 +105,8 @@ def doc_hybrid(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def doc_html(spark: SparkSession, sf: str) -> DataFrame:
-    """Visible text of documents with markup."""
-    d = table(spark, sf, "documents").where(F.col("text").contains("<p>"))
-    return d.select("doc_id", html_text("text").alias("visible"))
+    """Visible text of all documents."""
+    return table(spark, sf, "documents").select("doc_id", html_text("text").alias("visible"))
 
 
 _CH = "c AS (SELECT DISTINCT ON (chunk_id) chunk_id, doc_id, section_title, text FROM chunks)"

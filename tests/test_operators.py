@@ -15,7 +15,7 @@ from tessera.operators import ownership as own
 from tessera.operators import research as res
 from tessera.operators import retrieval as ret
 from tessera.operators import runlog as rl
-from tessera.plans import research
+from tessera.plans import documents, research
 
 D = dt.date
 
@@ -200,6 +200,13 @@ def test_links_by_priority(spark):
     assert got == [("h1", "c1", "exact_legal_name", True), ("h2", "c2", "ambiguous_exact_normalized_name", False), ("h2", "c3", "ambiguous_exact_normalized_name", False), ("h3", "c4", "unique_legal_core", True)]
 
 
+def test_every_document_has_its_visible_text(spark, tmp_path):
+    texts = [(1, "<p>甲</p>乙"), (2, "甲<br>乙"), (3, "甲&amp;乙"), (4, "甲 乙"), (5, "3 < 5"), (6, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.visible for r in documents.doc_html(spark, str(tmp_path)).collect()}
+    assert got == {1: "甲\n乙", 2: "甲\n乙", 3: "甲&乙", 4: "甲 乙", 5: "3 < 5", 6: None}
+
+
 def test_audit_equals_all_pairs(spark):
     rnd = random.Random(5)
     name = lambda: "".join(rnd.choice("甲乙丙丁") for _ in range(rnd.randrange(1, 6))) + rnd.choice(["", "股份", "科技股份有限公司", "集团有限公司"])
