@@ -8,7 +8,8 @@ e-mail has its sign, a phone number 7 to 15 digits, ...).
 
 The network is trained by ``pii_train`` from labelled spans; its weights are a file of some 100 kB beside this module.
 
-Scale: one pass over the texts, no shuffle; memory is bounded by ``CHUNK`` windows at a time however long a text is.
+Scale: one pass over the texts, no shuffle; the network holds ``CHUNK`` windows at a time however long a text is, the decoder
+the scores of whole stretches.
 
 Defined results: a null or empty text has no spans; positions are of the original text; repeated ids give the spans of
 each row; an empty table gives no rows.
@@ -174,6 +175,8 @@ class Tagger:
             back[k] = step.argmax(1)
             new = np.take_along_axis(step, back[k][:, None].astype(np.int64), 1)[:, 0] + scores[:, k]
             best = np.where((k < lengths)[:, None], new, best)
+            if not k % 1024:  # long sums would lose their digits
+                best -= best.max(1, keepdims=True)
         labels = np.zeros((b, t), np.int8)
         cur = best.argmax(1)
         rows = np.arange(b)
@@ -197,23 +200,14 @@ class Tagger:
             if group and n_windows + w > CHUNK:
                 self._tag_group(texts, group, out)
                 group, n_windows = [], 0
-            if w > CHUNK:
-                self._tag_long(texts, p, out)
-            else:
-                group.append(p)
-                n_windows += w
+            group.append(p)
+            n_windows += w
         if group:
             self._tag_group(texts, group, out)
         for spans in out:
             spans.sort(key=lambda s: s[1])
         return out
 
-    def _tag_long(self, texts, place, out) -> None:
-        i, a, b = place
-        step = STRIDE * (CHUNK - 2)
-        for s in range(a, b, step):  # pieces meet at a window's edge
-            self._tag_group(texts, [(i, s, min(b, s + step))], out)
-
     def _tag_group(self, texts, group, out) -> None:
         lengths = np.array([b - a for _, a, b in group])
         longest = int(lengths.max())
@@ -226,17 +220,18 @@ class Tagger:
                 rows.append(piece if len(piece) == width else np.pad(piece, (0, width - len(piece))))
                 owner.append(g)
                 at.append(s)
-        e = self.emissions(np.stack(rows))
         if len(rows) == len(group):
-            scores = e
+            scores = self.emissions(np.stack(rows))
         else:
             scores = np.zeros((len(group), longest + width, len(LABELS)), np.float32)
             weight = np.zeros((len(group), longest + width, 1), np.float32)
             edge = np.minimum(np.arange(1, width + 1), np.arange(width, 0, -1)).astype(np.float32)[:, None]
-            for r, (g, s) in enumerate(zip(owner, at, strict=True)):
-                n = min(width, int(lengths[g]) - s)
-                scores[g, s : s + n] += e[r, :n] * edge[:n]
-                weight[g, s : s + n] += edge[:n]
+            for first in range(0, len(rows), CHUNK):  # a stretch of more windows is still decoded at once
+                part = slice(first, first + CHUNK)
+                for e, g, s in zip(self.emissions(np.stack(rows[part])), owner[part], at[part], strict=True):
+                    n = min(width, int(lengths[g]) - s)
+                    scores[g, s : s + n] += e[:n] * edge[:n]
+                    weight[g, s : s + n] += edge[:n]
             scores /= np.maximum(weight, 1e-6)
             scores = scores[:, :longest]
         labels = self.decode(scores, lengths)

@@ -155,6 +155,15 @@ def test_long_texts_are_tagged_like_short_ones():
     assert kinds == {"NAME", "PHONE"} and len(spans) > 0.99 * 12000
 
 
+def test_a_long_stretch_is_decoded_at_once(monkeypatch):
+    tagger = pii.Tagger.load()
+    text = pii.fold_places("联系人陈懋飒，手机16956642286。" * 40)
+    assert len(pii.stretches(text)) == 1
+    whole = tagger.tag([text])[0]
+    monkeypatch.setattr(pii, "CHUNK", 3)  # a cut would fall within numbers
+    assert tagger.tag([text])[0] == whole
+
+
 def test_decoding_against_brute_force():
     rnd = np.random.default_rng(1)
     tagger = pii.Tagger.load()
