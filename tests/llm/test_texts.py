@@ -92,6 +92,15 @@ def test_leaks(spark):
     assert _leaks(spark, []) == set()
 
 
+def test_short_units_and_runs_at_odd_places():
+    passage = "".join(chr(0x4E00 + 7 * i) for i in range(100))
+    scanner = lk.Scanner(lk.HeldOut([(1, "净利润是多少", None), (2, None, passage)]), 2)
+    run = list(passage[31:71])
+    run[10] = run[20] = run[30] = "龥"
+    found = {(doc, item, lo) for doc, item, _, _, lo, _ in scanner.scan(["问：净利润是多少？净利润是多少", "净利润多少", None, "龠" * 50 + "".join(run) + "龠" * 50])}
+    assert found == {(0, 1, 2), (3, 2, 50)}
+
+
 def test_leaks_in_blocks_and_copies(spark):
     docs = spark.createDataFrame([(i, "前文。" + SENTENCE) for i in range(60)] + [(100, OTHER)], "doc_id long, text string")
     held = spark.createDataFrame([(1, None, ITEM), (2, None, OTHER)], "item_id long, question string, passage string")
