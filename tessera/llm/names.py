@@ -6,28 +6,27 @@ import re
 import unicodedata
 from dataclasses import dataclass, field
 from functools import lru_cache
+from pathlib import Path
 
-# Traditional characters and their simplified forms, those common in names.
-TRADITIONAL = (
-    "資资業业團团備备責责銀银計计靜静傑杰艷艳嶠峤嶼屿鵬鹏齊齐進进愷恺驍骁鐸铎鑠铄騁骋簫箫遠远見见鈺钰綺绮蘊蕴價价長长謨谟國国淵渊營营"
-    "運运潯浔軼轶電电銷销櫟栎雋隽發发鎔镕縵缦綸纶悅悦鴻鸿霽霁穩稳權权錕锟颯飒揚扬鯤鲲廬庐豐丰創创闕阙農农員员頤颐暉晖錦锦韜韬環环馳驰"
-    "臨临傳传機机璽玺軟软醫医諶谌產产寧宁陽阳裝装吳吴導导體体陳陈藥药馮冯羅罗東东鄧邓於于孫孙賈贾黃黄鐘钟韓韩許许餘余鄭郑謝谢凱凯蘇苏"
-    "葉叶蔣蒋盧卢譚谭蕭萧輝辉閻阎馬马遲迟濤涛範范號号證证戶户雲云楊杨聯联興兴華华億亿達达礦矿紡纺織织飲饮軍军劉刘張张趙赵鄒邹歐欧關关"
-    "麗丽強强瓊琼嵐岚鵠鹄勛勋紅红蘭兰龍龙鳳凤寶宝慶庆貿贸設设術术務务廣广廈厦術术滬沪滙汇匯汇會会協协擔担獎奖約约級级終终結结經经線线續续"
-    "鄉乡鎮镇縣县區区灣湾島岛嶺岭滄沧漢汉濱滨廠厂場场們们個个優优債债儲储兩两兒儿"
-)
-_T2S = {ord(TRADITIONAL[i]): TRADITIONAL[i + 1] for i in range(0, len(TRADITIONAL) - 1, 2)}
-
-# Readings of characters common in names, by syllable.
-READINGS = """an安 bei北 bo波 cai蔡 cang沧 cao曹 cen岑 chang昶 chao超 che澈 chen陈辰忱谌晨 cheng程城骋成 chi迟驰 chong翀 chuan川 chun淳 cong琮 cui萃翠
-dai戴 deng邓 ding丁鼎 dong董东 du杜 duo铎 fan范 fang方芳 fei斐 feng冯丰峰 fu傅馥 gang刚 gao高 ge舸 guan官 guo郭 hai海 han韩涵瀚 he何禾赫河 heng珩桁衡
-hong鸿泓 hu胡鹄 huan桓 huang黄 hui晖辉 ji霁 jia贾 jiang蒋姜江 jie杰 jin瑾槿锦 jing憬旌璟菁靖静 juan娟 jun隽军 kai楷恺凯 ke珂 kou口 kun堃锟鲲 lan澜岚
-lang琅朗 lei磊 li黎栎丽李 liang梁 liao廖 lin林霖临 ling玲陵岭 liu刘 lu卢麓鹿吕 lun纶 luo罗 ma马 man缦 mao懋 miao邈 min敏 ming茗 mo谟 nan南 ning宁 ou欧 pan潘 peng彭芃鹏
-ping屏平 pu浦 qi祺绮麒齐栖 qian倩 qiang强 qiao峤樵 qing擎青 qiu遒 quan荃 que阙 ran苒 ren任 rong榕镕蓉 rui芮 sa飒 shan杉 shang上 shen沈莘 sheng笙晟 shi石 shu澍
-shuo朔铄 si司 song宋 su苏溯 sui穗 sun孙 tan谭 tang唐瑭棠 tao韬涛 tian田 ting婷 tong潼桐 tu徒 tuo拓 wan湾 wang汪王 wei魏蔚尉 wen雯 wu吴 xi汐玺溪西 xia夏霞 xiang襄翔
-xiao萧骁箫 xie谢 xiu岫 xu徐许煦 xuan璇暄 xue薛 xun浔洵 yan晏彦阎艳 yang扬阳洋杨 yao姚曜瑶 ye叶 yi弈羿翊颐逸轶漪 yong雍勇 you酉攸 yu于余屿豫钰聿 yuan袁源原渊媛
-yue悦樾 yun筠耘蕴云昀 zeng曾 zhan湛 zhang漳张 zhao赵 zhe柘 zheng郑 zhi郅 zhong钟 zhou周洲州 zhu朱 zi梓"""
-_READING = {ch: m[1] for m in re.finditer(r"([a-z]+)([^\x00-\x7f]+)", READINGS) for ch in m[2]}
+# How characters are read in names where that isn't their commonest reading.
+NAME_READINGS = {"曾": "zeng", "晟": "sheng", "拓": "tuo", "隽": "jun", "鹄": "hu", "峤": "qiao", "重": "chong", "长": "chang", "都": "du", "行": "hang"}
+#: The same for surnames alone.
+SURNAME_READINGS = {"单": "shan", "解": "xie", "查": "zha", "翟": "zhai", "覃": "qin", "缪": "miao", "朴": "piao", "仇": "qiu", "区": "ou", "卜": "bu", "盖": "ge", "尉迟": "yuchi", "万俟": "moqi"}
+
+
+def _tables() -> tuple[dict[str, str], dict[int, str]]:
+    """Readings and simplified forms of all characters of the basic block, as ``han_build`` wrote them."""
+    readings, simple = {}, {}
+    for line in Path(__file__).with_name("models").joinpath("han.txt").read_text(encoding="utf-8").splitlines():
+        sound, _, chars = line.partition(" ")
+        if sound == "=":
+            simple = {ord(chars[i]): chars[i + 1] for i in range(0, len(chars), 2)}
+        else:
+            readings |= dict.fromkeys(chars, sound)
+    return readings | NAME_READINGS, simple | {ord("滙"): "汇"}
+
+
+_READING, _T2S = _tables()
 
 COMPOUND_SURNAMES = ("欧阳", "上官", "司徒", "尉迟", "诸葛", "司马", "东方", "夏侯", "皇甫", "令狐", "慕容", "公孙", "长孙", "宇文")
 _COMPOUND_LATIN = {"ouyang", "shangguan", "situ", "yuchi", "zhuge", "sima", "dongfang", "xiahou", "huangfu", "linghu", "murong", "gongsun", "zhangsun", "yuwen"}
@@ -47,11 +46,13 @@ def fold(name: str) -> str:
 
 def reading(text: str) -> str:
     """Latin letters as they are, characters by their reading; those without one stand for themselves."""
-    if text.startswith("尉迟"):  # the one surname here whose character is read otherwise
-        return "yuchi" + reading(text[2:])
     return "".join(_READING.get(ch, ch) for ch in text.lower())
 
 
+def surname_reading(surname: str) -> str:
+    return SURNAME_READINGS.get(surname) or reading(surname)
+
+
 def syllables(text: str) -> list[str]:
     return [_READING.get(ch, ch) for ch in text.lower()]
 
@@ -115,12 +116,12 @@ class Person:
     @property
     def sound(self) -> str:
         """Phonetic code of the sorted tokens: the same for every order of surname and given name."""
-        return "|".join(sorted((reading(self.surname), reading(self.given))))
+        return "|".join(sorted((surname_reading(self.surname), reading(self.given))))
 
     @property
     def sound_initials(self) -> str:
         first = "".join(s[0] for s in syllables(self.given)) if self.han else self.initials
-        return reading(self.surname) + "|" + first
+        return surname_reading(self.surname) + "|" + first
 
 
 def _lu(surname: str) -> str:

@@ -1,15 +1,17 @@
 """Personal information in free text: a character-level bidirectional LSTM with CRF transitions, all in numpy.
 
-Every text is read whole by cheap patterns that mark where personal information may stand (digit runs, mail signs, road
-names with numbers, a surname before characters of given names in any script). Around these places overlapping windows
-go through the network; the scores of overlapping windows are averaged, weighted by the distance from a window's edge,
-and one Viterbi pass over each whole stretch decides all labels together. What is decoded passes a check of form (an
-e-mail has its sign, a phone number 7 to 15 digits, ...).
+Every character of every text goes through the network, in overlapping windows; the scores of overlapping windows are
+averaged, weighted by the distance from a window's edge, and a Viterbi pass decides all labels of a text together. No
+list of names, places or formats takes part; what is decoded only passes a check of form (an e-mail has its sign, a phone
+number 7 to 18 digits, ...).
 
-The network is trained by ``pii_train`` from labelled spans; its weights are a file of some 100 kB beside this module.
+The pass is cut only at places where every label other than O loses whatever its neighbours are: the best path of the
+whole text goes through O there, so the parts have the same labels as the whole.
 
-Scale: one pass over the texts, no shuffle; the network holds ``CHUNK`` windows at a time however long a text is, the decoder
-the scores of whole stretches.
+The network is trained by ``pii_train`` from labelled spans; its weights are a file beside this module.
+
+Scale: one pass over the texts, no shuffle. Texts are taken together up to ``BLOCK`` characters; the network holds
+``CHUNK`` windows at a time however long a text is. Results don't depend on which texts are taken together.
 
 Defined results: a null or empty text has no spans; positions are of the original text; repeated ids give the spans of
 each row; an empty table gives no rows.
@@ -28,32 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.names import _READING, _T2S, COMPOUND_SURNAMES
+from tessera.llm.names import _T2S
 
 TYPES = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
 LABELS = ("O", *(f"{p}-{t}" for t in TYPES for p in "BI"))
-WINDOW, STRIDE, BEFORE, AFTER, CHUNK = 96, 64, 28, 14, 512
+WINDOW, STRIDE, CHUNK = 192, 160, 512
+#: Texts are taken together up to this number of characters.
+BLOCK = 400_000
 MODEL = Path(__file__).with_name("models") / "pii_bilstm_crf.npz"
-
-# One-character surnames.
-SURNAMES = "何杜阎邓于宋方范吴贾彭蒋傅丁黄董冯曹程陈林钟朱谢胡高袁郑魏夏廖孙田梁沈徐薛曾苏郭周石任潘汪许马韩罗叶吕唐谭姚萧卢戴余姜蔡王李张刘赵杨"
-GIVEN = "".join(sorted(set(_READING) - set("省市县区路街道号中央港银行证券")))
-_LATIN_SURNAMES = "|".join(sorted({*(_READING[c] for c in SURNAMES), "ouyang", "shangguan", "situ", "yuchi", "lyu", "lv"}, key=len, reverse=True))
-
-_NAME_GATE = rf"(?:{'|'.join(COMPOUND_SURNAMES[:4])}|[{SURNAMES}])[\s·.]{{0,2}}[{GIVEN}]"
-_DIGIT_GATE = r"\d[\d\- .()]{5,}[\dXx]|[一二三四五六七八九〇零]{7,}|[EHGC][A-Z]?\d{7,8}"
-_MAIL_GATE = r"(?:@|[(\[]\s?at\s?[)\]])[\w.\-\[\]() ]{0,40}"
-_PLACE_GATE = r"(?:[路街道巷村里弄镇组院苑园寓庄]|小区)\s?(?:\d|[东西南北中])|\d\s?[号號栋棟幢室弄组組]|(?:Flat|Room|Unit|Apt|Suite)\s|\b(?:Road|Street|Avenue|Lane|Rd|St|Ave|Boulevard|Drive)\b|\b(?:ROAD|STREET|AVENUE|LANE|FLAT|ROOM)\b"
-# what one of the gates may begin with: most characters are turned down by this alone
-_STARTS = "[" + SURNAMES + "".join(c[0] for c in COMPOUND_SURNAMES[:4]) + r"\d一二三四五六七八九〇零EHGC@(\[路街道巷村里弄镇组院苑园寓庄小FRUASLDB]"
-_GATE = re.compile(f"(?={_STARTS})(?:" + "|".join((_NAME_GATE, _DIGIT_GATE, _MAIL_GATE, _PLACE_GATE)) + ")")
-_SURNAME_SET = frozenset(_LATIN_SURNAMES.split("|"))
-_WORD = re.compile(r"\b[A-Z][A-Za-z]*(?:-[A-Za-z]+)?\b")
-_JOIN = re.compile(r",?\s{1,2}")
-_SURNAME_BEFORE = re.compile(rf"\b(?:{_LATIN_SURNAMES}),\s*$", re.I)
-_SYLLABLES = "|".join(sorted(set(_READING.values()), key=len, reverse=True))
-_GIVEN_LATIN = re.compile(rf"(?:{_SYLLABLES})(?:[-\s]?(?:{_SYLLABLES}))?$", re.I)
-_CAPITALS = re.compile(r"[A-Z]")
+#: Ids that aren't characters of the vocabulary: padding, then unknown ones by what they are.
+PAD, OTHER, HAN, LATIN, DIGIT, N_FIXED = 0, 1, 2, 3, 4, 5
 
 
 @cache
@@ -70,220 +56,231 @@ def _fold_table() -> np.ndarray:
     return table
 
 
+def fold_codes(text: str) -> np.ndarray:
+    """Code points with width and traditional characters folded; every character keeps its place."""
+    return _fold_table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+
+
 def fold_places(text: str) -> str:
-    """The text with width and traditional characters folded; every character keeps its place."""
-    cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return _fold_table()[cps].tobytes().decode("utf-32-le", "surrogatepass")
-
-
-def latin_names(text: str) -> Iterator[tuple[int, int]]:
-    """Places of a surname beside a given name of one or two words in Latin letters, in either order."""
-    words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
-    n, i = len(words), 0
-    while i + 1 < n:
-        run = [i]
-        while len(run) < 3 and run[-1] + 1 < n and _JOIN.fullmatch(text, words[run[-1]][1], words[run[-1] + 1][0]):
-            run.append(run[-1] + 1)
-        low = [text[words[k][0] : words[k][1]].lower() for k in run]
-        for size in (3, 2):
-            if len(low) < size:
-                continue
-            if (low[0] in _SURNAME_SET and _GIVEN_LATIN.match(" ".join(low[1:size]))) or (low[size - 1] in _SURNAME_SET and _GIVEN_LATIN.match(" ".join(low[: size - 1]))):
-                yield words[i][0], words[run[size - 1]][1]
-                i += size - 1
-                break
-        i += 1
-
-
-def stretches(text: str) -> list[tuple[int, int]]:
-    """Stretches of a folded text around the places where personal information may stand, merged where they meet."""
-    spots = [(m.start(), m.end()) for m in _GATE.finditer(text)]
-    if _CAPITALS.search(text):
-        spots += latin_names(text)
-        spots.sort()
-    out: list[list[int]] = []
-    n = len(text)
-    for a, b in spots:
-        a, b = max(0, a - BEFORE), min(n, b + AFTER)
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+    return fold_codes(text).tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def id_table(vocab: str) -> np.ndarray:
+    """Code point -> id; characters outside the vocabulary by what they are."""
+    table = np.full(0x110000, OTHER, np.int64)
+    table[0x3400:0xA000] = HAN
+    table[0x20000:0x32000] = HAN
+    for cp in range(0x250):
+        if chr(cp).isalpha():
+            table[cp] = LATIN
+    for cp in range(0x30, 0x3A):
+        table[cp] = DIGIT
+    for i, ch in enumerate(vocab):
+        table[ord(ch)] = N_FIXED + i
+    return table
 
 
 class Tagger:
     """The network and its decoder."""
 
     def __init__(self, weights: dict[str, np.ndarray]):
-        self.vocab = {ch: i + 2 for i, ch in enumerate(str(weights["vocab"]))}  # 0: padding, 1: unknown
         f32 = {k: np.asarray(v, np.float32) for k, v in weights.items() if k != "vocab"}
-        self.hidden = f32["Uf"].shape[0]
-        half = np.full(4 * self.hidden, 0.5, np.float32)
-        half[2 * self.hidden : 3 * self.hidden] = 1  # the candidate gate is a plain tanh
+        self.table = id_table(str(weights["vocab"]))
+        h = self.hidden = f32["Uf"].shape[0]
+        half = np.full(4 * h, 0.5, np.float32)
+        half[2 * h : 3 * h] = 1  # the candidate gate is a plain tanh
         # sigmoid(x) = (1 + tanh(x / 2)) / 2: one tanh for all four gates
-        self.proj = [(f32["E"] @ f32["W" + d] + f32["b" + d]) * half for d in "fb"]
-        self.rec = [f32["U" + d] * half for d in "fb"]
-        self.out, self.out_b, self.trans, self.first = f32["O"], f32["ob"], f32["T"], f32["T0"]
-        table = np.ones(0x110000, np.int32)
-        for ch, i in self.vocab.items():
-            table[ord(ch)] = i
-        self.table = table
+        self.proj = np.concatenate([(f32["E"] @ f32["W" + d] + f32["b" + d]) * half for d in "fb"])
+        self.rec = np.stack([f32["U" + d] * half for d in "fb"])
+        self.out = np.stack([f32["O"][:h], f32["O"][h:]])
+        self.out_b, self.trans, self.first = f32["ob"], f32["T"], f32["T0"]
+        # what a label other than O may at most gain by its transitions, over O between the same neighbours
+        t = self.trans
+        inner = t[:, 1:, None] + t[None, 1:, :] - t[:, :1, None] - t[None, :1, :]
+        ends = np.concatenate([(t[:, 1:] - t[:, :1]).ravel(), (self.first[1:, None] + t[1:] - self.first[0] - t[:1]).ravel(), self.first[1:] - self.first[0]])
+        self.gain = float(max(inner.max(), ends.max())) + 1e-3
 
     @classmethod
     def load(cls, path: str | Path = MODEL) -> Tagger:
         with np.load(path, allow_pickle=False) as z:
             return cls({k: z[k] for k in z.files})
 
-    def encode(self, text: str) -> np.ndarray:
-        return self.table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-
-    def _run(self, ids: np.ndarray, way: int) -> np.ndarray:
-        """Hidden states (T, B, H) of one direction; ids: (B, T)."""
-        b, t = ids.shape
+    def _run(self, ids: np.ndarray) -> np.ndarray:
+        """Scores (T, 2, B, labels) of both directions; ids: (T, 2, B), the second one read backwards."""
+        t, _, b = ids.shape
         h = self.hidden
-        state, cell = np.zeros((b, h), np.float32), np.zeros((b, h), np.float32)
-        out = np.empty((t, b, h), np.float32)
-        for k in range(t) if way == 0 else range(t - 1, -1, -1):
-            col = ids[:, k]
-            z = state @ self.rec[way]
-            z += self.proj[way][col]
+        ids = ids.copy()
+        ids[:, 1] += len(self.proj) // 2
+        state, cell = np.zeros((2, b, h), np.float32), np.zeros((2, b, h), np.float32)
+        z, keep = np.empty((2, b, 4 * h), np.float32), np.empty((t, 2, b, h), np.float32)
+        for k in range(t):
+            np.matmul(state, self.rec, out=z)
+            z += self.proj.take(ids[k], axis=0)
             np.tanh(z, out=z)
-            gate = z[:, : 2 * h]
+            gate = z[..., : 2 * h]
             gate += 1
             gate *= 0.5
-            cell = gate[:, h:] * cell + gate[:, :h] * z[:, 2 * h : 3 * h]
-            state = (0.5 * z[:, 3 * h :] + 0.5) * np.tanh(cell)
-            live = (col > 0)[:, None]
-            if not live.all():
-                state, cell = state * live, cell * live
-            out[k] = state
-        return out
-
-    def emissions(self, ids: np.ndarray) -> np.ndarray:
-        """(B, T, labels)"""
-        h = np.concatenate([self._run(ids, 0), self._run(ids, 1)], axis=2)
-        return (h @ self.out + self.out_b).transpose(1, 0, 2)
-
-    def decode(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Best label sequences (B, T) of scores (B, T, labels), each up to its length."""
-        b, t, n = scores.shape
-        best = scores[:, 0] + self.first
-        back = np.zeros((t, b, n), np.int8)
+            cell *= z[..., h : 2 * h]
+            cell += z[..., :h] * z[..., 2 * h : 3 * h]
+            state = keep[k]
+            np.tanh(cell, out=state)
+            o = z[..., 3 * h :]
+            o += 1
+            o *= 0.5
+            state *= o
+        return np.matmul(keep, self.out)
+
+    def scores(self, ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Scores (places, labels) of texts that lie one behind the other in ``ids``."""
+        acc, weight = np.zeros((len(ids), len(LABELS)), np.float32), np.zeros(len(ids), np.float32)
+        n_windows = 1 + np.maximum(0, -(-(size - WINDOW) // STRIDE))
+        owner = np.repeat(np.arange(len(size)), n_windows)
+        k = np.arange(len(owner)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
+        width, begin = np.minimum(WINDOW, size[owner] - k * STRIDE), start[owner] + k * STRIDE
+        # every other window of a text doesn't overlap: within one group no place is added to twice
+        order = np.lexsort((width, k % 2))
+        turn = np.searchsorted(k[order] % 2, 1)
+        for lo, hi in ((0, turn), (turn, len(order))):
+            for at in range(lo, hi, CHUNK):
+                rows = order[at : min(hi, at + CHUNK)]
+                n, a = width[rows], begin[rows]
+                t = np.arange(int(n.max()))[:, None]
+                inside = t < n
+                fwd, back = a + np.minimum(t, n - 1), a + np.maximum(n - 1 - t, 0)
+                e = self._run(np.stack([ids[fwd], ids[back]], axis=1))
+                w = (np.minimum(t + 1, n - t) * inside).astype(np.float32)
+                e *= w[:, None, :, None]
+                # the padded places of a short window say nothing
+                keep = slice(None) if inside.all() else inside
+                acc[fwd[keep]] += e[:, 0][keep]
+                acc[back[keep]] += e[:, 1][keep]
+                weight[fwd[keep]] += w[keep]
+        acc /= weight[:, None]
+        acc += self.out_b
+        return acc
+
+    def decode(self, scores: np.ndarray, lengths: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Best label sequences (T, B) of scores (T, labels, B), each up to its length; ``first``: (labels, B)."""
+        t, n, b = scores.shape
+        best = np.empty((t, n, b), np.float32)
+        best[0] = scores[0] + first
+        step = np.empty((n, n, b), np.float32)
         for k in range(1, t):
-            step = best[:, :, None] + self.trans
-            back[k] = step.argmax(1)
-            new = np.take_along_axis(step, back[k][:, None].astype(np.int64), 1)[:, 0] + scores[:, k]
-            best = np.where((k < lengths)[:, None], new, best)
-            if not k % 1024:  # long sums would lose their digits
-                best -= best.max(1, keepdims=True)
-        labels = np.zeros((b, t), np.int8)
-        cur = best.argmax(1)
-        rows = np.arange(b)
+            np.add(best[k - 1][:, None, :], self.trans[:, :, None], out=step)
+            step.max(0, out=best[k])
+            best[k] += scores[k]
+            if not k % 256:  # long sums would lose their digits
+                best[k] -= best[k].max(0)
+        rows, out = np.arange(b), np.zeros((t, b), np.int8)
+        cur = np.zeros(b, np.int64)
         for k in range(t - 1, -1, -1):
-            live = k < lengths
-            labels[:, k] = np.where(live, cur, 0)
-            if k:
-                cur = np.where(live, back[k][rows, cur], cur)
-        return labels
+            begins = k == lengths - 1
+            came = cur if k == t - 1 else (best[k] + self.trans[:, cur]).argmax(0)
+            cur = np.where(begins, best[k].argmax(0), came)
+            out[k] = np.where(k < lengths, cur, 0)
+        return out
+
+    def labels(self, ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The label of every place of texts that lie one behind the other."""
+        out = np.zeros(len(ids), np.int8)
+        acc = self.scores(ids, start, size)
+        doubtful = acc[:, 1:].max(1) - acc[:, 0] > -self.gain
+        opens = np.zeros(len(ids) + 1, bool)
+        opens[start] = True  # no part goes over from a text to the next one
+        before = np.concatenate([[False], doubtful[:-1]]) & ~opens[:-1]
+        a = np.flatnonzero(doubtful & ~before)
+        after = np.concatenate([doubtful[1:], [False]]) & ~opens[1:]
+        lengths = np.flatnonzero(doubtful & ~after) + 1 - a
+        at_start, at_end = opens[a], np.isin(a + lengths, start) | (a + lengths == len(ids))
+        order, at = np.argsort(lengths, kind="stable"), 0
+        while at < len(order):
+            n = 1  # as many as fit
+            while at + n < len(order) and n < 4 * CHUNK and (n + 1) * lengths[order[at + n]] <= CHUNK * WINDOW:
+                n += 1
+            rows = order[at : at + n]
+            size_, at = lengths[rows], at + n
+            t = np.arange(int(size_.max()))[:, None]
+            where = a[rows] + np.minimum(t, size_ - 1)
+            s = acc[where]
+            # the part is followed by O unless the text ends
+            s[size_ - 1, np.arange(n)] += np.where(at_end[rows], 0, 1)[:, None] * self.trans[:, 0]
+            first = np.where(at_start[rows], self.first[:, None], self.trans[0][:, None])
+            lab = self.decode(np.ascontiguousarray(s.transpose(0, 2, 1)), size_, first)
+            inside = t < size_
+            out[where[inside]] = lab[inside]
+        return out
 
     def tag(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
-        """(type, start, end) of the spans of each folded text."""
-        places = [(i, a, b) for i, t in enumerate(texts) for a, b in stretches(t)]
+        """(type, start, end) of the spans of each text."""
         out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-        # stretches of a length together; a long one is cut into overlapping windows
-        places.sort(key=lambda p: p[2] - p[1])
-        group: list[tuple[int, int, int]] = []
-        n_windows = 0
-        for p in places:
-            w = 1 + max(0, -(-(p[2] - p[1] - WINDOW) // STRIDE))
-            if group and n_windows + w > CHUNK:
-                self._tag_group(texts, group, out)
-                group, n_windows = [], 0
-            group.append(p)
-            n_windows += w
-        if group:
-            self._tag_group(texts, group, out)
-        for spans in out:
-            spans.sort(key=lambda s: s[1])
+        group, n = [], 0
+        for i, t in enumerate(texts):
+            if t:
+                group.append(i)
+                n += len(t)
+            if group and (n >= BLOCK or i == len(texts) - 1):
+                self._tag_block(texts, group, out)
+                group, n = [], 0
         return out
 
-    def _tag_group(self, texts, group, out) -> None:
-        lengths = np.array([b - a for _, a, b in group])
-        longest = int(lengths.max())
-        width = min(WINDOW, longest)
-        owner, at, rows = [], [], []
-        for g, (i, a, b) in enumerate(group):
-            ids = self.encode(texts[i][a:b])
-            for s in range(0, max(1, b - a - (WINDOW - STRIDE)), STRIDE):
-                piece = ids[s : s + width]
-                rows.append(piece if len(piece) == width else np.pad(piece, (0, width - len(piece))))
-                owner.append(g)
-                at.append(s)
-        if len(rows) == len(group):
-            scores = self.emissions(np.stack(rows))
-        else:
-            scores = np.zeros((len(group), longest + width, len(LABELS)), np.float32)
-            weight = np.zeros((len(group), longest + width, 1), np.float32)
-            edge = np.minimum(np.arange(1, width + 1), np.arange(width, 0, -1)).astype(np.float32)[:, None]
-            for first in range(0, len(rows), CHUNK):  # a stretch of more windows is still decoded at once
-                part = slice(first, first + CHUNK)
-                for e, g, s in zip(self.emissions(np.stack(rows[part])), owner[part], at[part], strict=True):
-                    n = min(width, int(lengths[g]) - s)
-                    scores[g, s : s + n] += e[:n] * edge[:n]
-                    weight[g, s : s + n] += edge[:n]
-            scores /= np.maximum(weight, 1e-6)
-            scores = scores[:, :longest]
-        labels = self.decode(scores, lengths)
-        for (i, a, _), lab, n in zip(group, labels, lengths, strict=True):
-            lab = lab[:n]
-            for s in np.flatnonzero((lab > 0) & (lab % 2 == 1)):
-                kind = int(lab[s]) // 2
-                e_ = int(s) + 1
-                while e_ < n and lab[e_] == 2 * kind + 2:
-                    e_ += 1
-                span = checked(TYPES[kind], texts[i], a + int(s), a + e_)
-                if span:
-                    out[i].append(span)
+    def _tag_block(self, texts: list[str], group: list[int], out: list) -> None:
+        codes = [fold_codes(texts[i]) for i in group]
+        size = np.array([len(c) for c in codes])
+        begin = np.cumsum(size) - size
+        lab = np.concatenate([self.labels(self.table[np.concatenate(codes)], begin, size), [0]])
+        first = np.flatnonzero(lab % 2 == 1)
+        goes_on = (lab[1:] > 0) & (lab[1:] % 2 == 0) & ((lab[:-1] == lab[1:]) | (lab[:-1] == lab[1:] - 1))
+        goes_on[begin[1:] - 1] = False  # no span goes over from a text to the next one
+        stop = np.flatnonzero(~goes_on) + 1
+        last = stop[np.searchsorted(stop, first + 1)]
+        which = np.searchsorted(begin, first, "right") - 1
+        for s, e, w in zip(first.tolist(), last.tolist(), which.tolist(), strict=True):
+            i, b = group[w], int(begin[w])
+            folded = codes[w]
+            span = checked(TYPES[int(lab[s]) // 2], folded, s - b, e - b)
+            if span:
+                out[i].append(span)
 
 
 _NUMERALS = "一二三四五六七八九〇零"
 
 
-def checked(kind: str, text: str, a: int, b: int) -> tuple[str, int, int] | None:
+def checked(kind: str, codes: np.ndarray, a: int, b: int) -> tuple[str, int, int] | None:
     """The span without blanks and marks at its ends if it has the form of its type; a span that begins within a word or
-    number begins with it."""
-    while a < b and text[a] in " \n\t:：,，;；|":
+    number begins with it, one that ends within a Latin word ends with it."""
+    lo = max(0, a - 40)
+    near = codes[lo : b + 40].tobytes().decode("utf-32-le", "surrogatepass")
+    a, b = a - lo, b - lo
+    while a < b and near[a] in " \n\t:：,，;；|":
         a += 1
-    while b > a and text[b - 1] in " \n\t:：,，;；|":
+    while b > a and near[b - 1] in " \n\t:：,，;；|":
         b -= 1
     if a >= b:
         return None
-    if kind == "PHONE" and text[a] == "(" and ")" not in text[a:b]:
+    if kind == "PHONE" and near[a] == "(" and ")" not in near[a:b]:
         a += 1
-    if kind == "PHONE" and a and text[a - 1] == "(" and 0 < text[a:b].find(")") < 6:
+    if kind == "PHONE" and a and near[a - 1] == "(" and 0 < near[a:b].find(")") < 6:
         a -= 1
     inner = {"EMAIL": r"[A-Za-z0-9._%+-]+$", "PHONE": r"\+?\d+$", "ID_NUMBER": r"[A-Za-z0-9]+$", "ADDRESS": r"\d+$", "NAME": r"[A-Za-z]+$"}[kind]
-    if text[a].isascii() and text[a].isalnum() and (m := re.search(inner, text[max(0, a - 40) : a])):
+    if near[a].isascii() and near[a].isalnum() and (m := re.search(inner, near[:a])):
         a -= len(m[0])
-    while kind == "PHONE" and a and text[a] in _NUMERALS and text[a - 1] in _NUMERALS:
+    if kind in ("NAME", "EMAIL") and near[b - 1].isascii() and near[b - 1].isalpha() and (m := re.match(r"[A-Za-z]+", near[b:])):
+        b += len(m[0])
+    while kind == "PHONE" and a and near[a] in _NUMERALS and near[a - 1] in _NUMERALS:
         a -= 1
-    if kind == "NAME" and (m := _SURNAME_BEFORE.search(text[max(0, a - 14) : a])):
-        a -= len(m[0])
-    s = text[a:b]
+    s = near[a:b]
     digits = sum(ch.isdigit() or ch in _NUMERALS for ch in s)
     if kind == "EMAIL":
-        ok = "@" in s or "at" in s
+        ok = "@" in s or "at" in s.lower()
     elif kind == "PHONE":
-        ok = 7 <= digits <= 18 and "*" not in s and not re.match(r"400\D", s)
+        ok = 7 <= digits <= 18 and "*" not in s
     elif kind == "ID_NUMBER":
         ok = 7 <= digits <= 18 and "*" not in s
     elif kind == "ADDRESS":
         ok = digits > 0 and len(s) > 4
     else:
-        letters = sum(ch.isalpha() for ch in s)
-        ok = letters >= 2 and digits <= sum(ch in _NUMERALS for ch in s) and not s.endswith("某")
-    return (kind, a, b) if ok else None
+        ok = sum(ch.isalpha() for ch in s) >= 2 and digits <= sum(ch in _NUMERALS for ch in s)
+    return (kind, lo + a, lo + b) if ok else None
 
 
 @cache
@@ -299,13 +296,10 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = _tagger(path)
         for b in batches:
-            ids, texts = b.column(0), b.column(1).to_pylist()
-            for s in range(0, len(texts), 500):
-                part = [fold_places(t or "") for t in texts[s : s + 500]]
-                rows = [(s + i, *span) for i, spans in enumerate(tagger.tag(part)) for span in spans]
-                if rows:
-                    i, t, a, e = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), pa.array(t), pa.array(a, pa.int64()), pa.array(e, pa.int64())], [id_col, "pii_type", "char_start", "char_end"])
+            rows = [(i, *span) for i, spans in enumerate(tagger.tag(b.column(1).to_pylist())) for span in spans]
+            if rows:
+                i, t, a, e = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i)), pa.array(t), pa.array(a, pa.int64()), pa.array(e, pa.int64())], [id_col, "pii_type", "char_start", "char_end"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, pii_type string, char_start bigint, char_end bigint")
 
@@ -320,19 +314,13 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
         for b in batches:
             texts = b.column(1).to_pylist()
             clean, counts = [], []
-            for s in range(0, len(texts), 500):
-                part = texts[s : s + 500]
-                for text, spans in zip(part, tagger.tag([fold_places(t or "") for t in part]), strict=True):
-                    if text is None:
-                        clean.append(None)
-                        counts.append(0)
-                        continue
-                    at, bits = 0, []
-                    for t, a, e in spans:
-                        bits += [text[at:a], f"[{t}]"]
-                        at = e
-                    clean.append("".join(bits) + text[at:])
-                    counts.append(len(spans))
+            for text, spans in zip(texts, tagger.tag(texts), strict=True):
+                at, bits = 0, []
+                for t, a, e in spans:
+                    bits += [text[at : max(at, a)], f"[{t}]"]
+                    at = e
+                clean.append(None if text is None else "".join(bits) + text[at:])
+                counts.append(len(spans))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(clean, pa.string()), pa.array(counts, pa.int32())], [id_col, "clean_text", "n_replaced"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, clean_text string, n_replaced int")

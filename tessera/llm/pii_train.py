@@ -1,25 +1,67 @@
-"""python -m tessera.llm.pii_train DOCUMENTS[,DOCUMENTS...] HOLDERS OUT: train the tagger of ``pii`` from labelled spans, in numpy alone.
+"""python -m tessera.llm.pii_train DOCUMENTS HOLDERS RANKS OUT: train the tagger of ``pii`` from labelled spans, in numpy alone.
 
 Spans are labelled on a bounded sample (``SAMPLE`` documents, the documented bound) by labelling rules for this kind of
-disclosure; the network learns them with their surroundings. A tenth of the sample is held out and reported.
+disclosure. So that the network learns what a name, a number or an address is and not which ones there are, most spans are
+replaced by invented ones whenever a text is drawn: names of any surname with any characters, foreign names in either
+script, other digits, other roads; invented sentences and
+runs of ordinary words (``words``; RANKS is a public tokenizer's rank file) are put between the text's own; masked names, organisations'
+numbers and words that begin like a surname stand among them unlabelled. A tenth of the sample is held out and reported,
+as it is and with its names replaced.
 """
 
 from __future__ import annotations
 
+import multiprocessing as mp
+import os
 import re
 import sys
 import time
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 
-from tessera.llm.names import COMPOUND_SURNAMES, parse_person
-from tessera.llm.pii import LABELS, SURNAMES, TYPES, WINDOW, Tagger, checked, fold_places, latin_names, stretches
+from tessera.llm.names import _READING, COMPOUND_SURNAMES, parse_person
+from tessera.llm.pii import LABELS, N_FIXED, PAD, TYPES, Tagger, checked, fold_codes, fold_places, id_table
+from tessera.llm.pii_invent import Inventor
+from tessera.llm.words import chinese_words, english_words
 
 SAMPLE = 20_000
-EMBED, HIDDEN = 24, 40
+EMBED, HIDDEN, WINDOW = 48, 24, 128
+#: Transitions stay within these bounds, so that most of a text is surely outside spans (see ``pii``).
+BOUND = 1.0
+# One-character surnames of the labelling rules.
+SURNAMES = "何杜阎邓于宋方范吴贾彭蒋傅丁黄董冯曹程陈林钟朱谢胡高袁郑魏夏廖孙田梁沈徐薛曾苏郭周石任潘汪许马韩罗叶吕唐谭姚萧卢戴余姜蔡王李张刘赵杨"
+_LATIN_SURNAMES = frozenset({*(_READING[c] for c in SURNAMES), "ouyang", "shangguan", "situ", "yuchi", "lyu", "lv"})
+_SYLLABLES = "|".join(sorted(set(_READING.values()), key=len, reverse=True))
+_GIVEN_LATIN = re.compile(rf"(?:{_SYLLABLES})(?:[-\s]?(?:{_SYLLABLES}))?$", re.I)
+_WORD = re.compile(r"\b[A-Z][A-Za-z]*(?:-[A-Za-z]+)?\b")
+_JOIN = re.compile(r",?\s{1,2}")
 _COMPANY = re.compile(r"\s*(?:Co\b|Co\.|Ltd|Inc|LP\b|Chemical|Electronics|Foods|Media|Road|Street|Avenue|Lane)")
 
 
+def latin_names(text: str) -> Iterator[tuple[int, int]]:
+    """Places of a surname beside a given name of one or two words in Latin letters, in either order."""
+    words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+    n, i = len(words), 0
+    while i + 1 < n:
+        run = [i]
+        while len(run) < 3 and run[-1] + 1 < n and _JOIN.fullmatch(text, words[run[-1]][1], words[run[-1] + 1][0]):
+            run.append(run[-1] + 1)
+        low = [text[words[k][0] : words[k][1]].lower() for k in run]
+        for size in (3, 2):
+            if len(low) < size:
+                continue
+            if (low[0] in _LATIN_SURNAMES and _GIVEN_LATIN.match(" ".join(low[1:size]))) or (low[size - 1] in _LATIN_SURNAMES and _GIVEN_LATIN.match(" ".join(low[: size - 1]))):
+                yield words[i][0], words[run[size - 1]][1]
+                i += size - 1
+                break
+        i += 1
+
+
+_UNLABELLED = re.compile(r"400\D|[^\s]{1,2}某")
+
+
 def squeeze(text: str) -> tuple[str, list[int]]:
     """The text without blanks beside CJK characters and without markup, and the place of each character left."""
     drop = np.zeros(len(text), bool)
@@ -59,6 +101,7 @@ class Labeller:
     def spans(self, text: str) -> list[tuple[str, int, int]]:
         """(type, start, end) in a folded text, not overlapping."""
         s, at = squeeze(text)
+        codes = fold_codes(text)
         found = []
         for kind, pattern in (("EMAIL", self.email), ("ID_NUMBER", self.ident), ("PHONE", self.phone), ("ADDRESS", self.address), ("ADDRESS", self.flat)):
             for m in pattern.finditer(s):
@@ -82,14 +125,12 @@ class Labeller:
         for kind, a, b in found:
             if a >= end:
                 end = b
-                if kind and (span := checked(kind, text, at[a], at[b - 1] + 1)):
+                if kind and (span := checked(kind, codes, at[a], at[b - 1] + 1)) and not _UNLABELLED.match(text, span[1]):
                     out.append(span)
         return out
 
 
 def build_labeller(texts: list[str], holders: list[str], places: list[str]) -> Labeller:
-    from collections import Counter
-
     given: Counter = Counter()
     for h in holders:
         p = parse_person(h)
@@ -109,47 +150,55 @@ def build_labeller(texts: list[str], holders: list[str], places: list[str]) -> L
     return Labeller("".join(c for c, n in given.items() if n >= 5), towns, provinces, districts, {r for r, n in seen.items() if n >= 3})
 
 
-def windows(texts: list[str], labeller: Labeller, vocab: dict[str, int], rng) -> tuple[np.ndarray, np.ndarray]:
-    """Character ids and labels of windows over the stretches, at random offsets."""
+Text = tuple[str, list[tuple[str, int, int]]]
+
+
+def windows(texts: list[Text], table: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and labels (windows, WINDOW) of texts, cut at random offsets; of windows without a span some."""
     xs, ys = [], []
-    for t in texts:
-        places = stretches(t)
-        if not places:
-            continue
-        lab = np.zeros(len(t), np.int8)
-        for kind, a, b in labeller.spans(t):
+    for t, spans in texts:
+        ids, lab = table[fold_codes(t)], np.zeros(len(t), np.int8)
+        for kind, a, b in spans:
             k = TYPES.index(kind)
             lab[a], lab[a + 1 : b] = 2 * k + 1, 2 * k + 2
-        for a, b in places:
-            s = a - int(rng.integers(0, 16)) if b - a > WINDOW else a
-            while s < b:
-                lo = max(0, s)
-                piece = t[lo : min(b, lo + WINDOW)]
-                x, y = np.zeros(WINDOW, np.int32), np.zeros(WINDOW, np.int8)
-                x[: len(piece)] = [vocab.get(ch, 1) for ch in piece]
-                y[: len(piece)] = lab[lo : lo + len(piece)]
+        at = 0 if len(t) <= WINDOW else -int(rng.integers(WINDOW // 2))
+        for s in range(at, len(t), WINDOW):
+            lo, hi = max(0, s), min(len(t), s + WINDOW)
+            if lab[lo:hi].any() or rng.random() < 0.4:
+                x, y = np.zeros(WINDOW, np.int64), np.zeros(WINDOW, np.int8)
+                x[: hi - lo], y[: hi - lo] = ids[lo:hi], lab[lo:hi]
                 xs.append(x)
                 ys.append(y)
-                s = lo + WINDOW - 16
-                if lo + WINDOW >= b:
-                    break
-    return np.stack(xs), np.stack(ys)
+    return (np.stack(xs), np.stack(ys)) if xs else (np.zeros((0, WINDOW), np.int64), np.zeros((0, WINDOW), np.int8))
 
 
 class Trainer:
-    """Parameters, gradients and Adam."""
+    """Parameters and gradients; parameters lie in one array that processes may share."""
 
-    def __init__(self, n_vocab: int, seed: int = 0):
-        r = np.random.default_rng(seed)
+    def __init__(self, n_vocab: int, flat: np.ndarray | None = None, seed: int = 0):
         h, n = HIDDEN, len(LABELS)
-        g = lambda *s: (r.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
-        self.p = {"E": (0.3 * r.standard_normal((n_vocab, EMBED))).astype(np.float32), "O": g(2 * h, n), "ob": np.zeros(n, np.float32), "T": np.zeros((n, n), np.float32), "T0": np.zeros(n, np.float32)}
+        shapes = {"E": (n_vocab, EMBED), "O": (2 * h, n), "ob": (n,), "T": (n, n), "T0": (n,)}
         for d in "fb":
-            self.p |= {"W" + d: g(EMBED, 4 * h), "U" + d: g(h, 4 * h), "b" + d: np.zeros(4 * h, np.float32)}
-            self.p["b" + d][h : 2 * h] = 1  # remember at first
-        self.m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        self.v = {k: np.zeros_like(v) for k, v in self.p.items()}
-        self.t = 0
+            shapes |= {"W" + d: (EMBED, 4 * h), "U" + d: (h, 4 * h), "b" + d: (4 * h,)}
+        self.shapes = shapes
+        self.flat = np.zeros(sum(map(np.prod, shapes.values())), np.float32) if flat is None else flat
+        self.p = self.split(self.flat)
+        if flat is None:
+            r = np.random.default_rng(seed)
+            for k, v in self.p.items():
+                if v.ndim == 2 and k != "T":
+                    v[:] = r.standard_normal(v.shape) * (0.3 if k == "E" else 1 / np.sqrt(v.shape[0]))
+            for d in "fb":
+                self.p["b" + d][h : 2 * h] = 1  # remember at first
+        self.m, self.v, self.t = np.zeros_like(self.flat), np.zeros_like(self.flat), 0
+
+    def split(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        out, at = {}, 0
+        for k, s in self.shapes.items():
+            n = int(np.prod(s))
+            out[k] = flat[at : at + n].reshape(s)
+            at += n
+        return out
 
     def _forward(self, d: str, x: np.ndarray, live: np.ndarray):
         """x: (T, B, EMBED); keeps what the backward pass needs."""
@@ -196,28 +245,27 @@ class Trainer:
         grad["b" + d] = flat.sum(0)
         return (flat @ self.p["W" + d].T).reshape(t, b, EMBED)
 
-    def step(self, ids: np.ndarray, labels: np.ndarray, rate: float) -> float:
-        """One step on a batch (B, T); the mean loss a character."""
+    def gradient(self, ids: np.ndarray, labels: np.ndarray, out: np.ndarray) -> tuple[float, float]:
+        """Summed loss and number of characters of a batch (B, T); the summed gradient goes to ``out``."""
         ids, labels = ids.T, labels.T.astype(np.int64)
         t, b = ids.shape
-        live = (ids > 0).astype(np.float32)[:, :, None]
+        live = (ids > PAD).astype(np.float32)[:, :, None]
         x = self.p["E"][ids]
         keep = {d: self._forward(d, x, live) for d in "fb"}
         hid = np.concatenate([keep["f"][0], keep["b"][0]], axis=2)
         scores = hid @ self.p["O"] + self.p["ob"]
         loss, d_scores, grad = self._crf(scores, labels, live[:, :, 0])
-        n = float(live.sum())
-        d_scores /= n
-        grad = {k: v / n for k, v in grad.items()}
         flat = d_scores.reshape(-1, d_scores.shape[2])
         grad["O"], grad["ob"] = hid.reshape(-1, hid.shape[2]).T @ flat, flat.sum(0)
         d_hid = d_scores @ self.p["O"].T
         dx = self._backward("f", x, live, *keep["f"], np.ascontiguousarray(d_hid[:, :, :HIDDEN]), grad) + self._backward("b", x, live, *keep["b"], np.ascontiguousarray(d_hid[:, :, HIDDEN:]), grad)
-        ge = np.zeros_like(self.p["E"])
-        np.add.at(ge, ids.ravel(), dx.reshape(-1, EMBED))
-        grad["E"] = ge
-        self._adam(grad, rate)
-        return loss / n
+        g = self.split(out)
+        g["E"][:] = 0
+        np.add.at(g["E"], ids.ravel(), dx.reshape(-1, EMBED))
+        for k in g:
+            if k != "E":
+                g[k][:] = grad[k]
+        return loss, float(live.sum())
 
     def _crf(self, scores, labels, live):
         """Negative log likelihood of the label paths and its gradients; padding stands at the end."""
@@ -251,80 +299,111 @@ class Trainer:
             d[k, rows, labels[k]] -= live[k]
         return float((z - gold).sum()), d, {"T": d_trans, "T0": d_first}
 
-    def _adam(self, grad, rate, b1=0.9, b2=0.999):
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
-        scale = min(1.0, 1.0 / (norm + 1e-9))
+    def adam(self, g: np.ndarray, rate: float, b1: float = 0.9, b2: float = 0.999) -> None:
+        g = g * min(1.0, 1.0 / (float(np.sqrt((g * g).sum())) + 1e-9))
         self.t += 1
-        for k, g in grad.items():
-            g = g * scale
-            self.m[k] = b1 * self.m[k] + (1 - b1) * g
-            self.v[k] = b2 * self.v[k] + (1 - b2) * g * g
-            self.p[k] -= rate * (self.m[k] / (1 - b1**self.t)) / (np.sqrt(self.v[k] / (1 - b2**self.t)) + 1e-8)
+        self.m += (1 - b1) * (g - self.m)
+        self.v += (1 - b2) * (g * g - self.v)
+        self.flat -= rate * (self.m / (1 - b1**self.t)) / (np.sqrt(self.v / (1 - b2**self.t)) + 1e-8)
 
 
-def evaluate(tagger: Tagger, texts: list[str], labeller: Labeller) -> dict[str, tuple[int, int, int]]:
+def evaluate(tagger: Tagger, texts: list[Text]) -> dict[str, tuple[int, int, int]]:
     """By type: labelled starts, found starts, those in both."""
     out = {t: [0, 0, 0] for t in TYPES}
-    for lo in range(0, len(texts), 500):
-        part = texts[lo : lo + 500]
-        for t, got in zip(part, tagger.tag(part), strict=True):
-            want, have = {(k, a) for k, a, _ in labeller.spans(t)}, {(k, a) for k, a, _ in got}
-            for k in TYPES:
-                w, h = {x for x in want if x[0] == k}, {x for x in have if x[0] == k}
-                out[k] = [out[k][0] + len(w), out[k][1] + len(h), out[k][2] + len(w & h)]
+    for (_, want), got in zip(texts, tagger.tag([t for t, _ in texts]), strict=True):
+        for k in TYPES:
+            w, h = {a for kind, a, _ in want if kind == k}, {a for kind, a, _ in got if kind == k}
+            out[k] = [out[k][0] + len(w), out[k][1] + len(h), out[k][2] + len(w & h)]
     return {k: tuple(v) for k, v in out.items()}
 
 
-def train(texts: list[str], labeller: Labeller, out: str, *, epochs: int = 14, batch: int = 128, rate: float = 4e-3, seconds: float = 900, seed: int = 0) -> None:
-    from collections import Counter
-
+def _work(rank: int, texts: list[Text], table, n_vocab: int, params, grads, sums, barrier, stop, batch: int, seed: int) -> None:
+    rng = np.random.default_rng([seed, rank])
+    invent = Inventor(rng, *ordinary)
+    t = Trainer(n_vocab, np.frombuffer(params, np.float32))
+    out = np.frombuffer(grads, np.float32).reshape(-1, len(t.flat))[rank]
+    x, y = np.zeros((0, WINDOW), np.int64), np.zeros((0, WINDOW), np.int8)
+    while True:
+        while len(x) < 8 * batch:  # windows of many texts, mixed
+            a, b = windows([invent.vary(*texts[i]) for i in rng.integers(0, len(texts), 40)], table, rng)
+            x, y = np.concatenate([x, a]), np.concatenate([y, b])
+        rows = rng.permutation(len(x))
+        used = rows[:batch]
+        ids = x[used].copy()
+        # any character may be one that was never seen
+        blind = (rng.random(ids.shape) < 0.02) & (ids >= N_FIXED)
+        ids[blind] = t_kind[ids[blind]]
+        longest = int((ids > PAD).sum(1).max())
+        sums[2 * rank], sums[2 * rank + 1] = t.gradient(ids[:, :longest], y[used][:, :longest], out)
+        x, y = x[rows[batch:]], y[rows[batch:]]
+        barrier.wait()  # gradients are there
+        barrier.wait()  # parameters are new
+        if stop.value:
+            return
+
+
+t_kind = np.zeros(0, np.int64)  # id -> id of an unknown character of its kind
+ordinary: tuple = ()  # Chinese and English words
+
+
+def train(texts: list[Text], out: str, *, ranks: str, seconds: float = 400, batch: int = 96, rate: float = 1e-2, workers: int = 8, seed: int = 0) -> None:
+    global t_kind, ordinary
+    ordinary = (chinese_words(), english_words(ranks))
     rng = np.random.default_rng(seed)
-    texts = [fold_places(t or "") for t in texts[:SAMPLE]]
     order = rng.permutation(len(texts))
     held, used = [texts[i] for i in order[: len(texts) // 10]], [texts[i] for i in order[len(texts) // 10 :]]
-    counts = Counter(ch for t in used for a, b in stretches(t) for ch in t[a:b])
-    chars = "".join(sorted(ch for ch, n in counts.items() if n >= 5 and not 0xD800 <= ord(ch) < 0xE000))
-    vocab = {ch: i + 2 for i, ch in enumerate(chars)}
-    x, y = windows(used, labeller, vocab, rng)
-    print(f"{len(used)} documents, {len(x)} windows, {len(chars)} characters, {np.mean(y > 0):.3f} labelled", flush=True)
-    # texts in Latin letters are few: their labelled windows count several times
-    latin = np.array([ch.isascii() and ch.isalpha() for ch in "\0\0" + chars])
-    rare = (latin[x].mean(1) > 0.4) & (y > 0).any(1)
-    x, y = np.concatenate([x, *[x[rare]] * 3]), np.concatenate([y, *[y[rare]] * 3])
-    t = Trainer(len(chars) + 2, seed)
-    began, steps, done = time.time(), max(1, epochs * (len(x) // batch)), 0
-    for epoch in range(epochs):
-        perm, total = rng.permutation(len(x)), []
-        for lo in range(0, len(x) - batch + 1, batch):
-            rows = perm[lo : lo + batch]
-            ids = x[rows].copy()
-            ids[(rng.random(ids.shape) < 0.01) & (ids > 1)] = 1  # unknown characters occur too
-            left = max(0.02, 1 - max(done / steps, (time.time() - began) / seconds))
-            total.append(t.step(ids, y[rows], rate * left))
-            done += 1
-            if time.time() - began > seconds:
-                break
-        weights = {k: v.astype(np.float16) for k, v in t.p.items()} | {"vocab": np.array(chars)}
-        np.savez_compressed(out, **weights)
-        print(f"epoch {epoch}: loss {np.mean(total):.5f}, {time.time() - began:.0f} s", flush=True)
-        if time.time() - began > seconds:
-            break
-    print(evaluate(Tagger.load(out), held, labeller), flush=True)
+    invent = Inventor(rng, *ordinary)
+    counts = Counter(ch for t, _ in used for ch in t)
+    counts.update({ch: 5 for ch in invent.characters()})
+    counts.update({ch: 5 for w in invent.chinese for ch in w})
+    vocab = "".join(sorted(ch for ch, n in counts.items() if n >= 5 and not 0xD800 <= ord(ch) < 0xE000))
+    table, plain = id_table(vocab), id_table("")
+    n_ids = N_FIXED + len(vocab)
+    t_kind = np.concatenate([np.arange(N_FIXED), plain[[ord(c) for c in vocab]]])
+    varied = [invent.vary(*x) for x in held]
+    first = Trainer(n_ids, seed=seed)
+    params, grads = mp.RawArray("f", len(first.flat)), mp.RawArray("f", len(first.flat) * workers)
+    sums, barrier, stop = mp.RawArray("d", 2 * workers), mp.Barrier(workers + 1), mp.RawValue("i", 0)
+    flat = np.frombuffer(params, np.float32)
+    flat[:] = first.flat
+    t = Trainer(n_ids, flat)
+    g = np.frombuffer(grads, np.float32).reshape(workers, -1)
+    pool = [mp.Process(target=_work, args=(r, used, table, n_ids, params, grads, sums, barrier, stop, batch, seed), daemon=True) for r in range(workers)]
+    for p in pool:
+        p.start()
+    began, n, losses = time.time(), 0, []
+    while not stop.value:
+        barrier.wait()
+        s = np.array(sums[:])
+        spent = (time.time() - began) / seconds
+        t.adam(g.sum(0) / s[1::2].sum(), rate * max(0.01, min(1.0, n / 50, 1.02 - spent)))
+        np.clip(t.p["T"], -BOUND, BOUND, out=t.p["T"])
+        losses.append(s[::2].sum() / s[1::2].sum())
+        n += 1
+        stop.value = int(spent >= 1)
+        barrier.wait()
+        if not n % 500:
+            print(f"step {n}: loss {np.mean(losses[-500:]):.5f}, {time.time() - began:.0f} s", flush=True)
+    for p in pool:
+        p.join()
+    weights = {k: v.astype(np.float16) for k, v in t.p.items()}
+    np.savez_compressed(out, vocab=np.array(vocab), **weights)
+    tagger = Tagger.load(out)
+    print("as it is", evaluate(tagger, held), flush=True)
+    print("invented", evaluate(tagger, varied), flush=True)
 
 
 def main() -> None:
     import pyarrow.parquet as pq
 
-    documents, holders, out = sys.argv[1:4]
+    documents, holders, ranks, out = sys.argv[1:5]
     texts = [t for d in documents.split(",") for t in pq.read_table(d, columns=["text"]).column("text").to_pylist()][:SAMPLE]
     h = pq.read_table(holders, columns=["name", "entity_type", "registered_place"])
     people = [n for n, k in zip(h.column("name").to_pylist(), h.column("entity_type").to_pylist(), strict=True) if k == "PERSON"]
-    labeller = build_labeller([fold_places(t or "") for t in texts], people, h.column("registered_place").to_pylist())
-    train(texts, labeller, out)
+    folded = [fold_places(t or "") for t in texts]
+    labeller = build_labeller(folded, people, h.column("registered_place").to_pylist())
+    train([(t, labeller.spans(t)) for t in folded], out, ranks=ranks, seconds=float(os.environ.get("SECONDS_TO_TRAIN", "400")))
 
 
 if __name__ == "__main__":
     main()
-
-
-__all__ = ["Labeller", "Trainer", "build_labeller", "evaluate", "train"]

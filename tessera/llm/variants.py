@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
-from tessera.llm.names import jaro_winkler, one_edit, parse_organisation, parse_person, person_key, reading, syllables
+from tessera.llm.names import jaro_winkler, one_edit, parse_organisation, parse_person, person_key, reading, surname_reading, syllables
 from tessera.session import materialize
 
 MIN_SIMILARITY = 0.8
@@ -67,7 +67,7 @@ def _person_row(name: str):
     p = parse_person(name)
     if p is None or (not p.given and not p.initials):
         return None
-    s = reading(p.surname)
+    s = surname_reading(p.surname)
     if p.initials:
         return (f"p|~{s}|{p.initials}", "initials", p.initials, p.sound_initials, False, [f"i|{p.sound_initials}"], p.name)
     blocks = [f"s|{p.sound}"]

@@ -1,5 +1,6 @@
 """Packing, leakage and personal information."""
 
+import itertools
 import random
 
 import numpy as np
@@ -11,6 +12,7 @@ from tessera.llm import pii
 from tessera.llm.packing import SumOfSquares, load_tiktoken, pack_documents
 from tessera.llm.textnorm import normalise
 from tessera.session import table
+from tests.llm.pii_cases import CASES
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
@@ -164,68 +166,91 @@ def test_long_texts_are_tagged_like_short_ones():
     assert kinds == {"NAME", "PHONE"} and len(spans) > 0.99 * 12000
 
 
-def test_a_long_stretch_is_decoded_at_once(monkeypatch):
+def test_groups_of_windows_and_texts_change_nothing(monkeypatch):
     tagger = pii.Tagger.load()
-    text = pii.fold_places("联系人陈懋飒，手机16956642286。" * 40)
-    assert len(pii.stretches(text)) == 1
-    whole = tagger.tag([text])[0]
-    monkeypatch.setattr(pii, "CHUNK", 3)  # a cut would fall within numbers
-    assert tagger.tag([text])[0] == whole
+    texts = [pii.fold_places("联系人陈懋飒，手机16956642286。" * k) for k in (40, 1, 7)]
+    whole = tagger.tag(texts)
+    monkeypatch.setattr(pii, "CHUNK", 3)
+    monkeypatch.setattr(pii, "BLOCK", 50)
+    assert tagger.tag(texts) == whole and tagger.tag(texts[1:2]) == whole[1:2]
 
 
 def test_decoding_against_brute_force():
     rnd = np.random.default_rng(1)
     tagger = pii.Tagger.load()
     n = len(pii.LABELS)
-    scores = rnd.standard_normal((3, 4, n)).astype(np.float32)
-    got = tagger.decode(scores, np.array([4, 3, 1]))
-    for b, length in enumerate((4, 3, 1)):
-        import itertools
+    scores = rnd.standard_normal((4, n, 3)).astype(np.float32)
+    lengths = np.array([4, 2, 3])
+    got = tagger.decode(scores, lengths, np.repeat(tagger.first[:, None], 3, 1))
 
-        def total(path, b=b):
-            return tagger.first[path[0]] + sum(scores[b, i, p] for i, p in enumerate(path)) + sum(tagger.trans[x, y] for x, y in zip(path, path[1:], strict=False))
+    def value(b, path):
+        return tagger.first[path[0]] + sum(scores[k, x, b] for k, x in enumerate(path)) + sum(tagger.trans[x, y] for x, y in itertools.pairwise(path))
 
-        assert tuple(got[b, :length]) == max(itertools.product(range(n), repeat=length), key=total)
+    for b, length in enumerate(lengths):
+        best = max(itertools.product(range(n), repeat=int(length)), key=lambda p: value(b, p))
+        assert tuple(got[:length, b]) == best
+
+
+def test_parts_between_sure_places_have_the_labels_of_the_whole():
+    """Random scores, strong and weak ones: the cut pass equals one pass over each whole text."""
+    rnd = np.random.default_rng(4)
+    tagger = pii.Tagger.load()
+    size = np.array([60, 1, 33, 2])
+    start = np.cumsum(size) - size
+    acc = (rnd.standard_normal((96, len(pii.LABELS))) * 2).astype(np.float32)
+    acc[:, 0] += np.where(rnd.random(96) < 0.5, 14, 2)
+    tagger.scores = lambda *_: acc
+    got = tagger.labels(np.zeros(96, np.int64), start, size)
+    for a, n in zip(start, size, strict=True):
+        whole = tagger.decode(np.ascontiguousarray(acc[a : a + n, :, None]), np.array([n]), tagger.first[:, None])
+        assert (got[a : a + n] == whole[:, 0]).all()
 
 
 def test_gradients_against_differences():
     from tessera.llm.pii_train import Trainer
 
-    t = Trainer(7, seed=1)
-    ids = np.array([[2, 3, 4, 5], [3, 6, 2, 0]], np.int32)
-    labels = np.array([[0, 1, 2, 0], [3, 4, 0, 0]], np.int8)
-    seen = {}
-    t._adam = lambda grad, rate: seen.update(grad)
-    t.step(ids, labels, 0.0)
-    rnd = random.Random(1)
-    for name in ("Wf", "Ub", "bf", "O", "T", "T0", "E"):
-        p = t.p[name]
-        for _ in range(4):
-            at = tuple(rnd.randrange(k) for k in p.shape)
-            was, eps = p[at], 1e-2
-            p[at] = was + eps
-            up = t.step(ids, labels, 0.0)
-            grad = seen[name][at] if name in seen else 0
-            p[at] = was - eps
-            down = t.step(ids, labels, 0.0)
-            p[at] = was
-            t.step(ids, labels, 0.0)
-            assert abs((up - down) / (2 * eps) - seen[name][at]) < 2e-2 + 0.05 * abs(grad)
+    t = Trainer(12, seed=1)
+    rnd = np.random.default_rng(0)
+    ids, labels = rnd.integers(1, 12, (3, 7)), rnd.integers(0, len(pii.LABELS), (3, 7))
+    ids[1, 5:] = 0
+    labels[1, 5:] = 0
+    out = np.zeros_like(t.flat)
+    t.gradient(ids, labels, out)
+    grads, scratch = t.split(out), np.zeros_like(out)
+    for name in ("E", "Wf", "Ub", "O", "T", "T0", "bf"):
+        at = tuple(rnd.integers(0, d) for d in t.p[name].shape) if name != "E" else (int(ids[0, 0]), 3)
+        kept = float(t.p[name][at])
+        losses = []
+        for d in (2e-2, -2e-2):
+            t.p[name][at] = kept + d
+            losses.append(t.gradient(ids, labels, scratch)[0])
+        t.p[name][at] = kept
+        assert (losses[0] - losses[1]) / 4e-2 == pytest.approx(grads[name][at], abs=3e-2)
+
+
+def test_hand_written_cases():
+    """Names, numbers and addresses that neither the training texts nor its lists hold as such: starts by type."""
+    texts = [t for t, _ in CASES]
+    want = {(i, k, t.index(x)) for i, (t, spans) in enumerate(CASES) for k, x in spans}
+    found = {(i, k, a) for i, spans in enumerate(pii.Tagger.load().tag(texts)) for k, a, _ in spans}
+    for kind in pii.TYPES:
+        w, f = {x for x in want if x[1] == kind}, {x for x in found if x[1] == kind}
+        assert len(w & f) >= 0.9 * len(w) and len(w & f) >= 0.9 * len(f), (kind, w - f, f - w)
 
 
 def test_held_out_accuracy():
-    """Spans of documents the tagger was not trained on, against the labelling rules."""
-    pq = pytest.importorskip("pyarrow.parquet")
+    """Against the labelling rules, on rows the network was not trained on."""
+    import pyarrow.parquet as pq
+
     from tessera.llm.pii_train import build_labeller, evaluate
 
-    d = "/root/testdata"
-    read = lambda sf: [pii.fold_places(t or "") for t in pq.read_table(f"{d}/{sf}/documents.parquet", columns=["text"]).column("text").to_pylist()]
+    read = lambda sf: [pii.fold_places(t or "") for t in pq.read_table(f"/root/testdata/{sf}/documents.parquet", columns=["text"]).column("text").to_pylist()]
+    h = pq.read_table("/root/testdata/sf0.1/holder_entities.parquet", columns=["name", "entity_type", "registered_place"])
+    people = [n for n, k in zip(h.column("name").to_pylist(), h.column("entity_type").to_pylist(), strict=True) if k == "PERSON"]
     docs = read("sf0.01")
-    h = pq.read_table(f"{d}/sf0.1/holder_entities.parquet", columns=["name", "entity_type", "registered_place"]).to_pylist()
-    # the rules need enough addresses to know the roads' names; the documents judged are others
-    labeller = build_labeller(read("sf0.1"), [x["name"] for x in h if x["entity_type"] == "PERSON"], [x["registered_place"] for x in h])
-    for kind, (want, got, both) in evaluate(pii.Tagger.load(), docs, labeller).items():
-        assert both >= 0.9 * want and both >= 0.9 * got, kind
+    labeller = build_labeller(read("sf0.1"), people, h.column("registered_place").to_pylist())
+    for kind, (want, got, both) in evaluate(pii.Tagger.load(), [(t, labeller.spans(t)) for t in docs]).items():
+        assert both >= 0.97 * want and both >= 0.96 * got, kind
 
 
 def test_leaks_equal_brute_force_on_a_small_corpus(spark):
