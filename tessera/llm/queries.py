@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.leakage import leaked_documents, remove_leaks
+from tessera.llm.leakage import leaked_documents, remove_leaks, stock_wording
 from tessera.llm.matching import _entities, accepted, match_entities
 from tessera.llm.packing import CAPACITY, pack_documents
 from tessera.llm.pii import find_pii, pii_counts, redact
@@ -31,6 +31,11 @@ def p7_cleaned(spark: SparkSession, sf: str) -> DataFrame:
     return remove_leaks(table(spark, sf, "documents"), table(spark, sf, "heldout_items"))
 
 
+def p7_stock(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentences of held-out passages that count as stock wording."""
+    return stock_wording(table(spark, sf, "documents"), table(spark, sf, "heldout_items"))
+
+
 def _places(spark: SparkSession, sf: str) -> frozenset[str]:
     return gazetteer(table(spark, sf, "holder_entities").select("registered_place"), table(spark, sf, "listed_company_entities").select("registered_place"))
 
@@ -90,5 +95,5 @@ def p8_counts(spark: SparkSession, sf: str) -> DataFrame:
     return pii_counts(find_pii(table(spark, sf, "documents")))
 
 
-QUERIES = {"p8_found": p8_found, "p8_redacted": p8_redacted, "p8_counts": p8_counts, "p1_found": p1_found, "p1_confidences": p1_confidences, "p5_found": p5_found, "p5_entities": p5_entities, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_found": p7_found, "p7_cleaned": p7_cleaned}
+QUERIES = {"p8_found": p8_found, "p8_redacted": p8_redacted, "p8_counts": p8_counts, "p1_found": p1_found, "p1_confidences": p1_confidences, "p5_found": p5_found, "p5_entities": p5_entities, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_found": p7_found, "p7_cleaned": p7_cleaned, "p7_stock": p7_stock}
 SQL: dict[str, str] = {}

@@ -12,7 +12,7 @@ from tessera.llm import pii
 from tessera.llm.packing import SumOfSquares, load_tiktoken, pack_documents
 from tessera.llm.textnorm import normalise
 from tessera.session import table
-from tests.llm.pii_cases import CASES
+from pii_cases import CASES
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
@@ -96,13 +96,63 @@ def test_leaks(spark):
 
 def test_short_units_and_runs_at_odd_places():
     passage = "".join(chr(0x4E00 + 7 * i) for i in range(100))
-    scanner = lk.Scanner(lk.HeldOut([(1, "净利润是多少", None), (2, None, passage)]), 2)
+    scanner = lk.Scanner(lk.HeldOut([(1, "净利润是多少", None, None), (2, None, passage, None)]), 2)
     run = list(passage[31:71])
     run[10] = run[20] = run[30] = "龥"
-    found = {(doc, item, lo) for doc, item, _, _, lo, _ in scanner.scan(["问：净利润是多少？净利润是多少", "净利润多少", None, "龠" * 50 + "".join(run) + "龠" * 50])}
+    found = {(doc, item, lo) for doc, item, *_, lo, _ in scanner.scan(["问：净利润是多少？净利润是多少", "净利润多少", None, "龠" * 50 + "".join(run) + "龠" * 50])}
     assert found == {(0, 1, 2), (3, 2, 50)}
 
 
+def test_every_run_of_every_passage():
+    """Exact stretches of 40 characters at every place, with and without three edits, over sentences of any length."""
+    rnd = random.Random(11)
+    han = lambda n: "".join(chr(rnd.randrange(0x4E00, 0x9FA0)) for _ in range(n))
+    for lo, hi in ((1, 6), (5, 12), (11, 19), (30, 60)):
+        items = [(k, None, "".join(han(rnd.randrange(lo, hi + 1)) + "。" for _ in range(160 // lo + 3)), None) for k in range(4)]
+        scanner = lk.Scanner(lk.HeldOut(items), 2)
+        flat = ["".join(map(chr, normalise(p)[0])) for _, _, p, _ in items]
+        want, texts = set(), []
+        for k, p in enumerate(flat):
+            for a in range(0, len(p) - 39, 1 if hi < 30 else 3):
+                run = list(p[a : a + 40])
+                for at in rnd.sample(range(40), a % 4):
+                    run[at] = "龥" if a % 3 else ""
+                want.add((len(texts), k))
+                texts.append(han(30) + "".join(run) + han(30))
+        assert want <= {(doc, item) for doc, item, *_ in scanner.scan(texts)}
+
+
+def test_units_of_every_length_with_edits():
+    rnd = random.Random(5)
+    han = lambda n: "".join(chr(rnd.randrange(0x4E00, 0x9FA0)) for _ in range(n))
+    for n in range(7, 60):
+        q = han(n)
+        texts = []
+        for _ in range(6):
+            x = list(q)
+            for at in rnd.sample(range(n), (n - 1) // 10 if n >= lk.LEAST_EDITED else 0):
+                x[at] = rnd.choice(["", "龥", x[at] + "龥"])
+            texts.append(han(9) + "".join(x) + han(9))
+        found = lk.Scanner(lk.HeldOut([(1, q, None, None)]), 2).scan(texts)
+        assert {f[0] for f in found} == set(range(6)), n
+
+
+def test_frequent_leaks_and_common_stems(spark):
+    stem = "请根据公司公告说明下列事项的形成经过与依据，并指出其对当期损益的影响："
+    items = [(k, stem + x, None) for k, x in enumerate(["甲", "乙", "丙", "丁", "戊", "己", "庚", "辛", "壬", "癸", "子", "丑"])]
+    got = _leaks(spark, [f"第{i}篇文字。" + stem + "甲" for i in range(60)], items)
+    assert {d for d, _ in got} == set(range(60))  # a question is no stock wording, however often it leaks
+    sentence = "本期新增订单额度共计若干。"
+    assert _leaks(spark, ["前文。" + sentence, "无关"], [(1, None, "另有他事，此处从略不再赘述。" + sentence)]) == {(0, 1)}
+    facts = [(k, None, f"第{k}题所述事项发生于同一年度并已披露完毕。" + "其后另有说明文字若干。") for k in (3, 7, 11)]
+    assert _leaks(spark, ["引文：第3题所述事项发生于同一年度并已披露完毕。"], facts) == {(0, 3)}
+    boiler = "投资者应当阅读全文并自行承担由此产生的一切风险。"
+    docs = spark.createDataFrame([(i, f"第{i}篇。{boiler}") for i in range(60)], "doc_id long, text string")
+    held = spark.createDataFrame([(1, None, boiler + "某基地停产三日影响交付若干件。")], "item_id long, question string, passage string")
+    assert lk.leaked_documents(docs, held).count() == 0
+    assert [tuple(r)[1:] for r in lk.stock_wording(docs, held).collect()] == [(1, 60)]
+
+
 def test_leaks_in_blocks_and_copies(spark):
     docs = spark.createDataFrame([(i, "前文。" + SENTENCE) for i in range(60)] + [(100, OTHER)], "doc_id long, text string")
     held = spark.createDataFrame([(1, None, ITEM), (2, None, OTHER)], "item_id long, question string, passage string")
@@ -259,8 +309,11 @@ def test_leaks_equal_brute_force_on_a_small_corpus(spark):
     docs, items = table(spark, d, "documents"), table(spark, d, "heldout_items")
     got = {r.doc_id for r in lk.leaked_documents(docs, items).collect()}
     text = lambda s: "".join(map(chr, normalise(s)[0]))
-    held = lk.HeldOut([tuple(r) for r in items.select("item_id", "question", "passage").collect()])
-    units = ["".join(map(chr, u)) for u in held.units]
+    held = lk.HeldOut([(*r, None) for r in items.select("item_id", "question", "passage").collect()])
+    owners = {}
+    for u, item in zip(held.units, held.item_of, strict=True):
+        owners.setdefault("".join(map(chr, u)), set()).add(item)
+    units = [u for u, who in owners.items() if len(who) == 1]
     sure = {r.doc_id for r in docs.select("doc_id", "text").collect() if r.text and any(u in text(r.text) for u in units)}
     assert sure <= got
     assert docs.where(F.col("doc_id").isin(list(got))).count() == len(got)
