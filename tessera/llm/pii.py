@@ -87,12 +87,13 @@ class Tagger:
         f32 = {k: np.asarray(v, np.float32) for k, v in weights.items() if k != "vocab"}
         self.table = id_table(str(weights["vocab"]))
         h = self.hidden = f32["Uf"].shape[0]
-        half = np.full(4 * h, 0.5, np.float32)
-        half[2 * h : 3 * h] = 1  # the candidate gate is a plain tanh
-        # sigmoid(x) = (1 + tanh(x / 2)) / 2: one tanh for all four gates
-        self.proj = np.concatenate([(f32["E"] @ f32["W" + d] + f32["b" + d]) * half for d in "fb"])
-        self.rec = np.stack([f32["U" + d] * half for d in "fb"])
-        self.out = np.stack([f32["O"][:h], f32["O"][h:]])
+        # sigmoid(x) = (1 + tanh(x / 2)) / 2: one tanh for all gates. Gates stand on the leading axis, so that each of them is
+        # one block of memory; the half of the output gate is taken over by what reads the state
+        half = np.array([0.5, 0.5, 1.0, 0.5], np.float32)[:, None, None]
+        by_gate = lambda m: m.reshape(len(m), 4, h).transpose(1, 0, 2)
+        self.proj = [np.ascontiguousarray(by_gate(f32["E"] @ f32["W" + d] + f32["b" + d]) * half) for d in "fb"]
+        self.rec = np.ascontiguousarray(np.stack([by_gate(f32["U" + d]) * half * np.float32(0.5) for d in "fb"], axis=1))
+        self.out = np.stack([f32["O"][:h], f32["O"][h:]]) * np.float32(0.5)
         self.out_b, self.trans, self.first = f32["ob"], f32["T"], f32["T0"]
         # what a label other than O may at most gain by its transitions, over O between the same neighbours
         t = self.trans
@@ -106,29 +107,27 @@ class Tagger:
             return cls({k: z[k] for k in z.files})
 
     def _run(self, ids: np.ndarray) -> np.ndarray:
-        """Scores (T, 2, B, labels) of both directions; ids: (T, 2, B), the second one read backwards."""
+        """Scores (2, B, T, labels) of both directions; ids: (T, 2, B), the second one read backwards."""
         t, _, b = ids.shape
         h = self.hidden
-        ids = ids.copy()
-        ids[:, 1] += len(self.proj) // 2
-        state, cell = np.zeros((2, b, h), np.float32), np.zeros((2, b, h), np.float32)
-        z, keep = np.empty((2, b, 4 * h), np.float32), np.empty((t, 2, b, h), np.float32)
+        state, cell, tmp = (np.zeros((2, b, h), np.float32) for _ in range(3))
+        z, keep = np.empty((4, 2, b, h), np.float32), np.empty((t, 2, b, h), np.float32)
         for k in range(t):
             np.matmul(state, self.rec, out=z)
-            z += self.proj.take(ids[k], axis=0)
+            z[:, 0] += self.proj[0].take(ids[k, 0], axis=1)
+            z[:, 1] += self.proj[1].take(ids[k, 1], axis=1)
             np.tanh(z, out=z)
-            gate = z[..., : 2 * h]
-            gate += 1
-            gate *= 0.5
-            cell *= z[..., h : 2 * h]
-            cell += z[..., :h] * z[..., 2 * h : 3 * h]
-            state = keep[k]
+            gates = z[:2]
+            gates += 1
+            gates *= 0.5
+            cell *= z[1]
+            np.multiply(z[0], z[2], out=tmp)
+            cell += tmp
+            state = keep[k]  # twice the state
             np.tanh(cell, out=state)
-            o = z[..., 3 * h :]
-            o += 1
-            o *= 0.5
-            state *= o
-        return np.matmul(keep, self.out)
+            np.multiply(z[3], state, out=tmp)
+            state += tmp
+        return np.ascontiguousarray(np.matmul(keep, self.out).transpose(1, 2, 0, 3))
 
     def scores(self, ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Scores (places, labels) of texts that lie one behind the other in ``ids``."""
@@ -137,24 +136,23 @@ class Tagger:
         owner = np.repeat(np.arange(len(size)), n_windows)
         k = np.arange(len(owner)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
         width, begin = np.minimum(WINDOW, size[owner] - k * STRIDE), start[owner] + k * STRIDE
-        # every other window of a text doesn't overlap: within one group no place is added to twice
-        order = np.lexsort((width, k % 2))
-        turn = np.searchsorted(k[order] % 2, 1)
-        for lo, hi in ((0, turn), (turn, len(order))):
-            for at in range(lo, hi, CHUNK):
-                rows = order[at : min(hi, at + CHUNK)]
-                n, a = width[rows], begin[rows]
-                t = np.arange(int(n.max()))[:, None]
-                inside = t < n
-                fwd, back = a + np.minimum(t, n - 1), a + np.maximum(n - 1 - t, 0)
-                e = self._run(np.stack([ids[fwd], ids[back]], axis=1))
-                w = (np.minimum(t + 1, n - t) * inside).astype(np.float32)
-                e *= w[:, None, :, None]
-                # the padded places of a short window say nothing
-                keep = slice(None) if inside.all() else inside
-                acc[fwd[keep]] += e[:, 0][keep]
-                acc[back[keep]] += e[:, 1][keep]
-                weight[fwd[keep]] += w[keep]
+        order = np.argsort(width, kind="stable")
+        for at in range(0, len(order), CHUNK):
+            rows = order[at : at + CHUNK]
+            n, a = width[rows], begin[rows]
+            t = np.arange(int(n.max()))[:, None]
+            e = self._run(ids[np.stack([a + np.minimum(t, n - 1), a + np.maximum(n - 1 - t, 0)], axis=1)])
+            edge = {}
+            for j, (m, lo) in enumerate(zip(n.tolist(), a.tolist(), strict=True)):
+                if m not in edge:
+                    w = np.minimum(np.arange(1, m + 1), np.arange(m, 0, -1)).astype(np.float32)
+                    edge[m] = (w, w[:, None])
+                w, column = edge[m]
+                both = e[0, j, :m]
+                both += e[1, j, :m][::-1]
+                both *= column
+                acc[lo : lo + m] += both
+                weight[lo : lo + m] += w
         acc /= weight[:, None]
         acc += self.out_b
         return acc
@@ -184,7 +182,10 @@ class Tagger:
         """The label of every place of texts that lie one behind the other."""
         out = np.zeros(len(ids), np.int8)
         acc = self.scores(ids, start, size)
-        doubtful = acc[:, 1:].max(1) - acc[:, 0] > -self.gain
+        best = acc[:, 1].copy()
+        for j in range(2, len(LABELS)):
+            np.maximum(best, acc[:, j], out=best)
+        doubtful = best - acc[:, 0] > -self.gain
         opens = np.zeros(len(ids) + 1, bool)
         opens[start] = True  # no part goes over from a text to the next one
         before = np.concatenate([[False], doubtful[:-1]]) & ~opens[:-1]
