@@ -38,8 +38,10 @@ RELATIONS = {"response": "RESPONDS_TO", "remediation": "REMEDIATES", "resolution
 MIN_TOPIC_SIMILARITY = 0.45
 
 
-def classify_event(title: Column) -> Column:
-    return first_label(title, EVENT_TYPES)
+def classify_event(title: Column, categories: Column | None = None) -> Column:
+    """The first type whose words stand in the title or in a category (array<string>) of the announcement."""
+    text = title if categories is None else F.concat_ws(" ", title, categories)
+    return first_label(text, EVENT_TYPES)
 
 
 def is_non_event(title: Column) -> Column:
@@ -65,11 +67,11 @@ def topic_signature(title: Column) -> Column:
 
 
 def build_events(announcements: DataFrame) -> DataFrame:
-    """Event rows of announcements (document_id, company_id, announcement_date, title) with ``row_status``: event, non_event,
-    unclassified or invalid."""
+    """Event rows of announcements (document_id, company_id, announcement_date, title, and where the source has them
+    categories array<string>) with ``row_status``: event, non_event, unclassified or invalid."""
     t = F.trim("title")
     invalid = F.col("document_id").isNull() | F.col("company_id").isNull() | F.col("announcement_date").isNull() | F.coalesce(t == "", F.lit(True))
-    kind = classify_event(t)
+    kind = classify_event(t, F.col("categories") if "categories" in announcements.columns else None)
     return announcements.select(
         "document_id",
         "company_id",

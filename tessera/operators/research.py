@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import compact, grams, jaccard, split_items
@@ -51,39 +50,45 @@ def build_views(reports: DataFrame) -> DataFrame:
     return reports.select("*", F.concat(F.trim("sec_code"), suffix).alias("company_id"), F.concat(F.lit("VIEW-"), F.trim("report_id")).alias("view_id"), split_authors(F.col("author")).alias("authors"), rating_stance(F.coalesce("rating_org", F.lit(""))).alias("rating_stance"), reason.alias("reject_reason"))
 
 
-_CLAIM_SECTIONS = [("earnings_forecast", ("盈利预测与投资评级", "盈利预测"), 1.0), ("cited_fact", ("事件", "事件概述"), 0.8)]
-
-
-def claims_of(text: str | None) -> list[tuple[str, str, float]]:
-    """(claim_type, span, confidence) from the sections of a report."""
-    found = sections(text)
-    out = [(kind, next(found[x] for x in labels if x in found), conf) for kind, labels, conf in _CLAIM_SECTIONS if any(x in found for x in labels)]
-    return out + ([("risk_opinion", found["风险提示"], 1.0)] if "风险提示" in found else [])
+# Where risks are split, and what of their ends doesn't count.
+RISK_SPLIT = r"[；;。]|[、，,](?=[^0-9])"
+RISK_ENDS = r"^[ ：:，,。；;]+|[ ：:，,。；;]+$"
 
 
 def extract_claims(docs: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """(id, claim_type, topic, stance, claim_text, source_span, confidence) of documents (id, title, text).
+    """(id, claim_type, topic, stance, claim_text, source_span, extraction_method, confidence) of reports (id, title, text, and
+    where the source has them rating_org and rating_change).
 
-    Sections come from one Arrow pass; topics, stances, the split of risks and the removal of repeats are columns.
+    All in columns: sections as a map, claims as an array of structs, exploded once; of claims of one type with the same text
+    the first one counts. Reports are expected to have one row each.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(i, *c) for i, t in enumerate(b.column(1).to_pylist()) for c in claims_of(t)]
-            i, k, s, c = zip(*rows, strict=True) if rows else ((),) * 4
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i, pa.int64())), pa.array(k, pa.string()), pa.array(s, pa.string()), pa.array(c, pa.float64())], [id_col, "claim_type", "span", "confidence"])
-
-    raw = docs.select(id_col, "text").mapInArrow(run, f"`{id_col}` {kind}, claim_type string, span string, confidence double")
-    risk = F.col("claim_type") == "risk_opinion"
-    items = F.when(risk, F.slice(split_items(F.col("span"), "[；;。\n]", 4, 200, r"^[\s：:，,。；;]+|[\s：:，,。；;]+$"), 1, 20)).otherwise(F.array("span"))
-    exploded = raw.select(id_col, "claim_type", "confidence", F.posexplode(items).alias("n", "claim"))
-    titles = docs.select(id_col, F.trim("title").alias("claim")).where("claim <> ''").select(id_col, F.lit("analyst_judgment").alias("claim_type"), F.lit(0.9).alias("confidence"), F.lit(0).alias("n"), F.regexp_replace("claim", r"^[^：:]{2,12}[：:]\s*", "").alias("claim"))
-    every = exploded.unionByName(titles).where("claim <> ''")
-    w = Window.partitionBy(id_col, "claim_type", compact(F.col("claim"))).orderBy("n")
-    once = every.withColumn("k", F.row_number().over(w)).where("k = 1")
-    kind_ = F.col("claim_type")
-    return once.select(id_col, "claim_type", F.when(risk, risk_topic(F.col("claim"))).when(kind_ == "analyst_judgment", "核心判断").when(kind_ == "earnings_forecast", "盈利预测").otherwise("研报引用事实").alias("topic"), F.when(risk, "negative").when(kind_ == "analyst_judgment", infer_stance(F.col("claim"))).otherwise("neutral").alias("stance"), F.substring(compact(F.col("claim")), 1, 500).alias("claim_text"), F.substring("claim", 1, 1500).alias("source_span"), "confidence")
+    text, title = F.coalesce(F.trim("text"), F.lit("")), F.coalesce(F.trim("title"), F.lit(""))
+    given = lambda c: F.nullif(F.trim(F.col(c)), F.lit("")) if c in docs.columns else F.lit(None).cast("string")
+    rating, change = given("rating_org"), given("rating_change")
+    d = docs.select(id_col, text.alias("text"), title.alias("title"), rating.alias("rating"), change.alias("change"), sections(F.col("text")).alias("s"))
+    rating, change, section = F.col("rating"), F.col("change"), lambda *names: F.coalesce(*[F.col("s")[n] for n in names])
+    spans = [F.concat(F.lit("维持“"), rating, F.lit("”评级")), F.concat(F.lit('维持"'), rating, F.lit('"评级')), F.concat(rating, F.lit("评级"))]
+    rated = F.coalesce(*[F.when(F.contains(F.col("text"), x), x) for x in spans], rating)
+    judged = F.coalesce(F.nullif(F.trim(F.regexp_replace(F.col("title"), r"^.*?[：:]\s*", "")), F.lit("")), F.nullif(F.col("title"), F.lit("")))
+    forecast, event = section("盈利预测与投资评级", "盈利预测"), section("事件", "事件概述")
+    risks = F.slice(F.filter(F.transform(F.split(section("风险提示"), RISK_SPLIT), lambda x: F.regexp_replace(x, RISK_ENDS, "")), lambda x: F.length(x).between(4, 200)), 1, 20)
+
+    def claim(kind: str, topic: Column, stance: Column, said: Column, span: Column, method: str, confidence: float) -> Column:
+        return F.struct(F.lit(kind).alias("claim_type"), topic.alias("topic"), stance.alias("stance"), F.substring(said, 1, 500).alias("claim_text"), F.substring(span, 1, 1500).alias("source_span"), F.lit(method).alias("extraction_method"), F.lit(confidence).alias("confidence"))
+
+    neutral = F.lit("neutral")
+    one = lambda c: F.array_compact(F.array(F.when(c["claim_text"].isNotNull() & c["source_span"].isNotNull(), c)))
+    every = F.concat(
+        one(claim("investment_rating", F.lit("投资评级"), rating_stance(rating), F.concat(F.coalesce(F.concat(change, F.lit("，")), F.lit("")), rating, F.lit("评级")), rated, "metadata", 1.0)),
+        one(claim("earnings_forecast", F.lit("盈利预测"), neutral, compact(forecast), forecast, "section_rule", 1.0)),
+        F.coalesce(F.transform(risks, lambda x: claim("risk_opinion", risk_topic(x), F.lit("negative"), x, x, "section_rule", 1.0)), F.array()),
+        one(claim("analyst_judgment", F.lit("核心判断"), infer_stance(judged), judged, F.col("title"), "title_rule", 0.9)),
+        one(claim("cited_fact", F.lit("研报引用事实"), neutral, compact(event), event, "section_rule", 0.8)),
+    )
+    key = lambda x: F.concat(x["claim_type"], F.lit("|"), compact(x["claim_text"]))
+    keyed = d.select(id_col, every.alias("claims")).withColumn("keys", F.transform("claims", key))
+    once = F.filter("claims", lambda x, i: F.array_position(F.col("keys"), key(x)) == i + 1)
+    return keyed.select(id_col, F.inline(once))
 
 
 def locate_chunks(claims: DataFrame, chunks: DataFrame) -> DataFrame:

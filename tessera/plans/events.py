@@ -64,6 +64,13 @@ def ev_classified(spark: SparkSession, sf: str) -> DataFrame:
     return b.select("document_id", "row_status", "event_type", "event_stage", F.array_join("reference_ids", "|").alias("reference_ids"), "topic_signature")
 
 
+def ev_categories(spark: SparkSession, sf: str) -> DataFrame:
+    """Announcements as events by their titles and tags."""
+    a = table(spark, sf, "documents").where("document_type = 'announcement'")
+    a = a.select("document_id", "company_id", F.col("published_date").alias("announcement_date"), "title", F.col("tags").alias("categories"))
+    return ev.build_events(a).select("document_id", "row_status", "event_type")
+
+
 def ev_build_report(spark: SparkSession, sf: str) -> DataFrame:
     return ev.build_events(_announcements(spark, sf)).groupBy("row_status", "event_type", "event_stage").agg(F.count(F.lit(1)).alias("n"))
 
@@ -102,6 +109,9 @@ SELECT company_id, event_type, min(event_date) AS start_date, max(event_date) AS
     + f""" SELECT document_id, row_status, event_type, event_stage,
   array_to_string(list_distinct(list_concat(regexp_extract_all(t, '([〔\\[（(]\\d{{4}}[〕\\]）)]\\s*\\d+号)', 1), regexp_extract_all(t, '((?:问询函|关注函|监管函|警示函|处罚字)\\s*[A-Za-z0-9_-]{{2,24}}号)', 1))), '|') AS reference_ids,
   substr(lower(regexp_replace(regexp_replace(t, '{ev.BOILERPLATE}', '', 'g'), '[^一-鿿A-Za-z0-9]', '', 'g')), 1, 160) AS topic_signature FROM b""",
+    "ev_categories": f"""WITH a AS (SELECT document_id, company_id, published_date, trim(title) AS own, concat_ws(' ', trim(title), array_to_string(tags, ' ')) AS t FROM documents WHERE document_type = 'announcement')
+SELECT document_id, CASE WHEN company_id IS NULL OR published_date IS NULL OR coalesce(own, '') = '' THEN 'invalid' WHEN {" OR ".join(f"contains(regexp_replace(own, '[[:space:]]+', '', 'g'), '{w}')" for w in ev.NON_EVENTS)} THEN 'non_event'
+  WHEN {_case(ev.EVENT_TYPES, "NULL")} IS NULL THEN 'unclassified' ELSE 'event' END AS row_status, {_case(ev.EVENT_TYPES, "NULL")} AS event_type FROM a""",
     "ev_build_report": _BUILD + " SELECT row_status, event_type, event_stage, count(*) AS n FROM b GROUP BY 1, 2, 3",
 }
 QUERIES = {k: globals()[k] for k in [*SQL, "ev_clusters"]}

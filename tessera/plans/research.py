@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import legal_core_name, normalize_name
 from tessera.operators import entities as ent
 from tessera.operators import research as res
+from tessera.functions.udfs import SECTION_LABELS
 from tessera.session import table
 
 
@@ -148,7 +149,35 @@ _ALIAS = r"""WITH al AS (SELECT alias, company_id, min(source) AS s FROM (
   WHERE alias <> '' GROUP BY 1, 2)"""
 _KEY = r"CASE WHEN regexp_matches(upper(trim(term)), '^6\d{5}$') THEN upper(trim(term)) || '.SH' WHEN regexp_matches(upper(trim(term)), '^[03]\d{5}$') THEN upper(trim(term)) || '.SZ' WHEN regexp_matches(upper(trim(term)), '^[489]\d{5}$') THEN upper(trim(term)) || '.BJ' WHEN regexp_matches(upper(trim(term)), '^\d{6}\.(SH|SZ|BJ)$') THEN upper(trim(term)) ELSE upper(regexp_replace(term, '\s', '', 'g')) END"
 
+_LABELS = "|".join(SECTION_LABELS)
+
+
+def _one(kind: str, topic: str, stance: str, said: str, span: str, method: str, confidence: str, n: int) -> str:
+    return f"SELECT doc_id, {n} AS n, '{kind}' AS claim_type, {topic} AS topic, {stance} AS stance, {said} AS said, {span} AS span, '{method}' AS extraction_method, {confidence}::DOUBLE AS confidence FROM f"
+
+
+def _words(words: tuple[str, ...], col: str) -> str:
+    return " + ".join(f"CAST(contains({col}, '{w}') AS INT)" for w in words)
+
+
+_EXTRACTED = f"""WITH d AS (SELECT doc_id, coalesce(trim(text, ' '), '') AS text, coalesce(trim(title, ' '), '') AS title FROM documents WHERE document_type = 'research_report'),
+p AS (SELECT *, string_split(regexp_replace(text, '({_LABELS})\\s*[：:]', chr(1) || '\\1' || chr(2), 'g'), chr(1))[2:] AS parts FROM d),
+s AS (SELECT doc_id, k, string_split(parts[k], chr(2))[1] AS label, regexp_replace(string_split(parts[k], chr(2))[2], '^[\\s\\x{{3000}}\\x{{a0}}]+|[\\s\\x{{3000}}\\x{{a0}}]+$', '', 'g') AS body FROM p, generate_series(1, len(parts)) AS g(k)),
+first AS (SELECT DISTINCT ON (doc_id, label) doc_id, label, body FROM s WHERE body <> '' ORDER BY doc_id, label, k),
+m AS (SELECT doc_id, map(list(label), list(body)) AS sec FROM first GROUP BY doc_id),
+f AS (SELECT d.doc_id, d.title, coalesce(sec['盈利预测与投资评级'], sec['盈利预测']) AS forecast, coalesce(sec['事件'], sec['事件概述']) AS event, sec['风险提示'] AS risk,
+  coalesce(nullif(trim(regexp_replace(d.title, '^.*?[：:]\\s*', ''), ' '), ''), nullif(d.title, '')) AS judged FROM d LEFT JOIN m USING (doc_id)),
+ri AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(risk, '[；;。]', chr(1), 'g'), '[、，,]([^0-9])', chr(1) || '\\1', 'g'), chr(1)), lambda x: regexp_replace(x, '^[ ：:，,。；;]+|[ ：:，,。；;]+$', '', 'g')), lambda x: length(x) BETWEEN 4 AND 200)[1:20] AS items FROM f),
+rr AS (SELECT doc_id, 100 + k AS n, items[k] AS said FROM ri, generate_series(1, len(items)) AS g(k)),
+c AS ({_one("earnings_forecast", "'盈利预测'", "'neutral'", "regexp_replace(forecast, '\\s+', '', 'g')", "forecast", "section_rule", "1.0", 1)}
+UNION ALL SELECT doc_id, n, 'risk_opinion', {" ".join(["CASE", *[f"WHEN contains(said, '{t}') THEN '{t}'" for t in res.RISK_TOPICS], "ELSE '风险提示' END"])}, 'negative', said, said, 'section_rule', 1.0::DOUBLE FROM rr
+UNION ALL {_one("analyst_judgment", "'核心判断'", f"CASE WHEN {_words(res.POSITIVE_WORDS, 'judged')} > {_words(res.NEGATIVE_WORDS, 'judged')} THEN 'positive' WHEN {_words(res.NEGATIVE_WORDS, 'judged')} > {_words(res.POSITIVE_WORDS, 'judged')} THEN 'negative' ELSE 'neutral' END", "judged", "title", "title_rule", "0.9", 200)}
+UNION ALL {_one("cited_fact", "'研报引用事实'", "'neutral'", "regexp_replace(event, '\\s+', '', 'g')", "event", "section_rule", "0.8", 201)})
+SELECT DISTINCT ON (doc_id, claim_type, key) doc_id, claim_type, topic, stance, claim_text, source_span, extraction_method, confidence
+FROM (SELECT *, substr(said, 1, 500) AS claim_text, substr(span, 1, 1500) AS source_span, regexp_replace(substr(said, 1, 500), '\\s+', '', 'g') AS key FROM c WHERE said IS NOT NULL AND span IS NOT NULL) ORDER BY doc_id, claim_type, key, n"""
+
 SQL = {
+    "res_extracted": _EXTRACTED,
     "res_claims": f"WITH {_C} SELECT claim_id, c.company_id, institution, publish_date, title FROM c LEFT JOIN documents d ON d.document_id = c.source_document_id WHERE publish_date BETWEEN DATE '2021-01-01' AND DATE '2022-12-31' AND claim_type IN ('risk_opinion', 'earnings_forecast') AND (contains(topic, '需求') OR contains(topic, '价格') OR contains(claim_text, '需求') OR contains(claim_text, '价格'))",
     "res_latest": f"WITH {_C} SELECT claim_id, publish_date FROM c ORDER BY publish_date DESC, claim_id LIMIT 50",
     "res_types": f"WITH {_C} SELECT company_id, claim_type, stance, count(*) AS n, round(avg(confidence), 6) AS mean_confidence FROM c GROUP BY 1, 2, 3",
@@ -168,4 +197,4 @@ SELECT company_id, CASE WHEN regexp_matches(company_id, '^(6\d{5}\.SH|[03]\d{5}\
 g AS (SELECT term, count(DISTINCT company_id) AS n, min(company_id) AS id FROM t JOIN al ON alias = {_KEY} GROUP BY 1)
 SELECT term, CASE WHEN n = 1 THEN id END AS company_id, CASE WHEN n IS NULL THEN 'not_found' WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS status FROM t LEFT JOIN g USING (term)""",
 }
-QUERIES = {k: globals()[k] for k in [*SQL, "res_located", "res_extracted", "ent_audit", "ent_mentions"]}
+QUERIES = {k: globals()[k] for k in [*SQL, "res_located", "ent_audit", "ent_mentions"]}

@@ -56,39 +56,84 @@ def lookup_codes(rows: DataFrame, codes: Column, dictionary: DataFrame, key: str
     return rows.join(named, key, "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
 
 
-_NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+# Names of the parts of an Office Open XML file.
+_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+_RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+_TARGETS = "{http://schemas.openxmlformats.org/package/2006/relationships}Relationship"
 
 
-def _column_number(reference: str) -> int:
-    n = 0
-    for ch in re.match(r"[A-Z]+", reference)[0]:
-        n = n * 26 + ord(ch) - 64
-    return n - 1
+def _elements(z: zipfile.ZipFile, part: str, tag: str) -> Iterator[ElementTree.Element]:
+    """The elements of a tag in a part, each given up once it is used; none if there is no such part."""
+    if part in z.NameToInfo:
+        with z.open(part) as f:
+            for _, e in ElementTree.iterparse(f):
+                if e.tag == tag:
+                    yield e
+                    e.clear()
+
+
+def _plain(e: ElementTree.Element, run: str = _SHEET + "t") -> str:
+    return "".join(t.text or "" for t in e.iter(run))
+
+
+def _first_sheet(z: zipfile.ZipFile) -> str:
+    """The part of the sheet that the workbook lists first."""
+    wanted = next((e.get(_RELATION) for e in _elements(z, "xl/workbook.xml", _SHEET + "sheet")), None)
+    for e in _elements(z, "xl/_rels/workbook.xml.rels", _TARGETS):
+        if e.get("Id") == wanted:
+            target = e.get("Target").lstrip("/")
+            return target if target.startswith("xl/") else "xl/" + target
+    return min((n for n in z.namelist() if n.startswith("xl/worksheets/")), key=lambda n: (len(n), n))
 
 
 def sheet_rows(data: bytes) -> Iterator[list]:
     """Rows of the first sheet of a workbook: shared and inline strings, numbers as text, booleans; absent cells are None."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        names = z.namelist()
-        shared: list[str] = []
-        if "xl/sharedStrings.xml" in names:
-            for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _NS):
-                shared.append("".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")))
-        first = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))[0]
-        with z.open(first) as f:
-            for _, row in ElementTree.iterparse(f):
-                if row.tag != f"{{{_NS['m']}}}row":
-                    continue
-                cells: dict[int, object] = {}
-                for i, c in enumerate(row.findall("m:c", _NS)):
-                    at = _column_number(c.get("r")) if c.get("r") else i
-                    v, kind = c.find("m:v", _NS), c.get("t")
-                    if kind == "inlineStr":
-                        cells[at] = "".join(t.text or "" for t in c.iter(f"{{{_NS['m']}}}t"))
-                    elif v is not None and v.text is not None:
-                        cells[at] = shared[int(v.text)] if kind == "s" else ("true" if v.text == "1" else "false") if kind == "b" else v.text
-                yield [cells.get(i) for i in range(max(cells, default=-1) + 1)]
-                row.clear()
+        strings = [_plain(e) for e in _elements(z, "xl/sharedStrings.xml", _SHEET + "si")]
+        # how a cell's type says its value is to be read
+        readers = {"s": lambda v: strings[int(v)], "b": {"1": "true", "0": "false"}.get}
+        for row in _elements(z, _first_sheet(z), _SHEET + "row"):
+            out: list = []
+            for cell in row.iter(_SHEET + "c"):
+                letters = (cell.get("r") or "").rstrip("0123456789")
+                at = sum((ord(x) - 64) * 26**i for i, x in enumerate(reversed(letters))) - 1 if letters else len(out)
+                value, kind = cell.findtext(_SHEET + "v"), cell.get("t", "n")
+                if kind == "inlineStr":
+                    value = _plain(cell)
+                elif value is not None:
+                    value = readers.get(kind, str)(value)
+                out += [None] * (at + 1 - len(out))
+                out[at] = value
+            while out and out[-1] is None:
+                out.pop()
+            yield out
+
+
+def document_text(data: bytes) -> str:
+    """The paragraphs of a Word document (docx), one a line; tabs and breaks within them are kept as blanks."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        out = []
+        for p in _elements(z, "word/document.xml", _WORD + "p"):
+            out.append("".join((e.text or "") if e.tag == _WORD + "t" else " " if e.tag in (_WORD + "tab", _WORD + "br") else "" for e in p.iter()))
+        return "\n".join(x.strip() for x in out if x.strip())
+
+
+def read_docx(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text) of every Word document under a path; a file that is none has null text."""
+
+    def text(data: bytes) -> str | None:
+        try:
+            return document_text(data)
+        except (zipfile.BadZipFile, ElementTree.ParseError):
+            return None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"path": b["path"], "text": b["content"].map(text)}, dtype=object)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.docx").load(path)
+    return files.select("path", "content").mapInPandas(run, "path string, text string")
 
 
 def read_xlsx(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:

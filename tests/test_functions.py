@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import columns as c
 from tessera.functions.udfs import sections, visible_text, without_title_lines
-from tessera.operators.chunking import Sizes, chunk, chunk_pages
+from tessera.operators.chunking import Sizes, chunk, chunk_pages, heading_level, regions
 
 
 def one(spark, value, fn, kind="string"):
@@ -65,6 +65,8 @@ def test_ilike_takes_marks_as_they_are(spark):
 
 
 def test_html():
+    assert visible_text("<p>a &lt;b&gt; c</p><!-- x --> d <b>e</b>\n f") == "a <b> c\nd e\nf"
+    assert visible_text("x < y <a href='q>r'>z</a><style>q</style><svg/>1") == "x < y z1"
     assert visible_text("<p>a&nbsp;b</p><script>x</script><div>c<br>d</div>") == "a b\nc\nd"
     assert visible_text(None) is None and visible_text("") == ""
 
@@ -75,9 +77,18 @@ def test_title_lines():
     assert without_title_lines("正文", None) == "正文"
 
 
-def test_sections():
-    assert sections("事件：甲。风险提示：乙") == {"事件": "甲。", "风险提示": "乙"}
-    assert sections(None) == {} and sections("no label") == {}
+def test_sections(spark):
+    rows = ["事件：甲。风险提示：乙", None, "no label", "事件概述：\n一\n事件概述：二 风险提示 : ", "重大事件：丙"]
+    got = [r.s for r in spark.createDataFrame([(x,) for x in rows], "t string").select(sections(F.col("t")).alias("s")).collect()]
+    assert got == [{"事件": "甲。", "风险提示": "乙"}, {}, {}, {"事件概述": "一"}, {"事件": "丙"}]
+
+
+def test_headings_and_regions():
+    text = "前言\n一、概述\n（一）背景\n正文甲。\n1.2 细节\n正文乙。\n2023年正文。\n二、\n三、结论\n风险提示：\n&nbsp;"
+    got = [(t, text[a:b][:6]) for a, b, t in regions(text, "announcement", Sizes(1, 10, 20, 30))]
+    assert got == [(None, "前言"), ("一、概述 / （一）背景", "一、概述\n（"), ("一、概述 / （一）背景 / 1.2 细节", "1.2 细节")]
+    assert heading_level("12 个月内") is None and heading_level("1、事项；") is None and heading_level("①甲") == 3 and heading_level("风险提示：") == 1
+    assert regions("一、甲\n二、", None, Sizes(1, 10, 20, 30))[0][0] == 0
 
 
 def test_chunks_cover_the_text_within_limits():

@@ -54,6 +54,26 @@ def test_xlsx_and_types(spark, tmp_path):
     assert [tuple(r) for r in t.collect()] == [("000001", 5.0, "2024-01-31"), (None, None, None)]
 
 
+def test_first_sheet_is_the_one_the_workbook_lists_first():
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="b" r:id="rId2"/><sheet name="a" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Target="/xl/worksheets/sheet2.xml"/></Relationships>')
+        for n in (1, 2):
+            z.writestr(f"xl/worksheets/sheet{n}.xml", f'<worksheet xmlns="{main}"><sheetData><row><c><v>{n}</v></c><c r="AB1" t="str"><v>x</v></c></row></sheetData></worksheet>')
+    assert list(files.sheet_rows(buf.getvalue())) == [["2", *[None] * 26, "x"]]
+
+
+def test_docx(spark, tmp_path):
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body><w:p><w:r><w:t>第一</w:t><w:tab/><w:t>段</w:t></w:r></w:p><w:p/><w:tbl><w:tr><w:tc><w:p><w:r><w:t>格</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>')
+    (tmp_path / "bad.docx").write_bytes(b"no zip")
+    got = {r.path.rsplit("/", 1)[-1]: r.text for r in files.read_docx(spark, str(tmp_path)).collect()}
+    assert got == {"a.docx": "第一 段\n格", "bad.docx": None}
+
+
 def test_folder_scan_is_incremental(spark, tmp_path):
     (tmp_path / "600000.SH").mkdir()
     (tmp_path / "600000.SH" / "600000.SH_2024-01-31_report.txt").write_text("x")
