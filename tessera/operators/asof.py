@@ -4,6 +4,9 @@ Each request (an entity key, optionally a period, and a knowledge cutoff) gets t
 cutoff. Requests and facts are hash-partitioned by entity into buckets; each bucket runs an embedded DuckDB
 ``ASOF LEFT JOIN`` against versions ordered by availability.
 
+The number of buckets follows from the counted rows: a bucket has some ``rows_per_bucket`` of them, and DuckDB runs within
+``MEMORY`` without spilling. What can't be split is one entity, which has at most one version per period and day.
+
 Ties are resolved before the join: among rows of one (entity, period, available-on) the greatest row id wins, so the
 join sees one version per instant. This aggregation also runs map-side, which bounds a hot entity to one row per period
 and day whatever its share of the input; equal requests are collapsed in the same way and joined back afterwards.
@@ -23,6 +26,10 @@ from pyspark.sql import functions as F
 
 from tessera.session import parallelism
 
+#: Rows of both sides that one bucket has on average, and what DuckDB may use for it.
+ROWS_PER_BUCKET = 200_000
+MEMORY = "768MB"
+
 _SQL = """
 WITH state AS (  -- the latest period known at each availability date, then its latest announcement
     SELECT entity, available_on,
@@ -47,7 +54,7 @@ _OUT = "entity string, period date, cutoff date, row_id string"
 def _bucket_join(requests: pa.Table, facts: pa.Table) -> pa.Table:
     import duckdb
 
-    with duckdb.connect(config={"threads": 1}) as con:
+    with duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""}) as con:
         con.register("requests", requests)
         con.register("facts", facts)
         out = con.sql(_SQL).to_arrow_table()
@@ -66,13 +73,14 @@ def known_at(
     available_on: Column,
     row_id: Column,
     out_col: str = "row_id",
-    buckets: int | None = None,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """``requests`` with ``out_col``: the id of the fact known at the cutoff, for the asked period or the latest one.
 
-    ``buckets`` defaults to four per shuffle partition. A bucket is what one DuckDB call holds.
+    A bucket of some ``rows_per_bucket`` rows is what one DuckDB call holds; there are at least four per shuffle partition.
     """
-    n = buckets or 4 * parallelism(requests.sparkSession)
+    # repeated rows are counted too: the buckets are rather too small
+    n = max(4 * parallelism(requests.sparkSession), -(-(facts.count() + requests.count()) // rows_per_bucket))
     sep = "\x1f"
     # concat() is null if any part is: such rows can't match and are left out here
     entity = lambda keys: F.concat(*[x for k in keys for x in (k.cast("string"), F.lit(sep))])

@@ -15,7 +15,7 @@ D = dt.date
 def _known(spark, requests, facts):
     r = spark.createDataFrame(requests, "case string, company string, period date, cutoff date, row_id string")
     f = spark.createDataFrame(facts, "company string, period date, ann date, id string, case string")
-    out = known_at(r, f, request_keys=[F.col("company")], request_period=F.col("period"), cutoff=F.col("cutoff"), fact_keys=[F.col("company")], fact_period=F.col("period"), available_on=F.col("ann"), row_id=F.col("id"), buckets=3)
+    out = known_at(r, f, request_keys=[F.col("company")], request_period=F.col("period"), cutoff=F.col("cutoff"), fact_keys=[F.col("company")], fact_period=F.col("period"), available_on=F.col("ann"), row_id=F.col("id"), rows_per_bucket=20)
     assert out.columns == ["case", "company", "period", "cutoff", "row_id"]
     return sorted((x["case"], x["row_id"]) for x in out.collect())
 
