@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from pathlib import Path
 
 # How characters are read in names where that isn't their commonest reading.
@@ -166,31 +166,12 @@ def parse_person(name: str | None) -> Person | None:
     return Person(_lu(words[-1]), "".join(words[:-1]))
 
 
-# Industries as written in full, in security names, and in English.
-INDUSTRIES = {
-    "电子科技": ("电子", "electronics"),
-    "智能装备": ("智装", "intelligent equipment"),
-    "新能源": ("能源", "new energy"),
-    "新材料": ("新材", "new materials"),
-    "化工": ("化工", "chemical"),
-    "软件": ("软件", "software"),
-    "半导体": ("半导", "semiconductor"),
-    "港口": ("港口", "ports"),
-    "农牧": ("农牧", "agriculture"),
-    "环保科技": ("环科", "environmental"),
-    "文化传媒": ("传媒", "media"),
-    "精密机械": ("机械", "precision machinery"),
-    "医疗器械": ("医疗", "medical devices"),
-    "矿业": ("矿业", "mining"),
-    "物流": ("物流", "logistics"),
-    "食品": ("食品", "foods"),
-    "纺织": ("纺织", "textile"),
-    "生物制药": ("药业", "biopharma"),
-}
-_SHORT = {short: full for full, (short, _) in INDUSTRIES.items()}
-_ENGLISH = {eng: full for full, (_, eng) in INDUSTRIES.items()}
-# Product lines of funds.
-SERIES = ("价值成长", "稳健", "进取", "安享", "均衡", "量化", "远见")
+# Common words for what a company does, none the end of another; the tables' own words are learned (``lexicon``).
+INDUSTRIES = (
+    "电子科技 智能装备 新能源 新材料 化工 软件 半导体 港口 农牧 环保科技 文化传媒 精密机械 医疗器械 矿业 物流 食品 纺织 生物制药 汽车 电池 光伏 风电 电力 钢铁 有色金属 水泥 建材 玻璃 造纸 塑料 橡胶 化纤 化肥 农药 医药 "
+    "生物技术 生物科技 健康 教育 影视 旅游 酒店 餐饮 酒业 乳业 饮料 粮油 种业 渔业 养殖 航空 航运 铁路 公路 地产 置业 建设 建筑 工程 装饰 家居 家具 家电 电器 电气 电机 电缆 通信 网络 信息技术 数据 互联网 人工智能 机器人 "
+    "仪器 仪表 光电 光学 激光 芯片 微电子 集成电路 重工 机床 轴承 船舶 零部件 轮胎 服饰 服装 鞋业 珠宝 百货 超市 零售 商贸 供应链 租赁 保险 期货 环境 水务 燃气 热力 石油 石化 天然气 煤炭 煤业 黄金 稀土"
+).split()
 _KIND_WORDS = [
     ("lp", ("股权投资合伙", "创业投资合伙", "产业投资合伙", "投资合伙", "合伙企业", "合伙")),
     ("soe", ("国有资本", "国资")),
@@ -203,8 +184,44 @@ _KIND_WORDS = [
     ("sales", ("销售", "贸易")),
 ]
 _LP_TYPES = ("股权投资", "创业投资", "产业投资")
-_STOP = tuple(INDUSTRIES) + tuple(_SHORT) + SERIES + tuple(w for _, ws in _KIND_WORDS for w in ws) + _LP_TYPES + ("科技", "股份", "集团", "投资", "私募", "基金", "混合", "有限", "公司", "运营", "证券", "银行", "企业", "年金", "号", "（")
-_STOP_RE = re.compile("|".join(sorted((re.escape(w) for w in _STOP), key=len, reverse=True)))
+_STOP = tuple(w for _, ws in _KIND_WORDS for w in ws) + _LP_TYPES + ("股份", "集团", "投资", "私募", "基金", "混合", "有限", "公司", "运营", "证券", "银行", "企业", "年金", "号", "（")
+#: Words that end a brand but are too general to be what a company does.
+_GENERAL = ("科技",)
+
+
+@dataclass(frozen=True)
+class Lexicon:
+    """What the parts of organisations' names are told by. ``places``: names of towns without their rank, of provinces with
+    and without it. ``short`` and ``english``: (form, industry). ``series``: product lines of funds."""
+
+    places: frozenset[str] = frozenset()
+    industries: frozenset[str] = frozenset(INDUSTRIES)
+    short: frozenset[tuple[str, str]] = frozenset()
+    english: frozenset[tuple[str, str]] = frozenset()
+    series: frozenset[str] = frozenset()
+
+    @cached_property
+    def by_length(self) -> list[str]:
+        return sorted(self.industries, key=lambda w: (-len(w), w))
+
+    @cached_property
+    def by_series(self) -> list[str]:
+        return sorted(self.series, key=lambda w: (-len(w), w))
+
+    @cached_property
+    def short_forms(self) -> dict[str, str]:
+        return dict(sorted(self.short, key=lambda x: (-len(x[0]), x)))
+
+    @cached_property
+    def english_forms(self) -> dict[str, str]:
+        return dict(sorted(self.english, key=lambda x: (-len(x[0]), x)))
+
+    @cached_property
+    def stop(self) -> re.Pattern:
+        words = {*_STOP, *_GENERAL, *self.industries, *(s for s, _ in self.short), *self.series}
+        return re.compile("|".join(sorted((re.escape(w) for w in words), key=lambda w: (-len(w), w))))
+
+
 _OWN_FUNDS = re.compile(r"-(?:自有资金|自营|自有|自营账户)$")
 _LEGAL_TAIL = re.compile(r"(?:股份有限公司|有限责任公司|股份公司|有限公司|股份有限公|有限公|公司|股份)$")
 
@@ -243,22 +260,22 @@ def _take_place(s: str, places: frozenset[str]) -> tuple[str, str]:
     return "", s
 
 
-def _brand(s: str) -> tuple[str, str]:
-    m = _STOP_RE.search(s, 1) if len(s) > 1 else None
+def _brand(s: str, lex: Lexicon) -> tuple[str, str]:
+    m = lex.stop.search(s, 1) if len(s) > 1 else None
     return (s[: m.start()], s[m.start() :]) if m else (s, "")
 
 
-def _industry(rest: str) -> str:
-    for full in INDUSTRIES:
+def _industry(rest: str, lex: Lexicon) -> str:
+    for full in lex.by_length:
         if full in rest:
             return full
-    for short, full in _SHORT.items():
+    for short, full in lex.short_forms.items():
         if rest.startswith(short):
             return full
     return ""
 
 
-def _english(s: str, places: frozenset[str]) -> Organisation:
+def _english(s: str, lex: Lexicon) -> Organisation:
     low = re.sub(r"[.,]", " ", s.lower())
     place = ""
     m = re.search(r"\(([a-z' -]+)\)", low)
@@ -267,19 +284,29 @@ def _english(s: str, places: frozenset[str]) -> Organisation:
         low = low[: m.start()] + " " + low[m.end() :]
     words = low.split()
     tail = " ".join(words[1:])
-    industry = next((full for eng, full in _ENGLISH.items() if eng in tail), "")
+    industry = next((full for eng, full in lex.english_forms.items() if eng in tail), "")
     kind = "lp" if re.search(r"\blp\b", tail) else "holding" if "holding" in tail else "core" if industry else "short"
     return Organisation(kind, words[0] if words else "", False, industry, place, "", "", "ltd" in tail, low.strip())
 
 
+@lru_cache(maxsize=4)
+def _of_places(places: frozenset[str]) -> Lexicon:
+    return Lexicon(places)
+
+
+def parse_organisation(name: str | None, lexicon: Lexicon | frozenset[str]) -> Organisation | None:
+    """The parts of a name; with places alone the lexicon has the common industries only."""
+    return _parse_organisation(name, lexicon if isinstance(lexicon, Lexicon) else _of_places(lexicon))
+
+
 @lru_cache(maxsize=200_000)
-def parse_organisation(name: str | None, places: frozenset[str]) -> Organisation | None:
-    """``places``: names of towns without their rank, of provinces with and without it."""
+def _parse_organisation(name: str | None, lex: Lexicon) -> Organisation | None:
+    places = lex.places
     if not name or not name.strip():
         return None
     raw = fold(name)
     if not _HAN.search(raw):
-        return _english(raw, places) if re.search(r"[A-Za-z]{3}", raw) and not re.fullmatch(r"\d{6}\.[A-Za-z]{2}", raw) else None
+        return _english(raw, lex) if re.search(r"[A-Za-z]{3}", raw) and not re.fullmatch(r"\d{6}\.[A-Za-z]{2}", raw) else None
     s = re.sub(r"\s", "", raw).replace("(", "（").replace(")", "）").lstrip("*")
     s = re.sub(r"^(?:st)(?=[一-鿿])", "", s, flags=re.I)
     s = re.sub(r"[-－—–－·]+", "-", s).strip("-.。．")
@@ -288,17 +315,17 @@ def parse_organisation(name: str | None, places: frozenset[str]) -> Organisation
     head, _, tail = s.partition("-")
     if "持股计划" in s or "年金" in s or "资产管理计划" in s or "信托" in s:
         place, body = _take_place(head, places)
-        brand, rest = _brand(body)
+        brand, rest = _brand(body, lex)
         m = re.search(r"第(.+?)期", s)
         what = "持股" if "持股" in s else "年金" if "年金" in s else "计划"
-        return Organisation("plan", brand, True, _industry(rest), reading(place), what + (m[1] if m else ""), "", False, plain)
+        return Organisation("plan", brand, True, _industry(rest, lex), reading(place), what + (m[1] if m else ""), "", False, plain)
     num = re.search(r"(\d+)号", tail or head)
     if num or (("基金" in (tail or head)) and "管理" not in (tail or head)):
         product = tail or head
-        series = next((x for x in SERIES if x in product), "")
+        series = next((x for x in lex.by_series if x in product), "")
         place, body = _take_place(head, places)
-        manager = _brand(body)[0] if tail and "银行" not in head else ""
-        own = _brand(product)[0] if not any(product.startswith(x) for x in SERIES) else ""
+        manager = _brand(body, lex)[0] if tail and "银行" not in head else ""
+        own = _brand(product, lex)[0] if not any(product.startswith(x) for x in lex.by_series) else ""
         detail = f"{series}{num[1]}" if num else f"{series}*"
         return Organisation("fund", own or manager, True, "", reading(place) if "银行" not in head else "", detail, manager, False, plain)
     place, body = _take_place(head, places)
@@ -311,8 +338,8 @@ def parse_organisation(name: str | None, places: frozenset[str]) -> Organisation
     kind = ""
     if re.match(r"国有资本", body):
         body, kind = re.sub(r"^国有资本", "", body), "soe"
-    brand, rest = _brand(body)
-    industry = _industry(rest)
+    brand, rest = _brand(body, lex)
+    industry = _industry(rest, lex)
     joint = "股份" in rest
     detail = ""
     if not kind:
@@ -332,5 +359,17 @@ def parse_organisation(name: str | None, places: frozenset[str]) -> Organisation
     return Organisation(kind, brand, True, industry, reading(place or inner), detail, "", joint, plain)
 
 
+def keyword_error(x, y) -> bool:
+    """One error in the word for what a company does (or beside it): the names differ by one edit, and one is read to
+    have another industry and, unless the brands are equal, a long brand that has swallowed the word. Takes parsed names or rows of their parts."""
+    get = (lambda o, k: o[k]) if isinstance(x, dict) else getattr
+    if not {get(x, "kind"), get(y, "kind")} <= {"short", "core"} or not (get(x, "han") and get(y, "han")):
+        return False
+    a, b = sorted((get(x, "brand"), get(y, "brand")), key=len)
+    if get(x, "industry") == get(y, "industry") or (a != b and len(b) <= 4):
+        return False
+    return len(get(x, "plain")) > 6 and one_edit(get(x, "plain"), get(y, "plain"))
+
+
 def person_key(p: Person | None) -> str:
     return "" if p is None else ("" if p.han else "~") + (p.name if p.han else p.sound)

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.leakage import leaked_documents, remove_leaks, stock_wording
+from tessera.llm.lexicon import learn
 from tessera.llm.matching import _entities, accepted, match_entities
+from tessera.llm.names import Lexicon
 from tessera.llm.packing import CAPACITY, pack_documents
 from tessera.llm.pii import find_pii, pii_counts, redact
 from tessera.llm.variants import gazetteer, link_variants, variant_pairs
@@ -36,8 +38,13 @@ def p7_stock(spark: SparkSession, sf: str) -> DataFrame:
     return stock_wording(table(spark, sf, "documents"), table(spark, sf, "heldout_items"))
 
 
-def _places(spark: SparkSession, sf: str) -> frozenset[str]:
-    return gazetteer(table(spark, sf, "holder_entities").select("registered_place"), table(spark, sf, "listed_company_entities").select("registered_place"))
+def _lexicon(spark: SparkSession, sf: str) -> Lexicon:
+    """Places and words of the organisations' names in the tables of entities."""
+    companies, holders = table(spark, sf, "listed_company_entities"), table(spark, sf, "holder_entities")
+    places = gazetteer(holders.select("registered_place"), companies.select("registered_place"))
+    names = companies.select(F.col("company_id").alias("id"), F.col("canonical_name").alias("name"))
+    names = names.union(holders.where("entity_type = 'COMPANY'").select("holder_entity_id", "name")).union(table(spark, sf, "entity_aliases").select("entity_id", "alias"))
+    return learn(names, places)
 
 
 def _matches(spark: SparkSession, sf: str) -> DataFrame:
@@ -45,7 +52,7 @@ def _matches(spark: SparkSession, sf: str) -> DataFrame:
     attributes = {"place": "registered_place", "since": "established_on", "person": "legal_representative"}
     companies = _entities(table(spark, sf, "listed_company_entities"), "company_id", ["canonical_name"], aliases, **attributes)
     holders = _entities(table(spark, sf, "holder_entities").where("entity_type = 'COMPANY'"), "holder_entity_id", ["name"], aliases, **attributes)
-    return match_entities(companies, holders, _places(spark, sf))
+    return match_entities(companies, holders, _lexicon(spark, sf))
 
 
 def p1_confidences(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,7 +73,7 @@ def _variants(spark: SparkSession, sf: str) -> DataFrame:
         scope="target_company_id",
         list_cols=["holder_end_date", "announcement_date"],
         ratio="holding_ratio",
-        places=_places(spark, sf),
+        lexicon=_lexicon(spark, sf),
         aliases=table(spark, sf, "entity_aliases").select("entity_id", "alias"),
         coded="NOT contains(id, '_UNRESOLVED:')",
     )

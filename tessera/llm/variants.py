@@ -29,11 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
-from tessera.llm.names import jaro_winkler, one_edit, parse_organisation, parse_person, person_key, reading, surname_reading, syllables
+from tessera.llm.names import Lexicon, jaro_winkler, keyword_error, one_edit, parse_organisation, parse_person, person_key, reading, surname_reading, syllables
 from tessera.session import materialize
 
 MIN_SIMILARITY = 0.8
-MAX_PLACES = 20_000
 #: A block of more names is split without losing pairs, see ``_pairs_of``.
 MAX_BLOCK = 1_000
 
@@ -45,7 +44,7 @@ _SHORT_FOR = {"lp", "invmanage", "core", "asset", "invgroup", "manager"}
 
 def gazetteer(*columns: DataFrame) -> frozenset[str]:
     """Names of towns and provinces in columns of registered places; a province also stands with its rank. As many as
-    geography has; the most frequent ``MAX_PLACES`` are kept."""
+    geography has: two to four characters before the word for a town or province."""
     text = columns[0]
     for c in columns[1:]:
         text = text.union(c)
@@ -53,7 +52,7 @@ def gazetteer(*columns: DataFrame) -> frozenset[str]:
     town, province = F.regexp_extract(p, r"(?:^|省)\s*([\x{4e00}-\x{9fff}]{2,4})市", 1), F.regexp_extract(p, r"^\s*([\x{4e00}-\x{9fff}]{2,4})省", 1)
     with_rank = F.when(province != "", F.concat(province, F.lit("省"))).otherwise("")
     found = text.where(p.isNotNull()).select(F.explode(F.array(town, province, with_rank)).alias("place")).where("place <> ''")
-    return frozenset(r[0] for r in found.groupBy("place").count().where("count > 1").orderBy(F.desc("count"), "place").limit(MAX_PLACES).collect())
+    return frozenset(r[0] for r in found.distinct().collect())
 
 
 def fine_codes(name: str, han: bool) -> list[str]:
@@ -84,7 +83,7 @@ def organisation_blocks(o) -> list[str]:
         return [f"s|{o.kind}|{o.brand}", f"b|{o.brand}"]
     tokens = syllables(o.brand)
     out = {f"s|{o.kind}|{reading(o.brand)}", f"b|{reading(o.brand)}"}
-    if 1 < len(tokens) <= 4:
+    if len(tokens) > 1:
         out.add(f"d|{fixed}|" + " ".join(sorted(tokens)))
         if len(tokens) > 2:
             out |= {f"d|{fixed}|" + " ".join(sorted(tokens[:i] + tokens[i + 1 :])) for i in range(len(tokens))}
@@ -96,14 +95,14 @@ def organisation_blocks(o) -> list[str]:
     return sorted(out)
 
 
-def _organisation_row(name: str, places: frozenset[str]):
-    o = parse_organisation(name, places)
+def _organisation_row(name: str, lexicon: Lexicon):
+    o = parse_organisation(name, lexicon)
     if o is None or not o.brand:
         return None
     return o, (f"o|{o.key}|{o.place}", o.kind, o.brand, o.sound, o.han, organisation_blocks(o), o.plain)
 
 
-def parse_names(names: DataFrame, places: frozenset[str]) -> DataFrame:
+def parse_names(names: DataFrame, lexicon: Lexicon | frozenset[str]) -> DataFrame:
     """names: (person boolean, name) distinct. Names that say nothing are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +115,7 @@ def parse_names(names: DataFrame, places: frozenset[str]) -> DataFrame:
                         key, kind, brand, sound, han, blocks, plain = row
                         out.append((True, name, key, kind, brand, sound, han, "", "", "", "", plain, blocks, fine_codes(brand if han else sound, han)))
                 else:
-                    got = _organisation_row(name, places)
+                    got = _organisation_row(name, lexicon)
                     if got:
                         o, (key, kind, brand, sound, han, blocks, plain) = got
                         out.append((False, name, key, kind, brand, sound, han, o.industry, o.place, o.detail, o.manager, plain, blocks, fine_codes(brand if han else sound, han)))
@@ -149,12 +148,18 @@ def judge_persons(x: dict, y: dict) -> str:
 
 
 def judge_organisations(x: dict, y: dict) -> str:
+    if keyword_error(x, y):
+        return "sure"
     if x["kind"] == "short" or y["kind"] == "short":
         s, f = (x, y) if x["kind"] == "short" else (y, x)
         if f["kind"] == "short":
-            return "sure" if s["brand"] == f["brand"] and s["industry"] == f["industry"] and _agrees(s["place"], f["place"]) and s["plain"][-2:] == f["plain"][-2:] else ""
+            if s["brand"] == f["brand"]:
+                return "sure" if s["industry"] == f["industry"] and _agrees(s["place"], f["place"]) and s["plain"][-2:] == f["plain"][-2:] else ""
+            # two full names without a known word for what the company does
+            full = s["plain"].endswith("公司") and f["plain"].endswith("公司") and one_edit(s["plain"], f["plain"])
+            return ("one weak" if s["sound"] == f["sound"] else "weak") if full else ""
         if len(s["brand"]) > 4:
-            return "sure" if one_edit(s["plain"], f["plain"]) else ""
+            return ""
         if s["sound"] != f["sound"] or f["kind"] not in _SHORT_FOR or not _agrees(s["place"], f["place"]) or not _agrees(s["industry"], f["industry"]):
             return ""
         invest = "投资" in s["plain"]
@@ -211,7 +216,7 @@ def link_variants(
     scope: str,
     list_cols: list[str],
     ratio: str,
-    places: frozenset[str],
+    lexicon: Lexicon | frozenset[str],
     aliases: DataFrame | None = None,
     coded: str | None = None,
 ) -> DataFrame:
@@ -231,7 +236,7 @@ def link_variants(
         extra = typed.select("scope", "person", "id", "name").join(aliases.select(F.col(aliases.columns[0]).alias("id"), F.col(aliases.columns[1]).alias("other")).where("other IS NOT NULL").distinct(), "id")
         stated = stated.unionByName(extra.select("scope", "person", "id", "name", "other"))
     names = typed.select("person", "name").unionByName(stated.select("person", F.col("other").alias("name"))).distinct()
-    parsed = materialize(parse_names(names, places))
+    parsed = materialize(parse_names(names, lexicon))
     key_of = parsed.select("person", "name", "key")
     # what is used several times is written out: each query's plan stays small, and so does the driver
     named = materialize(typed.join(key_of, ["person", "name"]).select("scope", "person", "id", "name", "key"))
@@ -245,7 +250,7 @@ def link_variants(
     # blocks meet as hashes; what the names say is joined to the pairs that come out
     short = F.col("kind") == "short"
     # whole-name blocks are for names with an error in a keyword; such a name has to be one of the two
-    odd = short & (F.length("brand") > 4)
+    odd = F.col("kind").isin("short", "core") & (F.length("brand") > 4)
     met = _pairs_of(known.withColumn("odd", odd).withColumn("short", short))
     item = F.struct("key", "kind", "brand", "sound", "han", "industry", "place", "detail", "manager", "plain")
     pairs = met.join(known.select(F.col("k").alias("kl"), "scope", "person", item.alias("l")), "kl").join(known.select(F.col("k").alias("kr"), item.alias("r")), "kr").select("scope", "person", "l", "r")

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
 from tessera.llm.matching import accepted, date_state, pair_evidence, place_town, propagate
-from tessera.llm.names import fold, jaro_winkler, one_edit, parse_organisation, parse_person, reading
+from tessera.llm.names import Lexicon, fold, keyword_error, jaro_winkler, one_edit, parse_organisation, parse_person, reading
 from tessera.llm import variants
 from tessera.llm.variants import fine_codes, gazetteer, link_variants, variant_pairs
 
 PLACES = frozenset({"晏河", "襄陵口", "栖桐"})
+LEXICON = Lexicon(PLACES, short=frozenset({("半导", "半导体"), ("环科", "环保科技"), ("电子", "电子科技")}), english=frozenset({("electronics", "电子科技"), ("semiconductor", "半导体"), ("environmental", "环保科技")}), series=frozenset({"价值成长", "稳健", "进取"}))
 
 
 @pytest.mark.parametrize(("a", "b", "value"), [("MARTHA", "MARHTA", 0.9611), ("DIXON", "DICKSONX", 0.8133), ("", "", 1.0), ("a", "", 0.0), ("abc", "xyz", 0.0)])
@@ -60,11 +61,11 @@ def test_latin_names_sound_like_their_characters():
     ],
 )
 def test_organisation_keys(a, b, same):
-    assert (parse_organisation(a, PLACES).key == parse_organisation(b, PLACES).key) == same
+    assert (parse_organisation(a, LEXICON).key == parse_organisation(b, LEXICON).key) == same
 
 
 def test_english_organisation():
-    o = parse_organisation("Tuolunman Investment (Yanhe) LP", PLACES)
+    o = parse_organisation("Tuolunman Investment (Yanhe) LP", LEXICON)
     assert (o.kind, o.brand, o.place, o.han) == ("lp", "tuolunman", "yanhe", False)
     assert reading("拓纶缦") == "tuolunman" and fold("ＡＢ　c") == "AB c"
 
@@ -75,7 +76,7 @@ R = "target string, list date, ann date, id string, name string, aname string, k
 def _pairs(spark, rows, aliases=None, coded=None):
     df = spark.createDataFrame([(*r, "x", "x") for r in rows], R)
     al = spark.createDataFrame(aliases, "id string, alias string") if aliases else None
-    c = link_variants(df, id_col="id", name_cols=["name", "aname"], person="kind = 'PERSON'", scope="target", list_cols=["list", "ann"], ratio="ratio", places=PLACES, aliases=al, coded=coded)
+    c = link_variants(df, id_col="id", name_cols=["name", "aname"], person="kind = 'PERSON'", scope="target", list_cols=["list", "ann"], ratio="ratio", lexicon=LEXICON, aliases=al, coded=coded)
     return {(r[0], r[1]) for r in variant_pairs(c).collect()}
 
 
@@ -148,7 +149,7 @@ def test_two_registered_ids_are_two_entities(spark):
 
 def test_gazetteer(spark):
     df = spark.createDataFrame([("岚南省晏河市",), (" 晏河市高岫区",), ("岚南省棠州市",), ("Yanhe",), (None,)], "p string")
-    assert gazetteer(df) == {"晏河", "岚南", "岚南省"}
+    assert gazetteer(df) == {"晏河", "棠州", "岚南", "岚南省"}
 
 
 def test_components_against_union_find(spark):
@@ -174,18 +175,18 @@ def test_components_against_union_find(spark):
 def test_dates_and_places():
     d = dt.date
     assert [date_state(d(2012, 3, 7), x) for x in (d(2012, 3, 7), d(2012, 1, 1), d(2012, 7, 3), d(2012, 9, 20), d(2013, 9, 7), None)] == ["same", "near", "turned", "year", "other", ""]
-    assert {place_town(x, PLACES) for x in ("岚南省晏河市", " 晏河市高岫区", "晏河", "Yanhe", "晏河市")} == {"yanhe"}
-    assert place_town(None, PLACES) == ""
+    assert {place_town(x) for x in ("岚南省晏河市", " 晏河市高岫区", "晏河", "Yanhe", "晏河市")} == {"yanhe"}
+    assert place_town(None) == ""
 
 
 def test_pair_evidence():
     c = {"names": ["晏河市韬堃澈半导体股份有限公司"], "place": "晏河市", "since": dt.date(2007, 9, 15), "person": "石 弈朔"}
     same = {"names": ["韜堃澈（晏河）半導體股份有限公司"], "place": "Yanhe", "since": None, "person": "SHI YISHUO"}
-    assert pair_evidence(c, same, PLACES)[0] > 3
+    assert pair_evidence(c, same, LEXICON).score() > 3
     for name in ("韬堃澈控股集团有限公司", "韬堃澈半导体（栖桐）有限公司", "晏河市韬堃澈半导体股份有限公司企业年金计划"):
-        assert pair_evidence(c, same | {"names": [name]}, PLACES) is None
-    assert pair_evidence(c, {"names": ["晏河市韬堃澈半导体股份有限公司"], "place": None, "since": None, "person": None}, PLACES)[0] > 0
-    assert pair_evidence(c, same | {"since": dt.date(1999, 1, 5), "place": "栖桐市", "person": "x y"}, PLACES)[0] < 0
+        assert pair_evidence(c, same | {"names": [name]}, LEXICON) is None
+    assert pair_evidence(c, {"names": ["晏河市韬堃澈半导体股份有限公司"], "place": None, "since": None, "person": None}, LEXICON).score() > 0
+    assert pair_evidence(c, same | {"since": dt.date(1999, 1, 5), "place": "栖桐市", "person": "x y"}, LEXICON).score() < 0
 
 
 def _exact_marginals(rows):
@@ -230,3 +231,58 @@ def test_ids_of_one_holder_do_not_compete(spark):
     rows = [("c", f"h{i}", "=", 3.0) for i in range(5)] + [("c", "x", "other", 1.0)]
     got = {r.h: r.confidence for r in propagate(spark.createDataFrame(rows, "c string, h string, unit string, score double")).collect()}
     assert all(got[f"h{i}"] > 0.8 for i in range(5)) and got["x"] < 0.2
+
+
+def test_ties_carry_evidence_between_ids(spark):
+    """An id of which nothing is known follows the others of exactly its name, through messages."""
+    cols = "c string, h string, unit string, same string, score double"
+    alone = {r.h: r.confidence for r in propagate(spark.createDataFrame([("c", "h1", "=", "h1", 3.0), ("c", "h2", "=", "h2", -1.0)], cols)).collect()}
+    tied = {r.h: r.confidence for r in propagate(spark.createDataFrame([("c", "h1", "=", "=", 3.0), ("c", "h2", "=", "=", -1.0)], cols)).collect()}
+    against = {r.h: r.confidence for r in propagate(spark.createDataFrame([("c", "h1", "=", "=", -6.0), ("c", "h2", "=", "=", 1.0)], cols)).collect()}
+    assert alone["h2"] < 0.3 and tied["h2"] > 0.7 and against["h2"] < 0.3
+
+
+def test_messages_decide_between_competing_companies(spark):
+    """Both companies accept the holder by their own scores; only the likelier one keeps it, and what it gives up can go on."""
+    rows = [("c1", "h1", "=", 2.0), ("c2", "h1", "=", 0.5), ("c2", "h2", "other", 0.2)]
+    df = spark.createDataFrame(rows, "c string, h string, unit string, score double")
+    got = {(r.c, r.h): r.confidence for r in propagate(df).collect()}
+    alone = {(c, h) for c, h, _, x in rows if x > 0}
+    assert {k for k, v in got.items() if v > 0.5} == {("c1", "h1"), ("c2", "h2")} != alone
+    with pytest.raises(RuntimeError):
+        propagate(df, rounds=1)
+
+
+def test_weights_are_estimated_from_patterns():
+    from tessera.llm.matching import WEIGHTS, Evidence, estimate_weights
+
+    assert estimate_weights([]) == WEIGHTS
+    patterns = [("exact", "same", "same", "same", 5000), ("exact", "same", "", "other", 2000), ("typo", "other", "other", "other", 9000), ("sound", "other", "", "other", 3000)]
+    w = estimate_weights(patterns)
+    # in these pairs the representative says little, as matches often have another one
+    assert w["person_other"] > -1.5 and w["name_exact"] > WEIGHTS["name_exact"] and w["place_other"] < -4
+    assert Evidence("exact", "half", "", "", True).score(w) == pytest.approx(w["prior"] + w["name_exact"] + w["place_same"] / 2)
+
+
+def test_words_are_learned_from_names(spark):
+    from tessera.llm.lexicon import learn
+
+    brands = ["甲乙", "丙丁戊", "己庚", "辛壬癸", "子丑", "寅卯辰", "巳午", "未申酉"]
+    rows = [(f"c{i}", f"晏河市{b}卫星遥感股份有限公司") for i, b in enumerate(brands)] + [(f"c{i}", b + "卫遥") for i, b in enumerate(brands[:4])]
+    rows += [(f"c{i}", f"{reading(b).capitalize()} Remote Sensing Co., Ltd.") for i, b in enumerate(brands[:4])]
+    rows += [(f"f{i}", f"{b}投资－{b}磐石{i}号") for i, b in enumerate(brands)] + [("x", None), (None, " ")]
+    lex = learn(spark.createDataFrame(rows, "id string, name string"), PLACES)
+    assert "卫星遥感" in lex.industries and "遥感" not in lex.industries and "乙卫星遥感" not in lex.industries
+    assert ("卫遥", "卫星遥感") in lex.short and ("remote sensing", "卫星遥感") in lex.english and "磐石" in lex.series
+    a, b, c = (parse_organisation(n, lex) for n in ("晏河市庚辛卫星遥感有限公司", "庚辛卫遥", "Gengxin Remote Sensing Co., Ltd."))
+    assert a.brand == b.brand == "庚辛" and a.industry == b.industry == c.industry == "卫星遥感" and a.sound == c.sound
+    assert learn(spark.createDataFrame([], "id string, name string"), PLACES) == Lexicon(PLACES)
+
+
+def test_characters_outside_the_tables_share_a_sound():
+    assert reading("建国") == reading("健国") == "jianguo" and fold("比亞迪") == "比亚迪"
+    assert parse_person("单雄信").sound == "shan|xiongxin" and parse_person("Shan Xiongxin").sound == "shan|xiongxin"
+    a, b = (parse_organisation(n, LEXICON) for n in ("比亚迪汽车股份有限公司", "比亞迪汽車股份有限公司"))
+    assert a.key == b.key and a.brand == "比亚迪" and a.industry == "汽车"
+    x, y = (parse_organisation(n, LEXICON) for n in ("比亚迪汽车股份有限公司", "比亚迪气车股份有限公司"))
+    assert keyword_error(x, y) and not keyword_error(x, parse_organisation("比亚迪汽车有限公司", LEXICON))
