@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.functions.columns import l2_normalize, tokenize
 from tessera.session import materialize
@@ -47,6 +48,85 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, *, query_id: str = "query
     return weights.join(hits, "term").groupBy(query_id, "chunk_id").agg(F.round(F.sum(part.cast("decimal(38,15)")), 9).cast("double").alias("score"))
 
 
+def write_index(chunks: DataFrame, path: str, *, id_col: str = "chunk_id", text_col: str = "text", buckets: int = 64) -> None:
+    """Store the inverted index below ``path``: postings by buckets of terms, sorted by term within a file, so that a search
+    reads the buckets and row groups of its terms only; document frequencies; and one row of totals.
+
+    The text is tokenised once; a frequent term is spread over several files by a hash of the chunk.
+    """
+    spark = chunks.sparkSession
+    index = postings(chunks, id_col=id_col, text_col=text_col).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    spread = index.repartition("bucket", F.pmod(F.xxhash64(id_col), F.lit(8))).sortWithinPartitions("bucket", "term", id_col)
+    spread.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    stored = spark.read.schema(spread.schema).parquet(f"{path}/postings")  # the schema of an empty index can't be read
+    document_frequency(stored).write.mode("overwrite").parquet(f"{path}/terms")
+    lengths = stored.groupBy(id_col).agg(F.max("doc_len").alias("doc_len"))
+    lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("doc_len").alias("total"), F.lit(buckets).alias("buckets")).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
+
+
+def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int, *, id_col: str = "chunk_id", query_id: str = "query_id", query_text: str = "query") -> DataFrame:
+    """(query_id, chunk_id, rank, score): the best k chunks of every query from a stored index, as ``bm25_top`` gives them.
+    No text is read; the postings are filtered by the buckets of the asked terms at the scan and joined by term."""
+    n_docs, total, buckets = spark.read.parquet(f"{path}/totals").select("n_docs", "total", "buckets").first()
+    if not n_docs:
+        return queries.select(F.col(query_id).alias("query_id"), F.lit("").alias(id_col), F.lit(1).cast("bigint").alias("rank"), F.lit(0.0).alias("score")).limit(0)
+    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokenize(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    raw = F.log((F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = materialize(asked.join(spark.read.parquet(f"{path}/terms"), "term").select("query_id", "term", (F.when(raw > 0, raw).otherwise(1e-6) * F.col("qtf")).alias("weight")))
+    # at most as many as there are buckets
+    wanted = [r[0] for r in weights.select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).distinct().collect()]
+    hits = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(wanted)).select(id_col, "term", "tf", "doc_len")
+    norm = F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.lit(float(total) / n_docs))
+    part = F.col("weight") * F.col("tf") * (K1 + 1) / norm
+    scores = weights.join(hits, "term").groupBy("query_id", id_col).agg(F.round(F.sum(part.cast("decimal(38,15)")), 9).cast("double").alias("score"))
+    return top_k(scores, k, query_id="query_id", id_col=id_col)
+
+
+def hashed_vectors(rows: DataFrame, *, id_col: str = "chunk_id", text_col: str = "text", dims: int = 64) -> DataFrame:
+    """(id, embedding): how often a text's tokens fall on each of ``dims`` places, with a sign, both from the token's MD5; for
+    texts where no embedding model is at hand. Texts without tokens are left out; ids are expected to be unique."""
+    digits = lambda a, n: F.conv(F.substring(F.md5("term"), a, n), 16, 10).cast("int")
+    counted = postings(rows, id_col=id_col, text_col=text_col)
+    placed = counted.select(id_col, F.pmod(digits(1, 4), F.lit(dims)).alias("at"), (F.col("tf") * (1 - 2 * F.pmod(digits(5, 1), F.lit(2)))).alias("x"))
+    return placed.groupBy(id_col).agg(F.array(*[F.sum(F.when(F.col("at") == d, F.col("x")).otherwise(0)).cast("float") for d in range(dims)]).alias("embedding"))
+
+
+class Best:
+    """The best k of each of n queries in a stream of hits: score first, then the lesser id."""
+
+    def __init__(self, k: int, n: int):
+        import numpy as np
+
+        self.np, self.k, self.most = np, k, 4 * k * max(1, n) + 10_000
+        self.floor = np.full(n, -np.inf)
+        self.parts: list[tuple] = []
+        self.size = 0
+
+    def add(self, query, score, ids) -> None:
+        keep = score >= self.floor[query]
+        if keep.any():
+            self.parts.append((query[keep], score[keep], ids[keep]))
+            self.size += int(keep.sum())
+            if self.size > self.most:
+                self.rows()
+
+    def rows(self) -> tuple:
+        """(query, score, id) kept so far."""
+        np = self.np
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        q, s, i = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.lexsort((i, -s, q))
+        q, s, i = q[order], s[order], i[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        last = place == self.k - 1
+        self.floor[q[last]] = s[last]
+        keep = place < self.k
+        self.parts = [(q[keep], s[keep], i[keep])]
+        self.size = int(keep.sum())
+        return self.parts[0]
+
+
 _RUNS = re.compile(r"[a-z0-9_.]+|[一-鿿]+")
 
 
@@ -66,7 +146,7 @@ def bm25_top(chunks: DataFrame, queries: DataFrame, k: int, *, query_id: str = "
 
     Terms that all queries share make every chunk a candidate of every query; as rows these pairs would be queries times
     chunks. Here the weights of a block of queries go out as one table (the proven bound of the broadcast), every task
-    scores its chunks against the block and keeps its own best k a query, which alone are shuffled.
+    scores its chunks against the block and keeps its own best k a query over all its batches, which alone are shuffled.
     """
     import numpy as np
     import pyarrow as pa
@@ -78,7 +158,7 @@ def bm25_top(chunks: DataFrame, queries: DataFrame, k: int, *, query_id: str = "
     wanted = terms.unionByName(terms.sparkSession.createDataFrame([(mark,)], "term string"))
     stats = materialize(seen.join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("len").alias("total")))
     head = stats.where(F.col("term") == mark).first()
-    kind = chunks.schema["chunk_id"].dataType.simpleString()
+    kind, out_type = chunks.schema["chunk_id"].dataType.simpleString(), to_arrow_type(chunks.schema["chunk_id"].dataType)
     if head is None:
         return queries.sparkSession.createDataFrame([], f"query_id bigint, chunk_id {kind}, score double, rank bigint")
     n_docs, mean = float(head.df), head.total / head.df
@@ -100,6 +180,7 @@ def bm25_top(chunks: DataFrame, queries: DataFrame, k: int, *, query_id: str = "
             ids, packed = shared.value
             if not len(ids):
                 return
+            best = Best(k, len(ids))
             for batch in batches:
                 names, texts = batch.column(0), batch.column(1).to_pylist()
                 for lo in range(0, len(texts), rows_at_once):
@@ -116,10 +197,10 @@ def bm25_top(chunks: DataFrame, queries: DataFrame, k: int, *, query_id: str = "
                             where, w = packed[x]
                             s[i, where] += w * (counts[x] * (K1 + 1) / (counts[x] + norm))
                     s = np.round(s, 9)
-                    n = min(k, len(part))
-                    floor = np.partition(s, len(part) - n, axis=0)[len(part) - n]
-                    i, q = np.nonzero((s >= floor) & (s > 0))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[q]), names.take(pa.array(lo + i)), pa.array(s[i, q])], ["query_id", "chunk_id", "score"])
+                    i, q = np.nonzero((s >= best.floor) & (s > 0))
+                    best.add(q, s[i, q], np.array(names.slice(lo, len(part)).to_pylist())[i])
+            q, score, name = best.rows()
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(name.tolist(), out_type), pa.array(score)], ["query_id", "chunk_id", "score"])
 
         one = chunks.select("chunk_id", "text").mapInArrow(run, f"query_id bigint, chunk_id {kind}, score double")
         out = one if out is None else out.unionByName(one)
@@ -147,7 +228,7 @@ def vector_scores(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str
     import pyarrow as pa
 
     spark = vectors.sparkSession
-    kind = vectors.schema[id_col].dataType.simpleString()
+    kind, out_type = vectors.schema[id_col].dataType.simpleString(), to_arrow_type(vectors.schema[id_col].dataType)
     wanted = queries.select(query_id, l2_normalize(F.col(query_vector)).alias("v")).where("v IS NOT NULL")
     n_blocks = max(1, -(-wanted.count() // block))
     out = None
@@ -158,6 +239,7 @@ def vector_scores(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str
 
         def run(batches, matrix=matrix):
             ids, q = matrix.value
+            best = Best(k, len(ids))
             for batch in batches:
                 col = batch.column(1)
                 keep = [i for i, v in enumerate(col.to_pylist()) if v is not None and len(v) == q.shape[1]]
@@ -165,12 +247,14 @@ def vector_scores(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str
                     continue
                 v = np.array([col[i].as_py() for i in keep], np.float64)
                 norm = np.linalg.norm(v, axis=1, keepdims=True)
-                s = q @ (v / np.where(norm == 0, 1, norm)).T
-                n = min(k, s.shape[1])
-                # k-th best as a bound, so that ties beyond it are kept and the id decides
-                floor = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n]
-                rows, cols = np.nonzero(s >= floor[:, None] - 1e-9)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[r] for r in rows], pa.int64()), batch.column(0).take(pa.array([keep[c] for c in cols])), pa.array(np.round(s[rows, cols], 9))], ["query_id", id_col, "score"])
+                s = np.round(q @ (v / np.where(norm == 0, 1, norm)).T, 9)
+                rows, cols = np.nonzero(s >= best.floor[:, None])
+                if len(rows) > 4 * k * len(q):  # of one batch only its own best count
+                    n = min(k, s.shape[1])
+                    rows, cols = np.nonzero(s >= np.maximum(best.floor, np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n])[:, None])
+                best.add(rows, s[rows, cols], np.array(batch.column(0).to_pylist())[np.array(keep)[cols]])
+            rows, score, name = best.rows()
+            yield pa.RecordBatch.from_arrays([pa.array([ids[r] for r in rows], pa.int64()), pa.array(name.tolist(), out_type), pa.array(score)], ["query_id", id_col, "score"])
 
         one = vectors.select(id_col, vector_col).mapInArrow(run, f"query_id bigint, `{id_col}` {kind}, score double")
         out = one if out is None else out.unionByName(one)

@@ -10,7 +10,7 @@ from tessera.functions.udfs import html_text
 from tessera.operators import documents as doc
 from tessera.operators import retrieval as ret
 from tessera.operators.chunking import chunk_coverage, chunk_documents
-from tessera.session import table
+from tessera.session import scratch_path, table
 
 
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,6 +94,23 @@ def doc_vectors_filtered(spark: SparkSession, sf: str) -> DataFrame:
     return ret.vector_scores(v.where("label % 2 = 0"), q, 10).select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
+def doc_bm25_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The same answers as ``doc_bm25`` from an index that is stored first."""
+    path = scratch_path(spark)
+    ret.write_index(_chunks(spark, sf), path)
+    return ret.search_index(spark, path, _questions(spark, sf), 8)
+
+
+def doc_hybrid_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Rankings of chunks by BM25 and by cosine of hashed vectors merged by reciprocal ranks, two chunks a document."""
+    chunks, q = _chunks(spark, sf), _questions(spark, sf)
+    v = ret.hashed_vectors(chunks)
+    w = ret.hashed_vectors(q, id_col="query_id", text_col="query").withColumnRenamed("embedding", "query_vector")
+    near = ret.vector_scores(v, w, 50, id_col="chunk_id").where("score > 0")
+    hits = ret.rrf_merge(ret.bm25_top(chunks, q, 50), near).join(chunks.select("chunk_id", "doc_id"), "chunk_id")
+    return ret.cap_per_document(hits, 2, 8).select("query_id", "chunk_id", "doc_id", "rank", "score")
+
+
 def doc_hybrid(spark: SparkSession, sf: str) -> DataFrame:
     """Two rankings of chunks (by the question and by its first half) merged by reciprocal ranks, two chunks a document."""
     chunks = _chunks(spark, sf)
@@ -151,6 +168,17 @@ SELECT *, CAST(ceil(round(n_cjk * 0.6 + n_latin * 0.2 + (n_chars - n_cjk - n_lat
     "doc_term_stats": f"WITH {_CH}, {_TOK}, post AS (SELECT chunk_id, term, count(*) AS tf FROM tok GROUP BY 1, 2) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM post GROUP BY 1",
     "doc_tokens": f"SELECT doc_id, array_to_string(flatten(list_transform({_RUNS.format('coalesce(title, $$$$)')}, lambda run: {_GRAMS})), ' ') AS tokens FROM documents",
     "doc_bm25": f"WITH {_CH}, {_TOK}, {_POST}, {_bm('1', 'question')} SELECT query_id, chunk_id, rank, CASE WHEN best <> 0 THEN round(score / best, 6) ELSE 0 END AS score FROM r1 WHERE rank <= 8",
+    "doc_bm25_index": f"WITH {_CH}, {_TOK}, {_POST}, {_bm('1', 'question')} SELECT query_id, chunk_id, rank, CASE WHEN best <> 0 THEN round(score / best, 6) ELSE 0 END AS score FROM r1 WHERE rank <= 8",
+    "doc_hybrid_vectors": f"""WITH {_CH}, {_TOK}, {_POST}, {_bm('1', 'question')},
+hx AS (SELECT chunk_id, term, CAST(concat('0x', substr(md5(term), 1, 4)) AS INT) % 64 AS j, CASE WHEN CAST(concat('0x', substr(md5(term), 5, 1)) AS INT) % 2 = 0 THEN 1 ELSE -1 END AS sign, tf FROM post),
+cv AS (SELECT chunk_id, j, sum(tf * sign)::DOUBLE AS x FROM hx GROUP BY 1, 2), cn AS (SELECT chunk_id, sqrt(sum(x * x)) AS norm FROM cv GROUP BY 1),
+qv AS (SELECT query_id, CAST(concat('0x', substr(md5(term), 1, 4)) AS INT) % 64 AS j, sum(qtf * CASE WHEN CAST(concat('0x', substr(md5(term), 5, 1)) AS INT) % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS y FROM q1 GROUP BY 1, 2), qn AS (SELECT query_id, sqrt(sum(y * y)) AS norm FROM qv GROUP BY 1),
+sv AS (SELECT query_id, chunk_id, sum(x * y) AS dot FROM qv JOIN cv USING (j) GROUP BY 1, 2), cs AS (SELECT query_id, chunk_id, round(dot / nullif(qn.norm * cn.norm, 0), 9) AS score FROM sv JOIN qn USING (query_id) JOIN cn USING (chunk_id)),
+r2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM cs WHERE score > 0),
+m AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, round((coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0)) / (2.0::DOUBLE / 61), 9) AS score FROM (SELECT * FROM r1 WHERE rank <= 50) a FULL JOIN (SELECT * FROM r2 WHERE rank <= 50) b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id),
+d AS (SELECT m.*, c.doc_id, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, chunk_id) AS k FROM m JOIN c USING (chunk_id)),
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM d WHERE k <= 2)
+SELECT query_id, chunk_id, doc_id, rank, score FROM f WHERE rank <= 8""",
     "doc_vectors": _vec("TRUE"),
     "doc_vectors_filtered": _vec("label % 2 = 0"),
     "doc_hybrid": f"""WITH {_CH}, {_TOK}, {_POST}, {_bm('1', 'question')}, {_bm('2', 'substr(question, 1, length(question) // 2)')},

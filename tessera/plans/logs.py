@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import mentioned_periods, mentioned_words
 from tessera.operators import runlog as rl
+from tessera.operators import requests as req
 from tessera.operators.financial import METRICS
 from tessera.session import table
 from tessera.streaming import windows as win
@@ -89,6 +90,57 @@ def log_requests(spark: SparkSession, sf: str) -> DataFrame:
     return q.select("case_id", F.array_join(F.array_sort(days), ",").alias("periods"), F.array_join(mentioned_words(F.col("question"), words), ",").alias("metrics"))
 
 
+def _questions(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions of cases, with the company they are about, and of held-out items, without one."""
+    cases = _cases(spark, sf).select(F.concat(F.lit("case-"), "case_id").alias("id"), "question", F.array_compact(F.array(F.get_json_object("annotation_json", "$.company_id"))).alias("entities"))
+    held = table(spark, sf, "heldout_items").select(F.concat(F.lit("item-"), F.col("item_id").cast("string")).alias("id"), "question", F.array().cast("array<string>").alias("entities"))
+    return cases.unionByName(held)
+
+
+def log_tasks(spark: SparkSession, sf: str) -> DataFrame:
+    """What kind of task each question is and what it names."""
+    r = req.read_questions(_questions(spark, sf), entities="entities")
+    joined = {c: F.array_join(c, ",") for c in ("metrics", "people", "institutions", "document_types", "event_types", "topics", "claim_types")}
+    return r.select("id", "family", "comparison", *[v.alias(k) for k, v in joined.items()])
+
+
+def log_answerable(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each question can be answered, what it lacks, the operation that answers it directly, and those tried else."""
+    return req.read_questions(_questions(spark, sf), entities="entities").select("id", "status", "missing", "direct", "steps")
+
+
+def log_review(spark: SparkSession, sf: str) -> DataFrame:
+    """Per batch whether its runs brought evidence: a case that has a run counts as evidence, one with an error as failed."""
+    c = _cases(spark, sf).select("batch_id", F.col("error_message").isNull().alias("succeeded"), F.when(F.col("run_id").isNotNull(), 1).otherwise(0).alias("n_evidence"))
+    return req.review_evidence(c, ["batch_id"])
+
+
+def _any(words) -> str:
+    return "(" + " OR ".join(f"contains(q, '{w}')" for w in words) + ")"
+
+
+def _labels(rules) -> str:
+    return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_any(w)} THEN '{k}' END" for k, w in rules) + "], lambda x: x IS NOT NULL), ',')"
+
+
+def _read_sql() -> str:
+    """Parts, flags and decisions of ``requests.read_questions`` in SQL, as the table ``t``."""
+    holders = "list_concat(list_filter(list_transform(regexp_extract_all(q, '{}', 1), lambda x: trim(x, '的 了')), lambda x: length(x) BETWEEN 2 AND 30), list_filter(regexp_extract_all(q, '{}', 1), lambda x: x NOT IN ('公司持有', '股东持')))".format(*req.HOLDER_PATTERNS)
+    # in order of their first place
+    people = "list_filter(hs, lambda x, i: list_position(hs, x) = i)"
+    n = lambda c: f"CASE WHEN {c} = '' THEN 0 ELSE len(string_split({c}, ',')) END"
+    end = lambda pattern, tail: f"list_transform(regexp_extract_all(q, '(?:^|\\D)(\\d{{4}})年?(?:{pattern})', 1), lambda x: x || '{tail}')"
+    periods = "list_concat(regexp_extract_all(q, '(?:^|\\D)(\\d{4}-\\d{2}-\\d{2})', 1), list_transform(regexp_extract_all(q, '(?:^|\\D)(\\d{4}年\\d{1,2}月\\d{1,2}日)', 1), lambda x: strftime(strptime(x, '%Y年%m月%d日'), '%Y-%m-%d')), " + ", ".join(end(*k) for k in (("年报|年度报告|年度", "-12-31"), ("半年报|半年度|中报", "-06-30"), ("一季报|第一季度", "-03-31"), ("三季报|前三季度", "-09-30"))) + ")"
+    lists = {"metrics": req.METRIC_WORDS, "document_types": req.DOCUMENT_WORDS, "event_types": req.EVENT_WORDS, "topics": req.TOPIC_WORDS, "claim_types": req.CLAIM_WORDS}
+    return f"""WITH {_C}, q0 AS (SELECT 'case-' || case_id AS id, coalesce(question, '') AS q, CASE WHEN json_extract_string(annotation_json, '$.company_id') IS NULL THEN 0 ELSE 1 END AS n_entities FROM c
+UNION ALL SELECT 'item-' || item_id, coalesce(question, ''), 0 FROM heldout_items),
+q1 AS (SELECT *, {holders} AS hs, regexp_extract_all(q, '{req.INSTITUTION_PATTERN}', 1) AS ins, len(list_distinct({periods})) AS n_periods, {", ".join(f"{_labels(r)} AS {k}" for k, r in lists.items())}, {", ".join(f"{_any(w)} AS {k}" for k, w in req.FLAGS.items())} FROM q0),
+q2 AS (SELECT *, array_to_string({people}, ',') AS people, array_to_string({people.replace("hs", "ins")}, ',') AS institutions FROM q1),
+q3 AS (SELECT *, {n("metrics")} AS n_metrics, {n("people")} AS n_people FROM q2),
+q4 AS (SELECT *, {req.case_sql(req.FAMILIES, "'unknown'")} AS family FROM q3),
+t AS (SELECT *, {req.case_sql(req.COMPARISON, "'ambiguous'")} AS comparison, {req.list_sql(req.MISSING)} AS missing, {req.list_sql(req.STEPS)} AS steps FROM q4)"""
+
+
 def st_tumbling(spark: SparkSession, sf: str) -> DataFrame:
     return win.tumbling(table(spark, sf, "events"), "1 hour", ["event_type"])
 
@@ -130,6 +182,11 @@ SELECT *, CASE WHEN n_completed = n_cases THEN 'completed' WHEN n_pending + n_ru
   list_transform(regexp_extract_all(question, '(?:^|\D)(\d{{4}})年?(?:年报|年度报告|年度)', 1), lambda x: x || '-12-31'), list_transform(regexp_extract_all(question, '(?:^|\D)(\d{{4}})年?(?:半年报|半年度|中报)', 1), lambda x: x || '-06-30'),
   list_transform(regexp_extract_all(question, '(?:^|\D)(\d{{4}})年?(?:一季报|第一季度)', 1), lambda x: x || '-03-31'), list_transform(regexp_extract_all(question, '(?:^|\D)(\d{{4}})年?(?:三季报|前三季度)', 1), lambda x: x || '-09-30')) AS d FROM c)
 SELECT case_id, array_to_string(list_sort(list_distinct(d)), ',') AS periods, array_to_string(list_sort(list_distinct(list_filter([{_strip_words()[0]}], lambda x: x IS NOT NULL))), ',') AS metrics FROM p""",
+    "log_tasks": _read_sql() + " SELECT id, family, comparison, metrics, people, institutions, document_types, event_types, topics, claim_types FROM t",
+    "log_answerable": _read_sql()
+    + f" SELECT id, {req.case_sql(req.STATUS, "'routeable'")} AS status, missing, CASE WHEN {req.INVESTIGATION} OR realtime OR (n_entities > 1 AND family IN ('document_retrieval', 'event_query', 'ownership_snapshot')) THEN NULL ELSE {req.case_sql(req.DIRECT)} END AS direct, steps FROM t",
+    "log_review": f"""WITH {_C}, a AS (SELECT batch_id, count(*) AS n_calls, count(*) FILTER (error_message IS NOT NULL) AS n_failed, count(*) FILTER (error_message IS NULL AND run_id IS NULL) AS n_empty, count(*) FILTER (error_message IS NULL AND run_id IS NOT NULL) AS n_covered FROM c GROUP BY 1)
+SELECT *, CASE WHEN n_covered = 0 THEN 'insufficient' WHEN n_failed + n_empty = 0 THEN 'sufficient' ELSE 'partial' END AS review, CASE WHEN n_covered = 0 THEN 'insufficient_evidence' WHEN n_failed + n_empty = 0 THEN 'answered' ELSE 'partially_answered' END AS answer_status FROM a""",
     "st_tumbling": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(38,6))) AS DOUBLE) AS total FROM events GROUP BY 1, 2",
     "st_sliding": "SELECT time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR * k AS window_start, event_type, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS k) GROUP BY 1, 2",
     "st_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),

@@ -257,3 +257,36 @@ def test_log_helpers(spark):
     assert not rl.turns_contiguous(t, "s", "t").first().contiguous
     with pytest.raises(ValueError):
         rl.page(t, [F.col("t")], 0)
+
+
+def test_stored_index_answers_like_a_scan(spark, tmp_path):
+    rnd = random.Random(8)
+    text = lambda: " ".join(rnd.choice(["alpha", "beta", "gamma", "营业收入", "存货"]) for _ in range(rnd.randrange(1, 9)))
+    c = spark.createDataFrame([(f"c{i:02d}", text()) for i in range(50)] + [("n", None), ("e", "")], "chunk_id string, text string")
+    q = spark.createDataFrame([(1, "alpha 营业收入"), (2, "beta beta"), (3, "nothing here"), (4, None)], "query_id long, query string")
+    ret.write_index(c, str(tmp_path / "i"), buckets=4)
+    rows = lambda df: sorted((r.query_id, r["rank"], r.chunk_id, r.score) for r in df.collect())
+    assert rows(ret.search_index(spark, str(tmp_path / "i"), q, 6)) == rows(ret.bm25_top(c, q, 6))
+    ret.write_index(c.where("false"), str(tmp_path / "empty"))
+    assert ret.search_index(spark, str(tmp_path / "empty"), q, 3).count() == 0
+
+
+def test_running_best_keeps_what_one_sort_would():
+    import numpy as np
+
+    rnd = np.random.default_rng(2)
+    best, hits = ret.Best(3, 4), []
+    best.most = 20
+    for _ in range(30):
+        q, s, i = rnd.integers(0, 4, 15), rnd.integers(0, 9, 15).astype(float), rnd.permutation(10_000)[:15]
+        best.add(q, s, i)
+        hits += zip(q.tolist(), (-s).tolist(), i.tolist(), strict=True)
+    q, s, i = best.rows()
+    assert sorted(zip(q.tolist(), (-s).tolist(), i.tolist(), strict=True)) == sorted(x for k in range(4) for x in sorted(h for h in hits if h[0] == k)[:3])
+
+
+def test_written_tables_are_deleted(spark):
+    from tessera.session import delete_written, materialize
+
+    materialize(spark.range(3))
+    assert delete_written(spark) >= 1 and delete_written(spark) == 0
