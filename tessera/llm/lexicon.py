@@ -112,8 +112,8 @@ def _forms(names: DataFrame, lexicon: Lexicon) -> tuple[set, set]:
     two = names.select(F.col(names.columns[0]).cast("string").alias("id"), F.col(names.columns[1]).alias("name")).distinct()
     parts = two.mapInArrow(run, "id string, kind string, brand string, word string").distinct()
     full = parts.where("kind = 'full'").select("id", "brand", F.col("word").alias("industry"))
-    met = parts.where("kind <> 'full'").join(full, ["id", "brand"]).groupBy("kind", "word", "industry").agg(F.count_distinct("id").alias("n"))
+    met = parts.where("kind <> 'full'").join(full, ["id", "brand"]).where("word <> industry").groupBy("kind", "word", "industry").agg(F.count_distinct("id").alias("n"))
     share = F.col("n") / F.sum("n").over(Window.partitionBy("kind", "word"))
     found = met.withColumn("share", share).where((F.col("n") >= LEAST_FORMS) & (F.col("share") > 0.5)).collect()
-    keep = [r for r in found if not any(w in r.word for w in (*_STOP, *_GENERAL, *lexicon.industries))]
+    keep = [r for r in found if not any(w in r.word for w in (*_STOP, *_GENERAL, *(lexicon.industries - {r.word})))]
     return {(r.word, r.industry) for r in keep if r.kind == "short"}, {(r.word, r.industry) for r in keep if r.kind == "english"}

@@ -363,12 +363,15 @@ def keyword_error(x, y) -> bool:
     """One error in the word for what a company does (or beside it): the names differ by one edit, and one is read to
     have another industry and, unless the brands are equal, a long brand that has swallowed the word. Takes parsed names or rows of their parts."""
     get = (lambda o, k: o[k]) if isinstance(x, dict) else getattr
-    if not {get(x, "kind"), get(y, "kind")} <= {"short", "core"} or not (get(x, "han") and get(y, "han")):
+    x, y = sorted((x, y), key=lambda o: len(get(o, "brand")))
+    open_ = ("short", "core")
+    if get(y, "kind") not in open_ or not (get(x, "han") and get(y, "han")):
         return False
-    a, b = sorted((get(x, "brand"), get(y, "brand")), key=len)
-    if get(x, "industry") == get(y, "industry") or (a != b and len(b) <= 4):
-        return False
-    return len(get(x, "plain")) > 6 and one_edit(get(x, "plain"), get(y, "plain"))
+    if get(x, "brand") == get(y, "brand"):
+        swallowed = get(x, "kind") in open_ and get(x, "industry") != get(y, "industry")
+    else:
+        swallowed = len(get(y, "brand")) > 4 and (get(x, "kind") not in open_ or get(x, "industry") != get(y, "industry"))
+    return swallowed and len(get(y, "plain")) > 6 and one_edit(get(x, "plain"), get(y, "plain"))
 
 
 def person_key(p: Person | None) -> str:
