@@ -18,6 +18,7 @@ the one with the greater attributes wins; empty input gives an empty history.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,7 +52,9 @@ def scd2_history(records: DataFrame, *, group: str, key: str, snapshot: str, ann
     rows = rows.join(calendar, [group, snapshot]).withColumn("__hash", attribute_hash(attrs))
     by_key = Window.partitionBy(group, key).orderBy(snapshot)
     current, seen = F.lag("__hash").over(by_key), F.lag(snapshot).over(by_key)
-    unchanged = F.coalesce((seen == F.col("__before")) & (current == F.col("__hash")), F.lit(False))
+    # equal hashes are only likely to mean equal attributes
+    equal = F.lag(F.struct(*attrs)).over(by_key).eqNullSafe(F.struct(*attrs))
+    unchanged = F.coalesce((seen == F.col("__before")) & (current == F.col("__hash")) & equal, F.lit(False))
     opened = rows.withColumn("__opens", ~unchanged).withColumn("__version", F.sum(F.col("__opens").cast("int")).over(by_key))
     return (
         opened.groupBy(group, key, "__version")
@@ -78,7 +81,8 @@ def scd2_merge(dimension: DataFrame, batch: DataFrame, *, keys: Sequence[str], a
     fresh = fresh.withColumn("__new", attribute_hash([f"__n_{a}" for a in attrs]))
     both = current.withColumn("__old", attribute_hash(attrs)).withColumn("__had", F.lit(True)).join(fresh, keys, "full_outer")
     had, came = F.col("__had").isNotNull(), F.col("__in").isNotNull()
-    same = had & came & (F.col("__old") == F.col("__new"))
+    equal = reduce(lambda x, y: x & y, [F.col(a).eqNullSafe(F.col(f"__n_{a}")) for a in attrs], F.lit(True))  # hashes may collide
+    same = had & came & (F.col("__old") == F.col("__new")) & equal
     ends = had & ~F.coalesce(same, F.lit(False)) & (came | F.lit(full_snapshot))
     begins = came & ~F.coalesce(same, F.lit(False))
     old = F.when(had, F.struct(*[F.col(a).alias(a) for a in attrs], F.col(valid_from).alias(valid_from), F.when(ends, day).otherwise(F.col(valid_to)).alias(valid_to)))

@@ -152,6 +152,10 @@ _KEY = r"CASE WHEN regexp_matches(upper(trim(term)), '^6\d{5}$') THEN upper(trim
 _LABELS = "|".join(SECTION_LABELS)
 
 
+def _grams(c: str) -> str:
+    return f"list_distinct(list_transform(generate_series(1, greatest(length({c}) - 1, 1)), lambda i: substr({c}, i, 2)))"
+
+
 def _one(kind: str, topic: str, stance: str, said: str, span: str, method: str, confidence: str, n: int) -> str:
     return f"SELECT doc_id, {n} AS n, '{kind}' AS claim_type, {topic} AS topic, {stance} AS stance, {said} AS said, {span} AS span, '{method}' AS extraction_method, {confidence}::DOUBLE AS confidence FROM f"
 
@@ -177,6 +181,12 @@ SELECT DISTINCT ON (doc_id, claim_type, key) doc_id, claim_type, topic, stance,
 FROM (SELECT *, substr(said, 1, 500) AS claim_text, substr(span, 1, 1500) AS source_span, regexp_replace(substr(said, 1, 500), '\\s+', '', 'g') AS key FROM c WHERE said IS NOT NULL AND span IS NOT NULL) ORDER BY doc_id, claim_type, key, n"""
 
 SQL = {
+    "res_located": f"""WITH {_C}, n AS (SELECT claim_id, CAST(nullif(regexp_extract(source_document_id, '(\\d+)$', 1), '') AS BIGINT) AS doc_id, source_span, regexp_replace(coalesce(source_span, ''), '\\s+', '', 'g') AS needle FROM c),
+k AS (SELECT DISTINCT ON (chunk_id) doc_id, chunk_id, text, regexp_replace(coalesce(text, ''), '\\s+', '', 'g') AS hay FROM chunks),
+j AS (SELECT claim_id, chunk_id, contains(text, source_span) OR contains(hay, needle) AS inside, {_grams("needle")} AS a, {_grams("hay")} AS b FROM n JOIN k USING (doc_id) WHERE needle <> ''),
+s AS (SELECT claim_id, chunk_id, CASE WHEN inside THEN 2.0 ELSE round(len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))), 9) END AS score FROM j),
+r AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, chunk_id) AS rn FROM s WHERE score >= {res.MIN_OVERLAP})
+SELECT claim_id, chunk_id, score = 2.0 AS contained FROM r WHERE rn = 1""",
     "res_extracted": _EXTRACTED,
     "res_claims": f"WITH {_C} SELECT claim_id, c.company_id, institution, publish_date, title FROM c LEFT JOIN documents d ON d.document_id = c.source_document_id WHERE publish_date BETWEEN DATE '2021-01-01' AND DATE '2022-12-31' AND claim_type IN ('risk_opinion', 'earnings_forecast') AND (contains(topic, '需求') OR contains(topic, '价格') OR contains(claim_text, '需求') OR contains(claim_text, '价格'))",
     "res_latest": f"WITH {_C} SELECT claim_id, publish_date FROM c ORDER BY publish_date DESC, claim_id LIMIT 50",
@@ -197,4 +207,4 @@ SELECT company_id, CASE WHEN regexp_matches(company_id, '^(6\d{5}\.SH|[03]\d{5}\
 g AS (SELECT term, count(DISTINCT company_id) AS n, min(company_id) AS id FROM t JOIN al ON alias = {_KEY} GROUP BY 1)
 SELECT term, CASE WHEN n = 1 THEN id END AS company_id, CASE WHEN n IS NULL THEN 'not_found' WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS status FROM t LEFT JOIN g USING (term)""",
 }
-QUERIES = {k: globals()[k] for k in [*SQL, "res_located", "ent_audit", "ent_mentions"]}
+QUERIES = {k: globals()[k] for k in [*SQL, "ent_audit", "ent_mentions"]}
