@@ -30,7 +30,7 @@ CAPACITY = 2048
 SHARD_DOCS = 20_000
 
 
-def load_tiktoken(path: str):
+def load_tiktoken(path: str, pattern: str | None = None):
     """An encoder from a rank file of lines ``base64-token rank``."""
     import base64
 
@@ -38,25 +38,24 @@ def load_tiktoken(path: str):
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    return tiktoken.Encoding("file", pat_str=_split_pattern(path), mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("file", pat_str=pattern or split_pattern(), mergeable_ranks=ranks, special_tokens={})
 
 
-def _split_pattern(path: str) -> str:
-    """The pre-tokenization pattern the vocabularies' module gives; the usual byte-level one where there is none."""
-    try:
-        import public_tokenizers
+def split_pattern() -> str:
+    """The pre-tokenization pattern the vocabularies' module gives. It is read on the driver and sent along, so that all
+    executors count alike; where the module is missing, a pattern has to be given."""
+    import public_tokenizers
 
-        return public_tokenizers.PATTERN
-    except (ImportError, AttributeError):
-        return r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    return public_tokenizers.PATTERN
 
 
-def token_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
+def token_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = DEFAULT_TOKENIZER, pattern: str | None = None) -> DataFrame:
     """(id, n_tokens) of every document, null text as 0."""
+    pattern = pattern or split_pattern()
     kind = docs.schema[id_col].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = load_tiktoken(tokenizer)
+        enc = load_tiktoken(tokenizer, pattern)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(enc.encode_ordinary(t)) for t in texts], pa.int64())], [id_col, "n_tokens"])
@@ -116,11 +115,11 @@ class SumOfSquares:
 _SCHEMA = "container_id string, position int, {id} {kind}, piece int, token_start bigint, n_tokens bigint, fill_before int"
 
 
-def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = DEFAULT_TOKENIZER, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS) -> DataFrame:
+def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = DEFAULT_TOKENIZER, pattern: str | None = None, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """(container_id, position, id, piece, token_start, n_tokens, fill_before): one row per piece of a document."""
     shards = max(1, -(-docs.count() // shard_docs))
     kind = docs.schema[id_col].dataType.simpleString()
-    sizes = token_counts(docs, id_col=id_col, text_col=text_col, tokenizer=tokenizer)
+    sizes = token_counts(docs, id_col=id_col, text_col=text_col, tokenizer=tokenizer, pattern=pattern)
     # rows without an id are dealt by their place, so that they don't meet in one shard
     place = F.when(F.col(id_col).isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64(F.col(id_col)))
     dealt = sizes.withColumn("shard", F.pmod(place, F.lit(shards)).cast("int"))
