@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import CJK, clean_tags, clean_text
+from tessera.session import materialize, parallelism
 
 MIN_TEXT = 50
 
@@ -64,3 +65,47 @@ def filename_metadata(path: Column) -> Column:
     day = F.try_to_date(F.try_element_at(parts, F.lit(2)), "yyyy-MM-dd")
     company = F.when(F.size(parts) >= 2, parts[0]).otherwise(F.nullif(parent, F.lit("")))
     return F.struct(company.alias("company_id"), F.coalesce(day, F.lit("1970-01-01").cast("date")).alias("published_date"), F.coalesce(F.try_element_at(parts, F.lit(3)), F.lit("unknown")).alias("document_type"))
+
+
+# --- the stored corpus --------------------------------------------------------------------------------------------
+
+def dense_index(rows: DataFrame, key: str, out: str = "vector_row") -> DataFrame:
+    """``rows`` numbered from 0 without gaps in the order of a unique key.
+
+    Rows are split into ranges of the key and written; the ranges' sizes (as many rows as there are partitions) give each
+    range its first number, so no task numbers all rows. Rows with a null key come first, equal keys in any order.
+    """
+    ranged = materialize(rows.repartitionByRange(parallelism(rows.sparkSession), key).withColumn("__p", F.spark_partition_id()))
+    sizes = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    first = sizes.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__first"))
+    within = F.row_number().over(Window.partitionBy("__p").orderBy(F.col(key).asc_nulls_first()))
+    return ranged.join(F.broadcast(first), "__p").withColumn(out, F.col("__first") + within - 1).drop("__p", "__first")
+
+
+def corpus_store(chunks: DataFrame, documents: DataFrame, *, doc_col: str = "doc_id") -> DataFrame:
+    """Chunks with what is known of their documents and a dense ``vector_row`` by chunk_id. Repeated chunks count once; those
+    without a document are left out; columns that both sides have are the chunk's."""
+    once = chunks.where("chunk_id IS NOT NULL").dropDuplicates(["chunk_id"])
+    extra = [c for c in documents.columns if c == doc_col or c not in chunks.columns]
+    return dense_index(once.join(documents.select(*extra).dropDuplicates([doc_col]), doc_col), "chunk_id")
+
+
+def check_store(store: DataFrame) -> DataFrame:
+    """One row: chunks, distinct vector rows, the greatest one, and whether they are the numbers from 0 on."""
+    a = store.agg(F.count(F.lit(1)).alias("n_chunks"), F.count_distinct("vector_row").alias("n_rows"), F.max("vector_row").alias("last_row"))
+    return a.withColumn("dense", (F.col("n_chunks") == F.col("n_rows")) & (F.coalesce("last_row", F.lit(-1)) == F.col("n_chunks") - 1))
+
+
+def index_coverage(wanted: DataFrame, indexed: DataFrame, key: str) -> DataFrame:
+    """One row: keys wanted, keys of them that the index has, those it lacks, the share, and a warning where some lack."""
+    both = wanted.select(key).where(F.col(key).isNotNull()).distinct().join(indexed.select(key, F.lit(1).alias("__in")).distinct(), key, "left")
+    a = both.agg(F.count(F.lit(1)).alias("n_wanted"), F.count("__in").alias("n_indexed"))
+    a = a.withColumn("n_missing", F.col("n_wanted") - F.col("n_indexed")).withColumn("coverage", F.when(F.col("n_wanted") > 0, F.round(F.col("n_indexed") / F.col("n_wanted"), 6)))
+    return a.withColumn("warning", F.when(F.col("n_missing") > 0, F.concat(F.col("n_missing").cast("string"), F.lit(" of "), F.col("n_wanted").cast("string"), F.lit(" are not in the index"))))
+
+
+def check_embedding(manifest: dict, *, model: str, dimension: int, mode: str | None = None) -> None:
+    """Refuse queries whose embedding isn't the index's; what the manifest doesn't state isn't checked."""
+    for name, stated, given in (("model", manifest.get("model"), model), ("dimension", manifest.get("dimension"), dimension), ("api_mode", manifest.get("api_mode"), mode)):
+        if stated and given and str(stated) != str(given):
+            raise ValueError(f"embedding {name} {given!r} isn't the index's {stated!r}")

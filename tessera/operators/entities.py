@@ -28,6 +28,25 @@ def company_universe(*sources: tuple[DataFrame, str, str, str | None, str | None
     return out.groupBy("company_id").agg(F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources"), F.count_distinct("name").alias("n_names"), F.min("lo").alias("first_date"), F.max("hi").alias("last_date")).select("company_id", classify_company_code(F.col("company_id")).alias("code_class"), "sources", "n_names", "first_date", "last_date")
 
 
+def merge_profiles(companies: DataFrame, profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(companies with name and resolution_status, aliases of the profiles).
+
+    companies: company_id, names array<string>. profiles: company_id, fetch_status, fetched_at, legal_name, security_name,
+    former_names array<string>, source. Of a company the profile fetched successfully last counts; its legal name stands
+    before the least other name, then the code. Blank names say nothing; profiles of other codes are left out.
+    """
+    given = lambda c: F.nullif(F.trim(c), F.lit(""))
+    good = profiles.where("fetch_status = 'success'").withColumn("company_id", canonical_company_id(F.col("company_id"))).where("company_id IS NOT NULL")
+    fields = ("fetched_at", "legal_name", "security_name", "former_names", "source")
+    last = good.groupBy("company_id").agg(F.max_by(F.struct(*fields), F.struct(F.col("fetched_at"), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in fields[1:]])).alias("p"))
+    j = companies.join(last, "company_id", "left")
+    legal, least = given(F.col("p.legal_name")), F.array_min("names")
+    named = j.select("company_id", F.coalesce(legal, least, F.col("company_id")).alias("name"), F.when(legal.isNotNull(), "profiled").when(least.isNotNull(), "named").otherwise("code_only").alias("resolution_status"))
+    every = F.concat(F.array(F.struct(F.col("p.legal_name").alias("alias"), F.lit("LEGAL_NAME").alias("alias_type")), F.struct(F.col("p.security_name").alias("alias"), F.lit("SECURITY_NAME").alias("alias_type"))), F.transform(F.coalesce(F.col("p.former_names"), F.array().cast("array<string>")), lambda x: F.struct(x.alias("alias"), F.lit("FORMER_SECURITY_NAME").alias("alias_type"))))
+    aliases = j.where("p IS NOT NULL").select("company_id", F.col("p.source").alias("source"), F.explode(every).alias("a")).select("company_id", given(F.col("a.alias")).alias("alias"), F.col("a.alias_type").alias("alias_type"), "source")
+    return named, aliases.where("alias IS NOT NULL").distinct()
+
+
 def alias_index(companies: DataFrame, aliases: DataFrame, titles: DataFrame) -> DataFrame:
     """(alias, company_id, source): normalized aliases of companies (company_id, canonical_name), stated aliases (entity_id,
     alias, source) and prefixes of titles (company_id, title); the first source by order counts."""

@@ -94,6 +94,17 @@ def doc_vectors_filtered(spark: SparkSession, sf: str) -> DataFrame:
     return ret.vector_scores(v.where("label % 2 = 0"), q, 10).select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
+def doc_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks with their documents' attributes and a dense number."""
+    d = table(spark, sf, "documents").select("doc_id", "document_type", "company_id", "title", "published_date", "publisher")
+    return doc.corpus_store(_chunks(spark, sf), d).select("chunk_id", "doc_id", "document_type", "company_id", "title", "published_date", "publisher", "section_title", "vector_row")
+
+
+def doc_index_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """How many documents have chunks."""
+    return doc.index_coverage(table(spark, sf, "documents"), table(spark, sf, "chunks"), "doc_id")
+
+
 def doc_bm25_index(spark: SparkSession, sf: str) -> DataFrame:
     """The same answers as ``doc_bm25`` from an index that is stored first."""
     path = scratch_path(spark)
@@ -168,6 +179,9 @@ SELECT *, CAST(ceil(round(n_cjk * 0.6 + n_latin * 0.2 + (n_chars - n_cjk - n_lat
     "doc_term_stats": f"WITH {_CH}, {_TOK}, post AS (SELECT chunk_id, term, count(*) AS tf FROM tok GROUP BY 1, 2) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM post GROUP BY 1",
     "doc_tokens": f"SELECT doc_id, array_to_string(flatten(list_transform({_RUNS.format('coalesce(title, $$$$)')}, lambda run: {_GRAMS})), ' ') AS tokens FROM documents",
     "doc_bm25": f"WITH {_CH}, {_TOK}, {_POST}, {_bm('1', 'question')} SELECT query_id, chunk_id, rank, CASE WHEN best <> 0 THEN round(score / best, 6) ELSE 0 END AS score FROM r1 WHERE rank <= 8",
+    "doc_store": f"WITH {_CH} SELECT chunk_id, doc_id, document_type, company_id, title, published_date, publisher, section_title, row_number() OVER (ORDER BY chunk_id) - 1 AS vector_row FROM c JOIN documents d USING (doc_id) WHERE chunk_id IS NOT NULL",
+    "doc_index_coverage": """WITH b AS (SELECT doc_id, doc_id IN (SELECT doc_id FROM chunks WHERE doc_id IS NOT NULL) AS has FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)), a AS (SELECT count(*) AS n_wanted, count(*) FILTER (has) AS n_indexed FROM b)
+SELECT *, n_wanted - n_indexed AS n_missing, round(n_indexed / n_wanted, 6) AS coverage, CASE WHEN n_wanted > n_indexed THEN (n_wanted - n_indexed) || ' of ' || n_wanted || ' are not in the index' END AS warning FROM a""",
     "doc_bm25_index": f"WITH {_CH}, {_TOK}, {_POST}, {_bm('1', 'question')} SELECT query_id, chunk_id, rank, CASE WHEN best <> 0 THEN round(score / best, 6) ELSE 0 END AS score FROM r1 WHERE rank <= 8",
     "doc_hybrid_vectors": f"""WITH {_CH}, {_TOK}, {_POST}, {_bm('1', 'question')},
 hx AS (SELECT chunk_id, term, CAST(concat('0x', substr(md5(term), 1, 4)) AS INT) % 64 AS j, CASE WHEN CAST(concat('0x', substr(md5(term), 5, 1)) AS INT) % 2 = 0 THEN 1 ELSE -1 END AS sign, tf FROM post),

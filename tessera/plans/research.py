@@ -103,7 +103,7 @@ def ent_resolved(spark: SparkSession, sf: str) -> DataFrame:
 def ent_mentions(spark: SparkSession, sf: str) -> DataFrame:
     """Names of listed companies in questions."""
     q = table(spark, sf, "evaluation_cases").select("case_id", "question").distinct()
-    names = _alias_index(spark, sf).where("source <> 'title'").select("alias")
+    names = _alias_index(spark, sf).select("alias")
     return ent.names_in_texts(q, names, id_col="case_id", text_col="question")
 
 

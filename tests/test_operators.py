@@ -290,3 +290,30 @@ def test_written_tables_are_deleted(spark):
 
     materialize(spark.range(3))
     assert delete_written(spark) >= 1 and delete_written(spark) == 0
+
+
+def test_store_is_numbered_without_gaps(spark):
+    from tessera.operators import documents as docs
+
+    c = spark.createDataFrame([(f"c{i % 40:02d}", i % 7, "t") for i in range(80)] + [(None, 1, "t"), ("z", 99, "t")], "chunk_id string, doc_id long, text string")
+    d = spark.createDataFrame([(i, f"title {i}", "other") for i in range(7)] * 2, "doc_id long, title string, text string")
+    store = docs.corpus_store(c, d)
+    rows = store.orderBy("vector_row").collect()
+    assert [r.vector_row for r in rows] == list(range(40)) and [r.chunk_id for r in rows] == [f"c{i:02d}" for i in range(40)] and rows[0].text == "t"
+    assert docs.check_store(store).first().dense and docs.check_store(store.where("false")).first().dense
+    assert tuple(docs.index_coverage(d, c, "doc_id").first()) == (7, 7, 0, 1.0, None)
+    assert docs.index_coverage(d, c.where("doc_id < 2"), "doc_id").first().warning == "5 of 7 are not in the index"
+    docs.check_embedding({"model": "m", "dimension": 4}, model="m", dimension=4, mode="x")
+    with pytest.raises(ValueError):
+        docs.check_embedding({"dimension": 4}, model="m", dimension=8)
+
+
+def test_profiles_are_merged_by_the_last_success(spark):
+    from tessera.operators import entities
+
+    c = spark.createDataFrame([("600000.SH", ["b", "a"]), ("000001.SZ", []), ("430001.BJ", ["x"])], "company_id string, names array<string>")
+    rows = [("600000.SH", "success", 1, "Old", "S", None, "p"), ("600000.SH", "success", 2, "Legal", " ", ["F1", ""], "p"), ("600000.SH", "failed", 3, "Bad", None, None, "p"), ("999999.SH", "success", 1, "N", None, None, "p")]
+    p = spark.createDataFrame(rows, "company_id string, fetch_status string, fetched_at int, legal_name string, security_name string, former_names array<string>, source string")
+    named, aliases = entities.merge_profiles(c, p)
+    assert {r.company_id: (r.name, r.resolution_status) for r in named.collect()} == {"600000.SH": ("Legal", "profiled"), "000001.SZ": ("000001.SZ", "code_only"), "430001.BJ": ("x", "named")}
+    assert {(r.alias, r.alias_type) for r in aliases.collect()} == {("Legal", "LEGAL_NAME"), ("F1", "FORMER_SECURITY_NAME")}
