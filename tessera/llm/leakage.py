@@ -3,8 +3,10 @@
 Held-out items are cut into units: the question and each full sentence of the passage (one shorter than a window goes with
 the next one). Windows of ``GRAM`` normalised characters of the units form a hash set that every task gets; the corpus is
 scanned once, window by window. A window that stands in the set proposes a place; proposals are verified by edit distance
-over the whole unit, and by every stretch of ``RUN`` characters of the passage where no full sentence fits. What passes is
-one row per leaked stretch, with its place in the original text, so that spans or whole documents can be removed.
+over the whole unit, and by every stretch of ``RUN`` characters of the passage that doesn't stand within units found. What
+passes is reported at every place of a text, with its place in the original text, so that spans or whole documents can be
+removed: a unit wherever it stands (equally good ones on end are one row), and as many stretches of a passage as cover all
+of it that stands in the text.
 
 Which windows are in the set. A unit that may have e edits is cut into e + 1 parts: one of them is untouched in any match, so
 the rarest window of each part is enough, however many units share the others. A stretch of 40 (60) characters with fewer
@@ -194,10 +196,10 @@ def edit_distances(patterns: np.ndarray, regions: np.ndarray, most: int, anchore
     return prev[end, np.arange(n)], end
 
 
-def _regions(folded: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
-    """Stretches of a fixed width; what lies outside the array is 0xFFFFFFFF, which no pattern has."""
+def _regions(folded: np.ndarray, starts: np.ndarray, width: int, least: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Stretches of a fixed width; what lies outside of ``least`` to ``stop`` is 0xFFFFFFFF, which no pattern has."""
     at = starts[:, None] + np.arange(width)
-    inside = (at >= 0) & (at < len(folded))
+    inside = (at >= least[:, None]) & (at < stop[:, None])
     return np.where(inside, folded[np.clip(at, 0, max(0, len(folded) - 1))], np.uint32(0xFFFFFFFF))
 
 
@@ -217,14 +219,80 @@ def _digit_edits(a: np.ndarray, b: np.ndarray) -> int:
     return row[-1]
 
 
+def _places(spots: set[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """The places of a unit among (edits, digits among them, start, end): what mostly stands within one of fewer edits is the
+    same place, equally good ones on end are one."""
+    if len(spots) == 1:
+        return list(spots)
+    out: list[tuple[int, int, int, int]] = []
+    by: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
+    for x in spots:
+        by[x[0]].append(x)
+    for dist in sorted(by):
+        starts, ends = _union([x[2:] for x in out])
+        joined: dict[int, tuple[int, int, int, int]] = {}  # the last one of each number of digits
+        for x in sorted(by[dist], key=lambda x: x[2:]):
+            lo, hi = x[2:]
+            if len(starts):
+                a, b = max(0, int(np.searchsorted(ends, lo, "right"))), int(np.searchsorted(starts, hi))
+                if 2 * max((min(hi, ends[j]) - max(lo, starts[j]) for j in range(a, b)), default=0) > hi - lo:
+                    continue
+            last = joined.get(x[1])
+            if last and lo <= last[3]:
+                joined[x[1]] = (*last[:3], max(hi, last[3]))
+                continue
+            if last:
+                out.append(last)
+            joined[x[1]] = x
+        out += joined.values()
+    return out
+
+
+def _union(spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of what spans cover, in order."""
+    starts, ends = [], []
+    for lo, hi in sorted(spans):
+        if ends and lo <= ends[-1]:
+            ends[-1] = max(ends[-1], hi)
+        else:
+            starts.append(lo)
+            ends.append(hi)
+    return np.array(starts, np.int64), np.array(ends, np.int64)
+
+
+def _within(lo: np.ndarray, hi: np.ndarray, union: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    starts, ends = union
+    at = np.searchsorted(starts, lo, "right") - 1
+    return (at >= 0) & (hi <= ends[np.maximum(at, 0)])
+
+
+def _cover(spots: list[tuple[int, int, int, int, int]]) -> set[tuple[int, int, int, int, int]]:
+    """As few as cover all (edits, digits among them, start, end, place in the passage), and the best one."""
+    out, best, end = {min(spots, key=lambda x: (x[0], x[4], x[2]))}, None, -1
+    for x in sorted(spots, key=lambda x: (x[2], -x[3], x[0], x[4])):
+        if best and x[2] > end:  # nothing further reaches back to what is covered
+            out.add(best)
+            best, end = None, best[3]
+        if x[3] > (best[3] if best else end):
+            if x[2] > end:
+                out.add(x)
+                end = x[3]
+            else:
+                best = x
+    if best:
+        out.add(best)
+    return out
+
+
 class Scanner:
     """Finds the leaked stretches in a batch of texts."""
 
     def __init__(self, held: HeldOut, fact_edits: int):
         self.held, self.fact_edits = held, fact_edits
 
-    def _verify(self, folded: np.ndarray, unit: np.ndarray, where: np.ndarray, patterns: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
-        """(proposal, edits, digits among them, start, end) of the proposals whose pattern stands near ``where``."""
+    def _verify(self, folded: np.ndarray, unit: np.ndarray, where: np.ndarray, doc: np.ndarray, bounds: np.ndarray, patterns: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
+        """(proposal, edits, digits among them, start, end) of the proposals whose pattern stands near ``where`` in their text."""
+        least, last = bounds[doc], bounds[doc + 1] - 1
         out = []
         lengths = np.array([len(p) for p in patterns])[unit] if len(unit) else unit
         for length in np.unique(lengths):
@@ -233,13 +301,13 @@ class Scanner:
             for part in np.array_split(rows, -(-len(rows) // 2_000)):
                 pats = np.stack([patterns[u] for u in unit[part]])
                 begin = where[part] - 2 * e
-                d, end = edit_distances(pats, _regions(folded, begin, int(length) + 4 * e), e)
+                d, end = edit_distances(pats, _regions(folded, begin, int(length) + 4 * e, least[part], last[part]), e)
                 ok = np.flatnonzero(d <= e)
                 if not len(ok):
                     continue
                 stop = begin[ok] + end[ok]
                 width = int(length) + e
-                back = _regions(folded, stop - width, width)[:, ::-1]
+                back = _regions(folded, stop - width, width, least[part[ok]], last[part[ok]])[:, ::-1]
                 _, size = edit_distances(pats[ok][:, ::-1], back, e, anchored=True)
                 for k, dist, s, n in zip(part[ok], d[ok], stop, size, strict=True):
                     lo, hi = max(0, int(s - n)), int(s)
@@ -265,39 +333,39 @@ class Scanner:
         folded, bounds = np.concatenate(parts), np.array(bounds)
         hashes = gram_hashes(folded)
         pos, unit, at = held.proposals(hashes)
-        found = self._tiny(folded, bounds)
+        spots = self._tiny(folded, bounds)
         whole = unit >= 0
         if whole.any():
-            u, w = np.unique(np.stack([unit[whole], (pos - at)[whole]]), axis=1)
-            for k, dist, facts, lo, hi in self._verify(folded, u, w, held.units):
-                doc = int(np.searchsorted(bounds, lo, "right") - 1)
-                if hi <= bounds[doc + 1] - 1:
-                    name = (doc, held.item_of[u[k]], held.units[u[k]].tobytes(), not held.never_stock[u[k]])
-                    if name not in found or dist < found[name][0]:
-                        found[name] = (dist, facts, lo, hi)
-        leaked = {(doc, item) for doc, item, *_ in found}
-        found |= self._runs(folded, hashes, bounds, pos[~whole], ~unit[~whole], at[~whole], leaked)
+            doc_of = np.searchsorted(bounds, pos[whole], "right") - 1
+            u, w, d = np.unique(np.stack([unit[whole], (pos - at)[whole], doc_of]), axis=1)
+            for k, dist, facts, lo, hi in self._verify(folded, u, w, d, bounds, held.units):
+                spots[int(d[k]), held.item_of[u[k]], held.units[u[k]].tobytes(), not held.never_stock[u[k]]].add((dist, facts, lo, hi))
+        found = [(name, x) for name, several in spots.items() for x in _places(several)]
+        spans = defaultdict(list)
+        for (doc, item, *_), (_, _, lo, hi) in found:
+            spans[doc, item].append((lo, hi))
+        found += self._runs(folded, hashes, bounds, pos[~whole], ~unit[~whole], at[~whole], {k: _union(x) for k, x in spans.items()})
         out = []
-        for (doc, item, name, may), (dist, facts, lo, hi) in found.items():
+        for (doc, item, name, may), (dist, facts, lo, hi) in found:
             at = places[doc]
             out.append((doc, item, name, may, dist, facts, int(at[lo - bounds[doc]]), int(at[hi - 1 - bounds[doc]]) + 1))
         return out
 
     def _tiny(self, folded, bounds) -> dict:
-        """The first place of each question or passage shorter than a window in a text."""
-        found = {}
+        """The places of each question or passage shorter than a window in a text."""
+        found = defaultdict(set)
         for n, units in self.held.tiny.items():
             wanted = gram_hashes(np.concatenate([np.frombuffer(u, folded.dtype) for u in units]), n)[::n]
             for lo in np.flatnonzero(np.isin(gram_hashes(folded, n), wanted)).tolist():
                 name = folded[lo : lo + n].tobytes()
                 for item in units.get(name, ()):
-                    found.setdefault((int(np.searchsorted(bounds, lo, "right") - 1), item, name, False), (0, 0, lo, lo + n))
+                    found[int(np.searchsorted(bounds, lo, "right") - 1), item, name, False].add((0, 0, lo, lo + n))
         return found
 
-    def _runs(self, folded, hashes, bounds, pos, passage, at, leaked) -> dict:
-        """The best stretch of each passage in a text, across or within sentences, where no full sentence was found."""
-        held, found = self.held, {}
-        todo: dict[tuple[int, int], list[tuple[int, int, int, int]]] = defaultdict(list)
+    def _runs(self, folded, hashes, bounds, pos, passage, at, spans) -> list:
+        """Stretches of passages in a text, across or within sentences, that cover all such beside the units found."""
+        held = self.held
+        tries: list[np.ndarray] = []  # (passage, text, place in the passage, place) of the stretches to verify
         if len(pos):
             # of hits on one diagonal the first and the last within the length of a stretch see all stretches the others see
             length = np.array(held.run_of)[passage] - GRAM + 1
@@ -312,9 +380,6 @@ class Scanner:
         for k in np.unique(passage):
             rows = np.flatnonzero(passage == k)
             item, run = held.passage_item[k], held.run_of[k]
-            rows = rows[[(int(d), item) not in leaked for d in doc_of[rows]]]
-            if not len(rows):
-                continue
             e, grams = _edits_allowed(run), held.hashes_of_passage[k]
             n = run - GRAM + 1  # windows of a stretch
             least = n - GRAM * e
@@ -331,36 +396,37 @@ class Scanner:
             fits = (counts >= least) & (begin >= 0) & (begin + run <= len(held.passages[k]))
             mine = held.own[k]
             fits &= 2 * (mine[np.clip(begin + run, 0, len(mine) - 1)] - mine[np.clip(begin, 0, len(mine) - 1)]) >= run
-            for r, c in zip(*np.nonzero(fits), strict=True):
-                a = int(begin[r, c])
-                todo[int(doc_of[rows[r]]), int(k)].append((-int(counts[r, c]), a, int(pos[rows[r]] - at[rows[r]]) + a, run))
-        tries = {name: sorted(set(spots)) for name, spots in todo.items()}
-        # the likeliest stretch of each pair first, the others where it fails
-        for take in (slice(0, 1), slice(1, None)):
-            patterns, where, owner = [], [], []
-            for (doc, k), spots in tries.items():
-                if (doc, k) not in found:
-                    for _, a, w, run in spots[take]:
-                        patterns.append(held.passages[k][a : a + run])
-                        where.append(w)
-                        owner.append((doc, k, a))
-            if patterns:
-                for i, dist, facts, lo, hi in self._verify(folded, np.arange(len(patterns)), np.array(where), patterns):
-                    doc, k, a = owner[i]
-                    if bounds[doc] <= lo and hi < bounds[doc + 1] and ((doc, k) not in found or dist < found[doc, k][0]):
-                        found[doc, k] = (dist, facts, lo, hi, a)
-        out = {}
-        for (doc, k), (dist, facts, lo, hi, a) in found.items():
-            # a stretch goes by the sentence it mostly stands in
-            inside = np.bincount(held.sentence_at[k][a : a + held.run_of[k]])
-            most = int(np.argmax(inside))
-            sentence = held.sentence_text[k][most]
-            within = 2 * inside[most] >= held.run_of[k]
-            name = sentence.tobytes() if within else held.passages[k][a : a + held.run_of[k]].tobytes()
-            key = (doc, held.passage_item[k], name, len(held.sentence_text[k]) > 1)
-            if key not in out or dist < out[key][0]:
-                out[key] = (dist, facts, lo, hi)
-        return out
+            r, c = np.nonzero(fits)
+            a = begin[r, c]
+            doc, where = doc_of[rows[r]], (pos - at)[rows[r]] + a
+            out = np.ones(len(a), bool)
+            for d in np.unique(doc).tolist():
+                if (d, item) in spans:
+                    mine = np.flatnonzero(doc == d)
+                    out[mine] = ~_within(where[mine], where[mine] + run, spans[d, item])
+            tries.append(np.stack([np.full(len(a), k), doc, a, where])[:, out])
+        if not sum(x.shape[1] for x in tries):
+            return []
+        passage, doc, place, where = np.unique(np.concatenate(tries, axis=1), axis=1)
+        patterns = [held.passages[k][a : a + held.run_of[k]] for k, a in zip(passage.tolist(), place.tolist(), strict=True)]
+        stretches = defaultdict(list)
+        for i, dist, facts, lo, hi in self._verify(folded, np.arange(len(patterns)), where, doc, bounds, patterns):
+            stretches[int(doc[i]), int(passage[i])].append((dist, facts, lo, hi, int(place[i])))
+        found = []
+        for (doc, k), several in stretches.items():
+            item = held.passage_item[k]
+            if (doc, item) in spans:
+                lo, hi = np.array([x[2:4] for x in several]).T
+                several = [x for x, inside in zip(several, _within(lo, hi, spans[doc, item]), strict=True) if not inside]
+            for dist, facts, lo, hi, a in sorted(_cover(several)) if several else ():
+                # a stretch goes by the sentence it mostly stands in
+                inside = np.bincount(held.sentence_at[k][a : a + held.run_of[k]])
+                most = int(np.argmax(inside))
+                sentence = held.sentence_text[k][most]
+                within = 2 * inside[most] >= held.run_of[k]
+                name = sentence.tobytes() if within else held.passages[k][a : a + held.run_of[k]].tobytes()
+                found.append(((doc, item, name, len(held.sentence_text[k]) > 1), (dist, facts, lo, hi)))
+        return found
 
 
 _OUT = "item_id bigint, unit string, may_be_stock boolean, edits int, facts int, char_start int, char_end int, text_key bigint"

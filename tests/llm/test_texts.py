@@ -169,6 +169,52 @@ def test_removed_spans(spark):
     assert not got[1].dropped and got[1].clean_text.startswith("甲" * 100) and got[1].clean_text.endswith("乙" * 100) and "窑炉" not in got[1].clean_text
 
 
+def test_leaks_are_removed_wherever_they_stand(spark):
+    rnd = random.Random(7)
+    han = lambda n: "".join(chr(rnd.randrange(0x4E00, 0x9FA0)) for _ in range(n))
+    question, passage, tiny = han(20), [han(30) + "。" for _ in range(6)], "净利是多少"
+    part = "".join(passage)[10:160]  # of the first and the last sentence a part only
+    pads = [han(400) for _ in range(4)]
+    edited = question[:9] + "龥" + question[10:]
+    texts = [
+        pads[0] + question + pads[1] + edited + pads[2] + question + pads[3],  # a unit at several places, one with an edit
+        pads[0] + part + pads[1],  # more than one stretch of a passage
+        pads[0] + question + pads[1] + part + pads[2] + part[:45] + pads[3],  # stretches beside a unit of the item, one twice
+        pads[0] + tiny + pads[1] + tiny + pads[2],
+        pads[0] + passage[2] + pads[1] + part[:45] + pads[2],  # a stretch beside a full sentence of the passage
+        pads[0] + question * 3 + pads[1],
+    ]
+    want = [pads[0] + pads[1] + pads[2] + pads[3], pads[0] + pads[1], pads[0] + pads[1] + pads[2] + pads[3], pads[0] + pads[1] + pads[2], pads[0] + pads[1] + pads[2], pads[0] + pads[1]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = spark.createDataFrame([(1, question, "".join(passage)), (2, tiny, None)], "item_id long, question string, passage string")
+    got = {r.doc_id: r.clean_text.replace("。", "") for r in lk.remove_leaks(docs, held).collect()}
+    assert got == dict(enumerate(want))
+    spans = [r for r in lk.leaked_spans(docs, held).collect() if r.doc_id == 0]
+    assert sorted((r.char_start, r.char_end, r.edits) for r in spans) == [(400, 420, 0), (820, 840, 1), (1240, 1260, 0)]
+
+
+def test_leaks_beside_stock_and_next_to_other_texts(spark):
+    rnd = random.Random(8)
+    han = lambda n: "".join(chr(rnd.randrange(0x4E00, 0x9FA0)) for _ in range(n))
+    boiler, first, second = han(24) + "。", han(35) + "。", han(35) + "。"
+    docs = spark.createDataFrame([(i, f"第{i}篇。{boiler}" + (han(20) + (first + second)[15:60] if i == 9 else "")) for i in range(60)], "doc_id long, text string")
+    held = spark.createDataFrame([(1, None, boiler + first + second)], "item_id long, question string, passage string")
+    assert [tuple(r) for r in lk.leaked_documents(docs, held).collect()] == [(9, 1)]  # a stock sentence hides no other part
+    question = han(25)
+    scanner = lk.Scanner(lk.HeldOut([(1, question, None, None)]), 2)
+    alone = scanner.scan([question[2:]])
+    assert len(alone) == 1 and [(d - 1, *rest) for d, *rest in scanner.scan([han(30) + question[0], question[2:]])] == alone
+
+
+def test_stretches_cover_what_brute_force_covers():
+    rnd = random.Random(9)
+    for _ in range(300):
+        spots = [(rnd.randrange(3), 0, a := rnd.randrange(60), a + rnd.randrange(3, 9), i) for i in range(rnd.randrange(1, 14))]
+        covered = lambda rows: {x for r in rows for x in range(r[2], r[3])}
+        got = lk._cover(spots)
+        assert covered(got) == covered(spots) and got <= set(spots) and min(x[0] for x in got) == min(x[0] for x in spots)
+
+
 def test_edit_distances_against_brute_force():
     rnd = random.Random(3)
 
