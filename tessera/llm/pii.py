@@ -87,13 +87,14 @@ class Tagger:
         f32 = {k: np.asarray(v, np.float32) for k, v in weights.items() if k != "vocab"}
         self.table = id_table(str(weights["vocab"]))
         h = self.hidden = f32["Uf"].shape[0]
-        # sigmoid(x) = (1 + tanh(x / 2)) / 2: one tanh for all gates. Gates stand on the leading axis, so that each of them is
-        # one block of memory; the half of the output gate is taken over by what reads the state
-        half = np.array([0.5, 0.5, 1.0, 0.5], np.float32)[:, None, None]
-        by_gate = lambda m: m.reshape(len(m), 4, h).transpose(1, 0, 2)
-        self.proj = [np.ascontiguousarray(by_gate(f32["E"] @ f32["W" + d] + f32["b" + d]) * half) for d in "fb"]
-        self.rec = np.ascontiguousarray(np.stack([by_gate(f32["U" + d]) * half * np.float32(0.5) for d in "fb"], axis=1))
-        self.out = np.stack([f32["O"][:h], f32["O"][h:]]) * np.float32(0.5)
+        # sigmoid(x) = 1 / (1 + exp(-x)), tanh(x) = 2 / (1 + exp(-2 x)) - 1: one exp for all gates, which takes half the time of a
+        # tanh; what a gate lets through is divided by its sum, and an infinite sum is right too. Both directions are in one
+        # table
+        sign = np.repeat(np.array([-1, -1, -2, -1], np.float32), h)
+        self.proj = np.concatenate([(f32["E"] @ f32["W" + d] + f32["b" + d]) * sign for d in "fb"])
+        self.rec = np.stack([f32["U" + d] * sign for d in "fb"])
+        self.out = np.stack([f32["O"][:h], f32["O"][h:]])
+        self.room = np.empty(0, np.float32)  # of the states, kept from call to call
         self.out_b, self.trans, self.first = f32["ob"], f32["T"], f32["T0"]
         # what a label other than O may at most gain by its transitions, over O between the same neighbours
         t = self.trans
@@ -107,27 +108,35 @@ class Tagger:
             return cls({k: z[k] for k in z.files})
 
     def _run(self, ids: np.ndarray) -> np.ndarray:
-        """Scores (2, B, T, labels) of both directions; ids: (T, 2, B), the second one read backwards."""
+        """Scores (T, 2, B, labels) of both directions; ids: (T, 2, B), the second one read backwards."""
         t, _, b = ids.shape
         h = self.hidden
         state, cell, tmp = (np.zeros((2, b, h), np.float32) for _ in range(3))
-        z, keep = np.empty((4, 2, b, h), np.float32), np.empty((t, 2, b, h), np.float32)
-        for k in range(t):
-            np.matmul(state, self.rec, out=z)
-            z[:, 0] += self.proj[0].take(ids[k, 0], axis=1)
-            z[:, 1] += self.proj[1].take(ids[k, 1], axis=1)
-            np.tanh(z, out=z)
-            gates = z[:2]
-            gates += 1
-            gates *= 0.5
-            cell *= z[1]
-            np.multiply(z[0], z[2], out=tmp)
-            cell += tmp
-            state = keep[k]  # twice the state
-            np.tanh(cell, out=state)
-            np.multiply(z[3], state, out=tmp)
-            state += tmp
-        return np.ascontiguousarray(np.matmul(keep, self.out).transpose(1, 2, 0, 3))
+        z, given = np.empty((2, b, 4 * h), np.float32), np.empty((2, b, 4 * h), np.float32)
+        let_in, keeps, new, let_out = (z[:, :, k * h : (k + 1) * h] for k in range(4))
+        if self.room.size < t * 2 * b * h:
+            self.room = np.empty(t * 2 * b * h, np.float32)
+        keep = self.room[: t * 2 * b * h].reshape(t, 2, b, h)
+        ids = ids + np.array([0, len(self.proj) // 2])[:, None]
+        with np.errstate(over="ignore"):
+            for k in range(t):
+                np.matmul(state, self.rec, out=z)
+                self.proj.take(ids[k], axis=0, out=given, mode="clip")
+                z += given
+                np.exp(z, out=z)
+                z += 1
+                cell /= keeps
+                np.divide(4, new, out=tmp)
+                tmp -= 2
+                tmp /= let_in
+                cell += tmp  # twice the cell: tanh(x) = 1 - 2 / (1 + exp(2 x))
+                np.exp(cell, out=tmp)
+                tmp += 1
+                np.divide(2, tmp, out=tmp)
+                state = keep[k]
+                np.subtract(1, tmp, out=state)
+                state /= let_out
+        return np.matmul(keep, self.out)
 
     def scores(self, ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Scores (places, labels) of texts that lie one behind the other in ``ids``."""
@@ -142,17 +151,15 @@ class Tagger:
             n, a = width[rows], begin[rows]
             t = np.arange(int(n.max()))[:, None]
             e = self._run(ids[np.stack([a + np.minimum(t, n - 1), a + np.maximum(n - 1 - t, 0)], axis=1)])
-            edge = {}
+            same = n[0] == n[-1]  # all at once where the windows have one width
+            both = e[:, 0]
+            both += e[::-1, 1] if same else e[np.maximum(n - 1 - t, 0), 1, np.arange(len(n))]
+            w = np.minimum(t + 1, n - t).astype(np.float32)  # beyond a window's end nothing is read
+            both *= w[:, :1, None] if same else w[:, :, None]
+            both, w = np.ascontiguousarray(both.transpose(1, 0, 2)), np.ascontiguousarray(w.T)
             for j, (m, lo) in enumerate(zip(n.tolist(), a.tolist(), strict=True)):
-                if m not in edge:
-                    w = np.minimum(np.arange(1, m + 1), np.arange(m, 0, -1)).astype(np.float32)
-                    edge[m] = (w, w[:, None])
-                w, column = edge[m]
-                both = e[0, j, :m]
-                both += e[1, j, :m][::-1]
-                both *= column
-                acc[lo : lo + m] += both
-                weight[lo : lo + m] += w
+                acc[lo : lo + m] += both[j, :m]
+                weight[lo : lo + m] += w[j, :m]
         acc /= weight[:, None]
         acc += self.out_b
         return acc

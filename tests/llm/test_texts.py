@@ -271,6 +271,32 @@ def test_groups_of_windows_and_texts_change_nothing(monkeypatch):
     assert tagger.tag(texts) == whole and tagger.tag(texts[1:2]) == whole[1:2]
 
 
+def test_scores_against_the_plain_recurrence(monkeypatch):
+    """Both directions against the LSTM's equations in double precision, with small and very large weights; no tanh is
+    taken, which costs twice an exp."""
+    with np.load(pii.MODEL, allow_pickle=False) as z:
+        weights = {k: z[k] for k in z.files}
+    rnd, h, calls, tanh = np.random.default_rng(2), weights["Uf"].shape[0], [], np.tanh
+    ids = rnd.integers(0, len(weights["E"]), (30, 2, 5))
+    sigmoid = lambda x: 0.5 * (1 + tanh(x / 2))
+    for factor in (1.0, 200.0):
+        w = weights | {k: weights[k].astype(np.float32) * np.float32(factor) for k in ("Wf", "Wb", "bf", "bb")}
+        tagger = pii.Tagger(w)
+        with monkeypatch.context() as m:
+            m.setattr(np, "tanh", lambda x, *a, **k: calls.append(x.size) or tanh(x, *a, **k))
+            got = tagger._run(ids)
+        assert not calls and np.isfinite(got).all()
+        f = {k: np.asarray(v, np.float32).astype(float) for k, v in w.items() if k != "vocab"}
+        for d, name in enumerate("fb"):
+            state, cell = np.zeros((5, h)), np.zeros((5, h))
+            for t in range(30):
+                i, keep, new, o = np.split(f["E"][ids[t, d]] @ f["W" + name] + f["b" + name] + state @ f["U" + name], 4, axis=1)
+                cell = sigmoid(keep) * cell + sigmoid(i) * tanh(new)
+                state = sigmoid(o) * tanh(cell)
+                want = state @ f["O"][d * h : (d + 1) * h]
+                assert np.abs(got[t, d] - want).max() < (1e-3 if factor == 1 else 0.05)
+
+
 def test_decoding_against_brute_force():
     rnd = np.random.default_rng(1)
     tagger = pii.Tagger.load()
